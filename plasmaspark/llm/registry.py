@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plasmaspark.llm import byte_bpe, exact_dedup, packing, simhash
+from plasmaspark.llm import byte_bpe, exact_dedup, packing, pii, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir), words=4, k=4)
+
+
+def _joined(spans: str):
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def _counted(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    return found.select("doc_id", *[_counted("base", k) for k in ("email", "ip", "card", "phone")], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(documents(spark, sf_dir))
+    return found.select("doc_id", *[_counted("base", k) for k in ("assign", "access", "hex")], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
