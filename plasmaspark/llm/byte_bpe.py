@@ -10,8 +10,10 @@
 4. Decoding looks ids up in the token-byte table.
 
 A word of any frequency reaches its bucket once per block, so frequent words
-aren't hot. Words travel packed (one row per block and bucket), and blocks
-are written once in the shared folder, so texts are split only once.
+aren't hot. Words travel packed (one row per block and bucket). Texts are split
+once for the words and once for the sequences, which costs less than writing
+the sequences would; both carry a checksum of the block's words, and a task that
+finds two that differ (rows that came in another order) fails.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plasmaspark.llm.store import written
-
 #: Code points of text that a block holds before it is closed.
 BLOCK = 8_000_000
 
@@ -40,7 +40,7 @@ _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t
 #: The public pattern, restated for texts that fit Latin-1 (same matches; the standard engine is faster).
 _LATIN = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
-BLOCKS = "block long, bucket int, idents array<long>, lengths array<int>, packed binary"
+BLOCKS = "block long, bucket int, mark long, idents array<long>, lengths array<int>, packed binary"
 
 
 @functools.lru_cache(2)
@@ -100,21 +100,25 @@ def _gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.nda
     return flat[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def _split(buckets: int, block_size: int):
+def _split(buckets: int, block_size: int, sequences: bool):
+    """Blocks of the rows: their sequences (bucket -1), or else their words by bucket."""
     def close(block: int, idents: list, lengths: list, codes: list, words: dict):
         listed = list(words)
         bucket = np.fromiter((zlib.crc32(w.encode()) for w in listed), np.int64, len(listed)) % buckets
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        rows = [(block, -1, idents, lengths, _pack(np.concatenate(codes) if codes else np.zeros(0, np.int32), rank))]
-        bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        mark, rows = zlib.crc32("\n".join(listed).encode()), []
+        if sequences:
+            rows.append((block, -1, mark, idents, lengths, _pack(np.concatenate(codes), rank)))
+            order = order[:0]
+        bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets)) if len(order) else np.zeros(1, int)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             own = [listed[i].encode() for i in order[a:b]]
             body = np.array([len(w) for w in own], "<u4").tobytes() + b"".join(own)
             packed = len(own).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(body)
-            rows.append((block, int(bucket[order[a]]), None, None, packed))
-        names = [("block", pa.int64()), ("bucket", pa.int32()), ("idents", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())]
+            rows.append((block, int(bucket[order[a]]), mark, None, None, packed))
+        names = [("block", pa.int64()), ("bucket", pa.int32()), ("mark", pa.int64()), ("idents", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary())]
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[i : i + 256], strict=True), names, strict=True)], [n for n, _ in names])
 
@@ -159,7 +163,7 @@ def _encode_words(path: str):
                     ids.append(got)
                 sizes = np.fromiter(map(len, ids), np.int64, n)
                 packed.append(_pack(sizes, np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("idents"), batch.column("lengths"), pa.array(packed, pa.binary())], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), batch.column("mark"), batch.column("idents"), batch.column("lengths"), pa.array(packed, pa.binary())], batch.schema.names)
 
     return run
 
@@ -199,6 +203,8 @@ def _reassemble(ident: str):
                         yield from finish(head, words)
                     head, words = batch.slice(i, 1).to_pylist()[0], []
                 else:
+                    if head is None or (batch.column("block")[i].as_py(), batch.column("mark")[i].as_py()) != (head["block"], head["mark"]):
+                        raise RuntimeError("the rows of a block came in another order when they were read again")
                     words.append(batch.column("packed")[i].as_py())
         if head is not None:
             yield from finish(head, words)
@@ -212,15 +218,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", ident: str = "doc_id"
     One row per input row, repeated ids included; a null text counts as empty
     and has no ids, a null id stays null. buckets (four times the shuffle
     partitions by default) is how many ways the distinct words are dealt; it
-    should follow the size of the corpus.
+    should follow the size of the corpus. docs is read twice and must give its
+    rows in the same order both times, as files do.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias("__text"))
-    blocks = written(rows.mapInArrow(_split(buckets, block_size), BLOCKS), "bpe-blocks")
-    words = blocks.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+    words = rows.mapInArrow(_split(buckets, block_size, False), BLOCKS).repartition("bucket").sortWithinPartitions("bucket")
     coded = words.mapInArrow(_encode_words(path), BLOCKS)
-    whole = blocks.where("bucket < 0").unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
+    whole = rows.mapInArrow(_split(buckets, block_size, True), BLOCKS).unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
     return whole.mapInArrow(_reassemble(ident), f"`{ident}` long, ids array<int>")
 
 
