@@ -79,7 +79,7 @@ class _Sets:
     """Disjoint sets over 0..n-1; join() takes arrays of linked places."""
 
     def __init__(self, n: int):
-        self.parent = np.arange(n)
+        self.parent, self.used = np.arange(n), []
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         at = self.parent[x]
@@ -91,19 +91,27 @@ class _Sets:
             at = up
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
-            apart = a != b
-            a, b = a[apart], b[apart]
-            if not len(a):
+        """Join the sets of a and b, pair by pair; pairs that joined two sets are added to used."""
+        pairs = np.stack([a, b], axis=1)
+        while len(pairs):
+            x, y = self.roots(pairs[:, 0]), self.roots(pairs[:, 1])
+            apart = x != y
+            pairs, x, y = pairs[apart], x[apart], y[apart]
+            if not len(pairs):
                 return
-            high, low = np.maximum(a, b), np.minimum(a, b)
+            high, low = np.maximum(x, y), np.minimum(x, y)
             # one parent for each root in a round: the least of those offered
             order = np.lexsort((low, high))
-            high, low = high[order], low[order]
-            first = np.append(True, high[1:] != high[:-1])
-            self.parent[high[first]] = low[first]
-            a, b = high[~first], low[~first]
+            first = np.append(True, high[order][1:] != high[order][:-1])
+            take = order[first]
+            self.parent[high[take]] = low[take]
+            self.used.append(pairs[take])
+            pairs = pairs[order[~first]]
+
+    def nearest_first(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        """join(), the least differences first."""
+        for d in np.unique(apart):
+            self.join(a[apart == d], b[apart == d])
 
 
 def _shared(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +138,9 @@ def _search(codes: np.ndarray, at: int, k: int, sets: _Sets) -> None:
             places = places[places < len(codes)]
             for i in range(0, len(places), 1 << 16):
                 part = places[i : i + (1 << 16)]
-                x, y = np.nonzero(np.bitwise_count(own[:, None] ^ codes[part][None, :]) <= k)
-                sets.join(at + a * LEAF + x, at + part[y])
+                apart = np.bitwise_count(own[:, None] ^ codes[part][None, :])
+                x, y = np.nonzero(apart <= k)
+                sets.nearest_first(at + a * LEAF + x, at + part[y], apart[x, y])
 
 
 def _link(k: int):
@@ -145,20 +154,21 @@ def _link(k: int):
         sets = _Sets(n)
         left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes)) - 1  # members after this one
         small = np.repeat(sizes, sizes) <= LEAF
-        at = np.flatnonzero(small & (left > 0))
+        at, near = np.flatnonzero(small & (left > 0)), []
         for step in range(1, LEAF):
             at = at[left[at] >= step]
             if not len(at):
                 break
-            near = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= k]
-            sets.join(near, near + step)
+            apart = np.bitwise_count(codes[at] ^ codes[at + step])
+            near.append(np.stack([at[apart <= k], at[apart <= k] + step, apart[apart <= k]]))
+        if near:
+            sets.nearest_first(*np.concatenate(near, axis=1))
         for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
             _search(codes[start : start + size], start, k, sets)
-        roots = sets.roots(np.arange(n))
-        linked = roots != np.arange(n)
-        if linked.any():
-            pairs = np.unique(np.stack([codes[linked], codes[roots[linked]]]), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        if sets.used:
+            places = np.concatenate(sets.used)
+            pairs = np.sort(codes.view(np.int64)[places], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -187,8 +197,8 @@ def _signed(x: int) -> int:
 def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFrame:
     """(a, b): links between distinct codes such that codes reach each other over links of at most k bits exactly if they reach each other over these.
 
-    Each pair (a, b) connects codes of one component; the pair itself may
-    differ by more than k. A top node with more than `crowded` members is
+    Each pair itself differs by at most k, the nearest that connect what they
+    do. A top node with more than `crowded` members is
     filed again by pairs of blocks of its other bits.
     """
     if k > 12:
@@ -214,6 +224,52 @@ def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFram
     return dealt.mapInArrow(_link(k), "a long, b long").distinct()
 
 
+#: Of a text's shingle hashes, how many of the smallest stand for it when two are compared.
+SKETCH = 512
+
+
+def sketch(text: str | None, words: int) -> np.ndarray:
+    """The smallest SKETCH of the distinct 32-bit shingle hashes of the whole text, ascending."""
+    own = (text or "").encode().lower().split()
+    n = max(1, len(own) - words + 1)
+    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + words])) for i in range(n)), np.int64, n))
+    return hashes[:SKETCH]
+
+
+def _alike(a, b, limit: float):
+    """Whether two sketches' Jaccard similarity (exact up to SKETCH shingles, else estimated) reaches limit."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.size(F.array_intersect(F.array_intersect(union, a), b)) >= limit * F.size(union)
+
+
+def thinned(docs: DataFrame, words: int = 5, k: int = 10, limit: float = 0.8, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that with the least id.
+
+    Texts whose fingerprints differ by at most k bits are compared by their
+    shingles, and linked if these are alike to at least limit. Rows without an
+    id stay; rows that repeat an id stay or go together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                texts = [t.as_py() for t in batch.column(1).slice(i, 1000)]
+                codes = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1000), pa.array(codes), pa.array([sketch(t, words) for t in texts], pa.list_(pa.int64()))], ["id", "code", "sketch"])
+
+    known = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").mapInArrow(run, "id long, code long, sketch array<long>")
+    known = written(known, "sketches")
+    heads = known.groupBy("code").agg(F.min("id").alias("head"))
+    links = near_links(known.select("code"), k)
+    near = links.join(heads.select(F.col("code").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("code").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    same = known.join(heads, "code").where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
+    pairs = written(near.unionAll(same).distinct(), "near-pairs")
+    one, two = (known.groupBy(F.col("id").alias(c)).agg(F.first("sketch").alias(s)) for c, s in (("x", "left"), ("y", "right")))
+    alike = pairs.join(one, "x").join(two, "y").where(_alike(F.col("left"), F.col("right"), limit)).select("x", "y")
+    gone = stars(alike, "x", "y").select(F.col("node").alias("__gone"))
+    return docs.join(gone, F.col(ident).cast("long") == F.col("__gone"), "left_anti")
+
+
 def classes(docs: DataFrame, words: int = 4, k: int = 4, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
