@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from plasmaspark.plans import coverage_queries  # noqa: F401
+from plasmaspark.plans.register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
