@@ -218,7 +218,7 @@ def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFram
             finer = F.array(*[F.lit(_signed(m | x)) for x in block_masks(64, k + 2, ~m & (1 << 64) - 1)])
             part = filed.where(F.col("mask") == _signed(m)).join(nodes, on, "left_semi").select("code", "gray", F.explode(finer).alias("mask"))
             again = part if again is None else again.unionAll(part)
-        again = again.withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
+        again = again.distinct().withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
         filed = filed.join(nodes, on, "left_anti").unionAll(again.select(*filed.columns))
     dealt = filed.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "gray").select("mask", "pattern", "code")
     return dealt.mapInArrow(_link(k), "a long, b long").distinct()
