@@ -125,20 +125,17 @@ def factors(df: DataFrame) -> DataFrame:
     return out.where("length_bin_min IS NOT NULL AND factor IS NOT NULL")
 
 
-#: What is checked for each schema: condition for a valid line, by name.
-_COORDINATES = (_long(1) >= 0) & (_long(2) > _long(1))
-
-
 def checks(schema: str) -> tuple[int, Column]:
-    """(least columns, validity) of a schema."""
+    """(least columns, validity of a line) of a schema, by name."""
+    coordinates = (_long(1) >= 0) & (_long(2) > _long(1))
     return {
-        "bed3": (3, _COORDINATES),
-        "gene": (4, _COORDINATES & (F.length(_f(3)) > 0)),
-        "arms": (4, _COORDINATES & _f(3).rlike("^(chr)?([0-9]{1,2}|X|Y)[pq]$")),
-        "anchors": (6, _COORDINATES & _f(5).isin("+", "-", ".")),
-        "region": (4, _COORDINATES & (F.length(_f(3)) > 0)),
+        "bed3": (3, coordinates),
+        "gene": (4, coordinates & (F.length(_f(3)) > 0)),
+        "arms": (4, coordinates & _f(3).rlike("^(chr)?([0-9]{1,2}|X|Y)[pq]$")),
+        "anchors": (6, coordinates & _f(5).isin("+", "-", ".")),
+        "region": (4, coordinates & (F.length(_f(3)) > 0)),
         "factors": (6, _long(2).between(0, 100) & (F.trim(_f(5)).try_cast("double") > 0)),
-        "targets": (3, _COORDINATES),
+        "targets": (3, coordinates),
     }[schema]
 
 
