@@ -26,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plasmaspark.llm.store import written
+
 #: Labelled rows that a chain is fitted on, about, at most.
 TRAIN_ROWS = 20_000
 HASHED = 1 << 20
 #: Features that are kept for a category at most, and how many deviations apart the classes must be.
 KEPT, APART = 2000, 5.0
+#: Features that the driver looks at, at most.
+POOL = 4 * KEPT
 FOLDS = 3
 #: Lengths of the beginnings of words that are features, and what marks one that several words share.
 PREFIXES, SHARED = (3, 4, 5, 6, 7), 0x5A5A5
@@ -142,9 +146,32 @@ def derived_categories(lists: list[np.ndarray], toxic: np.ndarray) -> dict[str,
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [features(t.as_py()) for t in batch.column(0)]
-        ends = np.cumsum([0, *map(len, lists)])
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-        yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:]], ["features", *batch.schema.names[1:]])
+        yield pa.RecordBatch.from_arrays([_list_array(lists), *batch.columns[1:]], ["features", *batch.schema.names[1:]])
+
+
+def _candidates(features_of: DataFrame) -> np.ndarray:
+    """The features that set toxic texts apart most, POOL at most, ascending; counted by Spark, so that the driver sees no others."""
+    n, pos = features_of.agg(F.count("*"), F.sum("toxic")).first()
+    pos, neg = max(1, pos or 0), max(1, n - (pos or 0))
+    counts = features_of.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
+    share = (F.col("n") + 0.5) / (n + 1)
+    z = F.abs((F.col("y") / pos - (F.col("n") - F.col("y")) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg)))
+    best = counts.select("feature", z.alias("z")).where(F.col("z") >= APART).orderBy(F.col("z").desc(), "feature").limit(POOL)
+    return np.sort(np.array([r.feature for r in best.collect()], np.int64))
+
+
+def _only(pool: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.intersect1d(x.values.to_numpy(zero_copy_only=False), pool) for x in batch.column("features")]
+            yield pa.RecordBatch.from_arrays([_list_array(lists), *batch.columns[1:]], batch.schema.names)
+
+    return run
+
+
+def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", train_rows: int = TRAIN_ROWS) -> list[tuple[str, Linear]]:
@@ -163,8 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     sample = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     texts = docs.select(F.col(text).alias("text"), F.col(ident).cast("long").alias("__doc"))
     chosen = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("text", "toxic", "__id")  # train_rows bounds the broadcast
-    found = chosen.mapInArrow(_features_of, "features array<long>, toxic int, __id long").toArrow().sort_by("__id")
-    lists = [np.array(x.values.to_numpy(zero_copy_only=False)) if x.values is not None else np.zeros(0, np.int64) for x in found.column("features")]
+    features_of = written(chosen.mapInArrow(_features_of, "features array<int>, toxic int, __id long"), "toxic-features")
+    pool = _candidates(features_of)
+    found = features_of.mapInArrow(_only(pool), features_of.schema).toArrow().sort_by("__id")  # train_rows lists over the pool
+    lists = [np.array(x.values.to_numpy(zero_copy_only=False), np.int64) for x in found.column("features")]
     toxic = np.array(found.column("toxic").to_pylist(), bool)
     if not len(lists) or toxic.all() or not toxic.any():
         return []
