@@ -37,10 +37,10 @@ def fsc_tiles(fragments: DataFrame, size: int, weight: Column | None = None) ->
     return tiles(kept, size).groupBy("chrom", "tile").agg(*_channel_sums(size_channel(F.col("length")), SIX, F.col("w")), F.sum("w").alias("total"), F.sum(F.col("gc_pct") * F.col("w")).alias("gc_sum"))
 
 
-def fsc_bins(fragments: DataFrame, bins: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
-    """Size channels of every bin, those without fragments included (with zeros); mean_gc is 0 there."""
+def fsc_bins(fragments: DataFrame, bins: DataFrame, key: str, weight: Column | None = None, bucket: int = 1 << 16) -> DataFrame:
+    """Size channels of every bin, those without fragments included (with zeros); mean_gc is 0 there. bucket should be about a bin's size."""
     kept = fragments.where(F.col("length").between(65, 1000)).withColumn("w", weight if weight is not None else F.lit(1).cast("bigint"))
-    sums = overlap(kept, as_right(bins.select(key, "chrom", "start", "end"))).groupBy(key).agg(*_channel_sums(size_channel(F.col("length")), SIX, F.col("w")), F.sum("w").alias("total"), F.sum(F.col("gc_pct") * F.col("w")).alias("gc_sum"))
+    sums = overlap(kept, as_right(bins.select(key, "chrom", "start", "end")), bucket=bucket).groupBy(key).agg(*_channel_sums(size_channel(F.col("length")), SIX, F.col("w")), F.sum("w").alias("total"), F.sum(F.col("gc_pct") * F.col("w")).alias("gc_sum"))
     filled = bins.join(sums, key, "left").fillna(0, [*SIX, "total", "gc_sum"])
     return filled.withColumn("mean_gc", F.when(F.col("total") > 0, F.col("gc_sum") / F.col("total") / 100).otherwise(0.0)).drop("gc_sum")
 
