@@ -237,13 +237,13 @@ def classify(docs: DataFrame, chain: list[tuple[str, Linear]], text: str = "text
 
 
 def rejected(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", limit: float = 0.5) -> DataFrame:
-    """(doc_id, p_indicative, p_repeated, p_toxic, rejected): one row per row of docs; rejected where the last category reaches limit."""
+    """(doc_id, p_indicative, p_repeated, p_toxic, toxic): one row per row of docs; toxic (to be rejected) where the last category reaches limit."""
     chain = fit(docs, labels, text, ident)
     scored = classify(docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")), chain)
     if not chain:
         zero = F.lit(0.0)
-        return scored.select("doc_id", zero.alias("p_indicative"), zero.alias("p_repeated"), zero.alias("p_toxic"), F.lit(False).alias("rejected"))
-    return scored.select("doc_id", *[f"p_{c}" for c, _ in chain], (F.col("p_toxic") >= limit).alias("rejected"))
+        return scored.select("doc_id", zero.alias("p_indicative"), zero.alias("p_repeated"), zero.alias("p_toxic"), F.lit(False).alias("toxic"))
+    return scored.select("doc_id", *[f"p_{c}" for c, _ in chain], (F.col("p_toxic") >= limit).alias("toxic"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", limit: float = 0.5) -> DataFrame:

@@ -54,7 +54,7 @@ def test_chain_finds_held_out_toxic_texts(spark):
     rows = _toxic_rows(800, 1)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], SCHEMA)
     labels = spark.createDataFrame([(i, 1, int(x)) for i, _, x in rows if i < 400], "doc_id long, quality int, toxic int")
-    found = {r.doc_id: r.rejected for r in toxicity.rejected(docs, labels).collect()}
+    found = {r.doc_id: r.toxic for r in toxicity.rejected(docs, labels).collect()}
     wrong = [i for i, _, x in rows if i >= 400 and found[i] != x]
     assert len(wrong) <= 4
     assert {r.doc_id for r in toxicity.clean(docs, labels).collect()} == {i for i, r in found.items() if not r}
