@@ -229,10 +229,10 @@ SKETCH = 512
 
 
 def sketch(text: str | None, words: int) -> np.ndarray:
-    """The smallest SKETCH of the distinct 32-bit shingle hashes of the whole text, ascending."""
+    """The smallest SKETCH of the distinct 32-bit shingle hashes (signed) of the whole text, ascending."""
     own = (text or "").encode().lower().split()
     n = max(1, len(own) - words + 1)
-    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + words])) for i in range(n)), np.int64, n))
+    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + words])) for i in range(n)), np.uint32, n).view(np.int32))
     return hashes[:SKETCH]
 
 
@@ -255,16 +255,18 @@ def thinned(docs: DataFrame, words: int = 5, k: int = 10, limit: float = 0.8, te
             for i in range(0, batch.num_rows, 1000):
                 texts = [t.as_py() for t in batch.column(1).slice(i, 1000)]
                 codes = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1000), pa.array(codes), pa.array([sketch(t, words) for t in texts], pa.list_(pa.int64()))], ["id", "code", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1000), pa.array(codes), pa.array([sketch(t, words) for t in texts], pa.list_(pa.int32()))], ["id", "code", "sketch"])
 
-    known = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").mapInArrow(run, "id long, code long, sketch array<long>")
+    known = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").mapInArrow(run, "id long, code long, sketch array<int>")
     known = written(known, "sketches")
     heads = known.groupBy("code").agg(F.min("id").alias("head"))
     links = near_links(known.select("code"), k)
     near = links.join(heads.select(F.col("code").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("code").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = known.join(heads, "code").where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
     pairs = written(near.unionAll(same).distinct(), "near-pairs")
-    one, two = (known.groupBy(F.col("id").alias(c)).agg(F.first("sketch").alias(s)) for c, s in (("x", "left"), ("y", "right")))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    compared = written(known.join(asked, "id", "left_semi").select("id", "sketch"), "compared")
+    one, two = (compared.groupBy(F.col("id").alias(c)).agg(F.first("sketch").alias(s)) for c, s in (("x", "left"), ("y", "right")))
     alike = pairs.join(one, "x").join(two, "y").where(_alike(F.col("left"), F.col("right"), limit)).select("x", "y")
     gone = stars(alike, "x", "y").select(F.col("node").alias("__gone"))
     return docs.join(gone, F.col(ident).cast("long") == F.col("__gone"), "left_anti")
