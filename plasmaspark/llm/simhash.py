@@ -242,7 +242,7 @@ def _alike(a, b, limit: float):
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) >= limit * F.size(union)
 
 
-def thinned(docs: DataFrame, words: int = 5, k: int = 10, limit: float = 0.8, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def thinned(docs: DataFrame, words: int = 5, k: int = 12, limit: float = 0.8, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """docs with one row of each group of near-duplicates: that with the least id.
 
     Texts whose fingerprints differ by at most k bits are compared by their
