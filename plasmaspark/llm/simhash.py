@@ -121,8 +121,8 @@ def _shared(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return ~(every ^ some), codes[at]
 
 
-def _search(codes: np.ndarray, at: int, k: int, sets: _Sets) -> None:
-    """Join all members of one top node that differ by at most k. codes are in Gray order; at: place of the first in sets."""
+def _search(codes: np.ndarray, at: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, places, differing bits) of all members of one top node that differ by at most k. codes are in Gray order; at: place of the first."""
     mask, member = _shared(codes, LEAF)
     upper_mask, upper = _shared(codes, LEAF * LEAF)
     n = len(mask)
@@ -140,44 +140,67 @@ def _search(codes: np.ndarray, at: int, k: int, sets: _Sets) -> None:
                 part = places[i : i + (1 << 16)]
                 apart = np.bitwise_count(own[:, None] ^ codes[part][None, :])
                 x, y = np.nonzero(apart <= k)
-                sets.nearest_first(at + a * LEAF + x, at + part[y], apart[x, y])
-
-
-def _link(k: int):
-    """From rows sorted by (top node, Gray rank): links that connect what differs by at most k."""
-
-    def solve(node: np.ndarray, codes: np.ndarray):
-        """node: number of each row's top node, ascending."""
-        n = len(codes)
-        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        sizes = np.diff(np.append(starts, n))
-        sets = _Sets(n)
-        left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes)) - 1  # members after this one
-        small = np.repeat(sizes, sizes) <= LEAF
-        at, near = np.flatnonzero(small & (left > 0)), []
-        for step in range(1, LEAF):
-            at = at[left[at] >= step]
-            if not len(at):
-                break
-            apart = np.bitwise_count(codes[at] ^ codes[at + step])
-            near.append(np.stack([at[apart <= k], at[apart <= k] + step, apart[apart <= k]]))
-        if near:
-            sets.nearest_first(*np.concatenate(near, axis=1))
-        for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-            _search(codes[start : start + size], start, k, sets)
+                yield at + a * LEAF + x, at + part[y], apart[x, y]
+
+
+def _near(node: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, places, differing bits) of all that differ by at most k within a top node. node: number of each row's top node, ascending."""
+    n = len(codes)
+    starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    sizes = np.diff(np.append(starts, n))
+    left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes)) - 1  # members after this one
+    small = np.repeat(sizes, sizes) <= LEAF
+    at, near = np.flatnonzero(small & (left > 0)), []
+    for step in range(1, LEAF):
+        at = at[left[at] >= step]
+        if not len(at):
+            break
+        apart = np.bitwise_count(codes[at] ^ codes[at + step])
+        near.append(np.stack([at[apart <= k], at[apart <= k] + step, apart[apart <= k]]))
+    if near:
+        yield tuple(np.concatenate(near, axis=1))
+    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+        yield from _search(codes[start : start + size], start, k)
+
+
+def _linked(k: int):
+    """Of whole top nodes' rows (code): links that connect what differs by at most k."""
+
+    def solve(node: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes, sets = rows[:, 0], _Sets(len(rows))
+        for found in _near(node, codes.view(np.uint64), k):
+            sets.nearest_first(*found)
         if sets.used:
-            places = np.concatenate(sets.used)
-            pairs = np.sort(codes.view(np.int64)[places], axis=1)
+            pairs = np.sort(codes[np.concatenate(sets.used)], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    return solve
+
+
+def _paired(k: int, limit: float):
+    """Of whole top nodes' rows (code, id, shingles, root): all pairs of ids that differ by at most k, unless their roots are the same or their sizes exclude limit."""
+
+    def solve(node: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes, ids, sizes, roots = (np.ascontiguousarray(c) for c in rows.T)
+        for x, y, _ in _near(node, codes.view(np.uint64), k):
+            open_ = (roots[x] != roots[y]) & (np.minimum(sizes[x], sizes[y]) >= limit * np.maximum(sizes[x], sizes[y]))
+            if open_.any():
+                pairs = np.unique(np.sort(ids[np.stack([x[open_], y[open_]], axis=1)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+    return solve
+
+
+def _by_node(solve, columns: list[str]):
+    """solve() over whole top nodes, from rows sorted by (top node, Gray rank)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mask, pattern, codes = (batch.column(c).to_numpy() for c in ("mask", "pattern", "code"))
-            both = np.stack([mask, pattern], axis=1)
-            held.append((both, codes.view(np.uint64)))
+            both, rows = (np.stack([batch.column(c).to_numpy() for c in names], axis=1) for names in (("mask", "pattern"), columns))
+            held.append((both, rows))
             # whole top nodes are solved; the last one may go on in the next batch
             keys, own = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             cut = len(keys) - 1 - int(np.argmax((keys[::-1] != keys[-1]).any(axis=1))) + 1 if (keys != keys[-1]).any() else 0
@@ -194,12 +217,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFrame:
-    """(a, b): links between distinct codes such that codes reach each other over links of at most k bits exactly if they reach each other over these.
+def _filed(rows: DataFrame, k: int, crowded: int) -> DataFrame:
+    """rows (code and other columns) once per top node (mask, pattern), whole top nodes together and in Gray order.
 
-    Each pair itself differs by at most k, the nearest that connect what they
-    do. A top node with more than `crowded` members is
-    filed again by pairs of blocks of its other bits.
+    A top node with more than `crowded` members is filed again by pairs of
+    blocks of its other bits.
     """
     if k > 12:
         raise ValueError("two of k + 2 blocks would be too short to file by")
@@ -207,8 +229,7 @@ def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFram
     for shift in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, shift))
     masks = block_masks(64, k + 2)
-    distinct = codes.select("code").where("code IS NOT NULL").distinct().select("code", gray.alias("gray"))
-    filed = distinct.select("code", "gray", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
+    filed = rows.select("*", gray.alias("gray"), F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
     nodes = filed.groupBy("mask", "pattern").count().where(F.col("count") > crowded).select(F.col("mask").alias("m"), F.col("pattern").alias("p"))
     nodes = written(nodes, "crowded")
     if nodes.head(1):  # few: each has over `crowded` members
@@ -216,24 +237,38 @@ def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFram
         again = None
         for m in masks:
             finer = F.array(*[F.lit(_signed(m | x)) for x in block_masks(64, k + 2, ~m & (1 << 64) - 1)])
-            part = filed.where(F.col("mask") == _signed(m)).join(nodes, on, "left_semi").select("code", "gray", F.explode(finer).alias("mask"))
+            part = filed.where(F.col("mask") == _signed(m)).join(nodes, on, "left_semi").select(*rows.columns, "gray", F.explode(finer).alias("mask"))
             again = part if again is None else again.unionAll(part)
         again = again.distinct().withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
         filed = filed.join(nodes, on, "left_anti").unionAll(again.select(*filed.columns))
-    dealt = filed.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "gray").select("mask", "pattern", "code")
-    return dealt.mapInArrow(_link(k), "a long, b long").distinct()
+    return filed.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "gray").select("mask", "pattern", *rows.columns)
+
+
+def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFrame:
+    """(a, b): links between distinct codes such that codes reach each other over links of at most k bits exactly if they reach each other over these.
+
+    Each pair itself differs by at most k, the nearest that connect what they
+    do.
+    """
+    distinct = codes.select("code").where("code IS NOT NULL").distinct()
+    return _filed(distinct, k, crowded).mapInArrow(_by_node(_linked(k), ["code"]), "a long, b long").distinct()
+
+
+def near_pairs(rows: DataFrame, k: int, limit: float, crowded: int = CROWDED) -> DataFrame:
+    """(x, y), x < y: every pair of ids of rows (code, id, shingles, root) whose codes differ by at most k and whose roots differ, if their numbers of shingles allow a similarity of limit."""
+    columns = ["code", "id", "shingles", "root"]
+    return _filed(rows.select(columns), k, crowded).mapInArrow(_by_node(_paired(k, limit), columns), "x long, y long").where("x != y").distinct()
 
 
 #: Of a text's shingle hashes, how many of the smallest stand for it when two are compared.
 SKETCH = 512
 
 
-def sketch(text: str | None, words: int) -> np.ndarray:
-    """The smallest SKETCH of the distinct 32-bit shingle hashes (signed) of the whole text, ascending."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct 32-bit shingle hashes (signed) of the whole text, ascending."""
     own = (text or "").encode().lower().split()
     n = max(1, len(own) - words + 1)
-    hashes = np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + words])) for i in range(n)), np.uint32, n).view(np.int32))
-    return hashes[:SKETCH]
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + words])) for i in range(n)), np.uint32, n).view(np.int32))
 
 
 def _alike(a, b, limit: float):
@@ -246,8 +281,11 @@ def thinned(docs: DataFrame, words: int = 5, k: int = 12, limit: float = 0.8, te
     """docs with one row of each group of near-duplicates: that with the least id.
 
     Texts whose fingerprints differ by at most k bits are compared by their
-    shingles, and linked if these are alike to at least limit. Rows without an
-    id stay; rows that repeat an id stay or go together.
+    shingles, and linked if these are alike to at least limit. First those
+    that connect all within k bits are compared; then, of texts with such a
+    neighbour, every further pair within k bits that these links left in
+    different groups. Rows without an id stay; rows that repeat an id stay or
+    go together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,20 +293,31 @@ def thinned(docs: DataFrame, words: int = 5, k: int = 12, limit: float = 0.8, te
             for i in range(0, batch.num_rows, 1000):
                 texts = [t.as_py() for t in batch.column(1).slice(i, 1000)]
                 codes = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1000), pa.array(codes), pa.array([sketch(t, words) for t in texts], pa.list_(pa.int32()))], ["id", "code", "sketch"])
+                own = [shingles(t, words) for t in texts]
+                columns = [batch.column(0).slice(i, 1000), pa.array(codes), pa.array(map(len, own), pa.int64()), pa.array([h[:SKETCH] for h in own], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "code", "shingles", "sketch"])
 
-    known = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").mapInArrow(run, "id long, code long, sketch array<int>")
+    known = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").mapInArrow(run, "id long, code long, shingles long, sketch array<int>")
     known = written(known, "sketches")
-    heads = known.groupBy("code").agg(F.min("id").alias("head"))
-    links = near_links(known.select("code"), k)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        compared = written(known.join(asked, "id", "left_semi").select("id", "sketch").distinct(), "compared")
+        one, two = (compared.select(F.col("id").alias(c), F.col("sketch").alias(s)) for c, s in (("x", "left"), ("y", "right")))
+        return written(pairs.join(one, "x").join(two, "y").where(_alike(F.col("left"), F.col("right"), limit)).select("x", "y"), "alike")
+
+    heads = known.groupBy("code").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+    links = written(near_links(known.select("code"), k), "near-codes")
     near = links.join(heads.select(F.col("code").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("code").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
     same = known.join(heads, "code").where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
-    pairs = written(near.unionAll(same).distinct(), "near-pairs")
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    compared = written(known.join(asked, "id", "left_semi").select("id", "sketch"), "compared")
-    one, two = (compared.groupBy(F.col("id").alias(c)).agg(F.first("sketch").alias(s)) for c, s in (("x", "left"), ("y", "right")))
-    alike = pairs.join(one, "x").join(two, "y").where(_alike(F.col("left"), F.col("right"), limit)).select("x", "y")
-    gone = stars(alike, "x", "y").select(F.col("node").alias("__gone"))
+    pairs = written(near.unionAll(same).where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
+    first = alike(pairs)
+    # a code that has another within k bits is in a link, or has several ids
+    crowd = links.select(F.explode(F.array("a", "b")).alias("code")).unionAll(heads.where("head != last").select("code")).distinct()
+    rows = known.select("id", "code", "shingles").distinct().join(crowd, "code", "left_semi").join(stars(first, "x", "y"), F.col("id") == F.col("node"), "left")
+    rows = written(rows.select("code", "id", "shingles", F.coalesce("root", "id").alias("root")), "grouped")
+    further = written(near_pairs(rows, k, limit).join(pairs, ["x", "y"], "left_anti"), "further-pairs")
+    gone = stars(first.unionAll(alike(further)), "x", "y").select(F.col("node").alias("__gone"))
     return docs.join(gone, F.col(ident).cast("long") == F.col("__gone"), "left_anti")
 
 

@@ -191,6 +191,36 @@ def test_near_copies_go_and_clean_ones_stay(spark, odd, none):
     assert simhash.thinned(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("crowded", [20_000, 8])
+def test_all_pairs_within_k_across_groups(spark, crowded):
+    rng = np.random.default_rng(2)
+    codes = []
+    for base in rng.integers(0, 1 << 63, 3, dtype=np.uint64):
+        for _ in range(90):
+            x = int(base)
+            for b in rng.integers(0, 64, int(rng.integers(0, 6))):
+                x ^= 1 << int(b)
+            codes.append(x)
+    codes = np.array(codes, np.uint64)  # with repetitions
+    sizes, roots = rng.integers(80, 120, len(codes)), rng.integers(0, 40, len(codes))
+    ok = lambda i, j: roots[i] != roots[j] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
+    want = {(i, int(j)) for i in range(len(codes)) for j in i + 1 + np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= 6) if ok(i, j)}
+    rows = [(int(c), i, int(n), int(r)) for i, (c, n, r) in enumerate(zip(codes.view(np.int64), sizes, roots, strict=True))]
+    got = [tuple(r) for r in simhash.near_pairs(spark.createDataFrame(rows, "code long, id long, shingles long, root long"), 6, 0.8, crowded).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_that_no_nearest_link_joins(spark, monkeypatch):
+    # 2 lies between 1 and 3 in bits but has other shingles, and 4 has 2's code; 1 and 3 are alike, 2 and 5 aren't alike to anything, 4 is alike to 6
+    long = [f"w{i}" for i in range(100)]
+    texts = {1: long, 3: long[:-1], 2: [f"x{i}" for i in range(100)], 4: [f"y{i}" for i in range(100)], 5: [f"z{i}" for i in range(100)], 6: [f"y{i}" for i in range(98)]}
+    codes = {1: 0b0, 2: 0b111, 3: 0b11111, 4: 0b111, 5: 0b11, 6: 0b1110}
+    known = {" ".join(t): codes[i] for i, t in texts.items()}
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, words: known[text])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.thinned(docs).collect()) == [1, 2, 4, 5]
+
+
 # ---- 4 byte BPE ----
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
