@@ -31,20 +31,26 @@ CROWDED = 20_000
 
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash of the text's word shingles, each with XXH64 (seed 42); A-Z are lower-cased. No words: zero."""
+def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of each of the text's word shingles, in parts; A-Z are lower-cased. No words: nothing."""
     body = b" ".join((text or "").encode().lower().split())
     if not body:
-        return 0
+        return
     spaces = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
     starts, ends = np.concatenate([[0], spaces + 1]), np.append(spaces, len(body))
     n = max(1, len(starts) - words + 1)
     starts, ends = starts[:n].tolist(), ends[min(words, len(ends)) - 1 :].tolist()
-    total = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, n, 1 << 16):
-        hashes = np.fromiter((digest(body[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)), np.uint64, min(n - i, 1 << 16))
+        yield np.fromiter((digest(body[a:b], 42) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)), np.uint64, min(n - i, 1 << 16))
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """SimHash of the text's word shingles, each with XXH64 (seed 42); A-Z are lower-cased. No words: zero."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in _hashes(text, words):
         total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * total > n).tobytes())
 
 
@@ -260,21 +266,35 @@ def near_pairs(rows: DataFrame, k: int, limit: float, crowded: int = CROWDED) ->
     return _filed(rows.select(columns), k, crowded).mapInArrow(_by_node(_paired(k, limit), columns), "x long, y long").where("x != y").distinct()
 
 
-#: Of a text's shingle hashes, how many of the smallest stand for it when two are compared.
+#: Of a text's 32-bit shingle hashes, how many of the smallest tell which pairs can't be alike.
 SKETCH = 512
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct 32-bit shingle hashes (signed) of the whole text, ascending."""
-    own = (text or "").encode().lower().split()
-    n = max(1, len(own) - words + 1)
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(own[i : i + words])) for i in range(n)), np.uint32, n).view(np.int32))
+    """The distinct 64-bit shingle hashes (signed) of the whole text, ascending. No words: one, zero."""
+    return np.unique(np.concatenate(list(_hashes(text, words)) or [np.zeros(1, np.uint64)]).view(np.int64))
 
 
-def _alike(a, b, limit: float):
-    """Whether two sketches' Jaccard similarity (exact up to SKETCH shingles, else estimated) reaches limit."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest SKETCH of the lower halves (signed) of shingle hashes, ascending."""
+    return np.unique(hashes.astype(np.int32))[:SKETCH]
+
+
+def _maybe_alike(a, b, n, limit: float):
+    """Whether the sketches a and b leave it open that Jaccard similarity reaches limit; n: shingles of both texts together.
+
+    A hash among the union's smallest that only one text has is a shingle
+    which only one has, and similar texts have no more of these than
+    n (1 - limit) / (1 + limit). So no pair is lost here.
+    """
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) >= limit * F.size(union)
+    return F.size(union) - F.size(F.array_intersect(F.array_intersect(union, a), b)) <= n * ((1 - limit) / (1 + limit)) + 1e-6
+
+
+def _alike(a, b, limit: float):
+    """Whether the Jaccard similarity of two arrays of distinct shingles reaches limit."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= limit * (F.size(a) + F.size(b) - both)
 
 
 def thinned(docs: DataFrame, words: int = 5, k: int = 12, limit: float = 0.8, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -294,17 +314,30 @@ def thinned(docs: DataFrame, words: int = 5, k: int = 12, limit: float = 0.8, te
                 texts = [t.as_py() for t in batch.column(1).slice(i, 1000)]
                 codes = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
                 own = [shingles(t, words) for t in texts]
-                columns = [batch.column(0).slice(i, 1000), pa.array(codes), pa.array(map(len, own), pa.int64()), pa.array([h[:SKETCH] for h in own], pa.list_(pa.int32()))]
+                columns = [batch.column(0).slice(i, 1000), pa.array(codes), pa.array(map(len, own), pa.int64()), pa.array(map(sketch, own), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "code", "shingles", "sketch"])
 
-    known = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL").mapInArrow(run, "id long, code long, shingles long, sketch array<int>")
-    known = written(known, "sketches")
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), words) for t in part.column(1)], pa.list_(pa.int64()))], ["id", "whole"])
+
+    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL")
+    known = written(texts.mapInArrow(run, "id long, code long, shingles long, sketch array<int>"), "sketches")
+
+    def matched(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+        """pairs with the columns of x's and y's rows as structs left and right."""
+        one, two = (of.select(F.col("id").alias(c), F.struct(*columns).alias(s)) for c, s in (("x", "left"), ("y", "right")))
+        return pairs.join(one, "x").join(two, "y")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        compared = written(known.join(asked, "id", "left_semi").select("id", "sketch").distinct(), "compared")
-        one, two = (compared.select(F.col("id").alias(c), F.col("sketch").alias(s)) for c, s in (("x", "left"), ("y", "right")))
-        return written(pairs.join(one, "x").join(two, "y").where(_alike(F.col("left"), F.col("right"), limit)).select("x", "y"), "alike")
+        asked = lambda pairs: pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        compared = written(known.join(asked(pairs), "id", "left_semi").select("id", "shingles", "sketch").distinct(), "compared")
+        maybe = _maybe_alike(F.col("left.sketch"), F.col("right.sketch"), F.col("left.shingles") + F.col("right.shingles"), limit)
+        maybe = written(matched(pairs, compared, ["shingles", "sketch"]).where(maybe).select("x", "y").distinct(), "maybe-alike")
+        exact = written(texts.join(asked(maybe), "id", "left_semi").mapInArrow(whole, "id long, whole array<long>").distinct(), "shingles")
+        return written(matched(maybe, exact, ["whole"]).where(_alike(F.col("left.whole"), F.col("right.whole"), limit)).select("x", "y").distinct(), "alike")
 
     heads = known.groupBy("code").agg(F.min("id").alias("head"), F.max("id").alias("last"))
     links = written(near_links(known.select("code"), k), "near-codes")

@@ -221,6 +221,26 @@ def test_pairs_that_no_nearest_link_joins(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.thinned(docs).collect()) == [1, 2, 4, 5]
 
 
+def test_long_texts_are_compared_by_all_their_shingles(spark):
+    # pairs of 6000 words just below and just above 0.8, which 512 hashes can't tell apart
+    def pair(seed: int, changed: int) -> tuple[str, str, float]:
+        rng = random.Random(seed)
+        one = [f"w{rng.randrange(10**9)}" for _ in range(6000)]
+        two = one[:-changed] + [f"w{rng.randrange(10**9)}" for _ in range(changed)]
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (one, two))
+        return " ".join(one), " ".join(two), len(a & b) / len(a | b)
+
+    rows, want = [], []
+    for n in range(24):
+        one, two, alike = pair(n, 650 if n % 2 else 680)
+        rows += [(2 * n, one), (2 * n + 1, two)]
+        near = (simhash.fingerprint(one, 5) ^ simhash.fingerprint(two, 5)).bit_count() <= 12
+        assert 0.79 < alike < 0.81 and (alike >= 0.8) == bool(n % 2)
+        want += [2 * n] if near and alike >= 0.8 else [2 * n, 2 * n + 1]
+    assert 24 < len(want) < 48
+    assert sorted(r.doc_id for r in simhash.thinned(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 # ---- 4 byte BPE ----
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
