@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +29,11 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-_PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[ \t]{0,16}(?::=|=>|[:=](?![:=/]))[ \t]{0,16}([^\n;,}{]{1,4096})""")
-_TAG = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\n]{1,4096})</\1>")
-_TERM = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.=~!@#%^&*-]+)""")
+_PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=](?![:=/]))[ \t]*+""")
+_TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]++)</\1>")
+#: Quoted terms go to their closing quote, whatever they hold; the others end at blanks, quotes and ; , { }.
+_TERM = re.compile(r""""([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z0-9+/_.=~!@#%^&*-]++)""")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 #: Parts of a name that tell what is assigned, and how strongly.
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.5, "auth": 0.5, "bearer": 0.8, "access": 0.4, "key": 0.5, "signing": 0.5, "pin": 0.5}
@@ -46,8 +50,14 @@ def literal_score(literal: str) -> float:
     """How much a literal looks like a secret, 0 to 1: length, bits per character, and mixed kinds of characters."""
     if len(literal) < 8 or " " in literal.strip():
         return 0.0
-    bits = -sum(c / len(literal) * math.log2(c / len(literal)) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return _score(Counter(literal), len(literal))
+
+
+def _score(counts: Counter, n: int) -> float:
+    if n < 8:
+        return 0.0
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = sum(any(map(re.compile(p).match, counts)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.15 * bits + 0.1 * kinds) if kinds > 1 else 0.0
 
 
@@ -62,61 +72,114 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[int, int, str | None]]]]:
-    """(name, terms) in order; a term is (start, end, literal), or with None for a reference to the name there."""
-    pairs = []
-    for form in (_PAIR, _TAG):
+class Flow:
+    """The assignments of a text as a graph: names, the terms that they take, and for each term the one that follows it after a +.
+
+    A term that several assignments share (``a: b=c + d``) is kept once, so the
+    graph grows with the text alone.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        #: (start, limit): (start, end, form, next term) of a term; form is 3 for those without quotes
+        self.terms: dict[tuple[int, int], tuple[int, int, int, tuple[int, int] | None]] = {}
+        self.heads: dict[str, list[tuple[tuple[int, int], bool]]] = {}
+        self._bare = (0, 0)
+        at = 0
+        while m := _PAIR.search(text, at):
+            at = m.end()
+            self._assign(m.group(1), (at, len(text)), True)
         at = 0
-        while m := form.search(text, at):
+        while m := _TAG.search(text, at):
             at = m.start(2)
-            terms, begin = [], m.start(2)
-            while t := _TERM.match(text, begin, m.end(2)):
-                quoted = t.group(3) is None
-                group = 1 if t.group(1) is not None else 2 if quoted else 3
-                reference = not quoted and form is _PAIR and _NAME.fullmatch(t.group(3)) and not re.search(r"[0-9]", t.group(3))
-                terms.append((t.start(group), t.end(group), None if reference else t.group(group)))
-                plus = re.compile(r"[ \t]*\+[ \t]*").match(text, t.end(), m.end(2))
-                if not plus:
-                    break
-                begin = plus.end()
-            if terms:
-                pairs.append((m.group(1), terms))
-    return pairs
+            self._assign(m.group(1), (at, m.end(2)), False)
+
+    def _assign(self, name: str, key: tuple[int, int], refers: bool) -> None:
+        if self._read(key):
+            self.heads.setdefault(name, []).append((key, refers))
+
+    def _term(self, at: int, limit: int) -> tuple[int, int, int, int] | None:
+        """(start, end, form, place after it)."""
+        if self._bare[0] <= at < self._bare[1] <= limit:
+            return at, self._bare[1], 3, self._bare[1]  # the rest of a run that was read
+        if not (m := _TERM.match(self.text, at, limit)):
+            return None
+        if m.lastindex == 3:
+            self._bare = m.span()
+        return *m.span(m.lastindex), m.lastindex, m.end()
+
+    def _read(self, key: tuple[int, int]) -> bool:
+        """Enter the chain of terms at key, up to one that is known."""
+        before, first = None, key
+        while key not in self.terms and (term := self._term(*key)):
+            start, end, form, after = term
+            plus = _PLUS.match(self.text, after, key[1])
+            self.terms[key] = (start, end, form, (plus.end(), key[1]) if plus else None)
+            before, key = key, (plus.end(), key[1]) if plus else None
+            if key is None:
+                break
+        if before and key is not None and key not in self.terms:  # a + that nothing follows
+            self.terms[before] = (*self.terms[before][:3], None)
+        return first in self.terms
+
+    def _refers(self, start: int, end: int) -> bool:
+        """Whether the term is a reference: a name without digits."""
+        return bool((m := _NAME.match(self.text, start, end)) and m.end() == end and not re.search(r"[0-9]", m.group()))
+
+    def targets(self) -> dict[tuple[int, int], float]:
+        """(start, end) of each literal that reaches a sensitive name: that name's score, the highest one's."""
+        found: dict[tuple[int, int], float] = {}
+        names, terms = set(), set()
+        for score, name in sorted(((name_score(n), n) for n in self.heads), reverse=True):
+            todo = [name] if score and name not in names else []
+            names.update(todo)
+            while todo:
+                for key, refers in self.heads[todo.pop()]:
+                    while key and (key, refers) not in terms:
+                        terms.add((key, refers))
+                        start, end, form, key = self.terms[key]
+                        if refers and form == 3 and self._refers(start, end):
+                            if (to := self.text[start:end]) in self.heads and to not in names:
+                                names.add(to)
+                                todo.append(to)
+                        elif (start, end) not in found:
+                            found[start, end] = score
+        return found
+
+
+def _literal_scores(text: str, spans: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """literal_score of each span; those with the same end share their counts."""
+    by_end: dict[int, list[int]] = {}
+    for start, end in spans:
+        by_end.setdefault(end, []).append(start)
+    out = {}
+    for end, starts in by_end.items():
+        if len(starts) == 1 or " " in text[min(starts) : end]:
+            out.update({(a, end): literal_score(text[a:end]) for a in starts})
+            continue
+        counts, at = Counter(), end
+        for a in sorted(starts, reverse=True):
+            counts.update(text[a:at])
+            at = a
+            out[a, end] = _score(counts, end - a)
+    return out
 
 
 def flow_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach sensitive names."""
     if not ("=" in text or ":" in text or "</" in text):
         return []
-    pairs = assignments(text)
-    literals: dict[str, set[tuple[int, int, str]]] = {}
-    uses: dict[str, set[str]] = {}
-    for name, terms in pairs:
-        for start, end, literal in terms:
-            if literal is None:
-                uses.setdefault(text[start:end], set()).add(name)
-            else:
-                literals.setdefault(name, set()).add((start, end, literal))
-    best: dict[tuple[int, int], float] = {}
-    for name, own in literals.items():
-        reached, todo = {name}, [name]
-        while todo:
-            for other in uses.get(todo.pop(), ()):
-                if other not in reached:
-                    reached.add(other)
-                    todo.append(other)
-        target = max(map(name_score, reached))
-        if target:
-            for start, end, literal in own:
-                best[start, end] = max(best.get((start, end), 0), target * 0.6 + literal_score(literal))
-    return sorted((start, end, "flow") for (start, end), score in best.items() if score >= 1 and literal_score(text[start:end]))
+    targets = Flow(text).targets()
+    scores = _literal_scores(text, list(targets))
+    return sorted((start, end, "flow") for (start, end), target in targets.items() if scores[start, end] and target * 0.6 + scores[start, end] >= 1)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text; flow spans that lie in a base span aren't repeated."""
     text = text or ""
     base = base_spans(text)
-    extra = [f for f in flow_spans(text) if not any(b[0] <= f[0] and f[1] <= b[1] for b in base)]
+    starts, ends = [b[0] for b in base], list(accumulate((b[1] for b in base), max))
+    extra = [f for f in flow_spans(text) if not ((i := bisect_right(starts, f[0])) and f[1] <= ends[i - 1])]
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

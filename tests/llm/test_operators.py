@@ -429,5 +429,18 @@ def test_constants_reach_sensitive_names(spark, odd, none):
     assert secrets.find(odd).count() == 9 and secrets.find(none).count() == 0
 
 
+def test_literals_of_any_form_and_length():
+    mixed = "".join(random.Random(1).choices("abcXYZ0189!", k=6000))
+    for value in ("p@ss;Xw0rd12Kq", "p@ss,{Xw0rd}12Kq", mixed):
+        for text in (f'db_credential = "{value}"', f"{'x' * 70}_pwd{' ' * 40}={' ' * 40}'{value}'"):
+            _, spans = secrets.scan(text)
+            assert [(text[a:b], k) for a, b, k in spans] == [(value, "flow")]
+    tag = f"<{'x' * 70}_pwd>{mixed}</{'x' * 70}_pwd>"
+    assert ("flow" in {k for *_, k in secrets.scan(tag)[1]}) and secrets.scan("pwd = Ab1;Xw0rd12Kq")[1] == []
+    # terms that assignments share, in texts that would take minutes if each read its own
+    for text in ("key=a1" * 20_000, "key: b=c + " * 10_000, "key:'" * 40_000, "".join(f"k{i}: k{i + 1}\n" for i in range(20_000)), "a" + " " * 200_000, "a: " + "'x' + " * 30_000):
+        secrets.scan(text)
+
+
 def test_crc_of_pieces_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\xff\xff")).alias("c")).first().c == zlib.crc32(b"\xff\xff")
