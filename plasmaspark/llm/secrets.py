@@ -34,7 +34,7 @@ _TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]++)</\1>")
 #: Quoted terms go to their closing quote, whatever they hold; the others end at blanks, quotes and ; , { }.
 _TERM = re.compile(r""""([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z0-9+/_.=~!@#%^&*-]++)""")
 _PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*+")
 #: Parts of a name that tell what is assigned, and how strongly.
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.5, "auth": 0.5, "bearer": 0.8, "access": 0.4, "key": 0.5, "signing": 0.5, "pin": 0.5}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -123,8 +123,8 @@ class Flow:
         return first in self.terms
 
     def _refers(self, start: int, end: int) -> bool:
-        """Whether the term is a reference: a name without digits."""
-        return bool((m := _NAME.match(self.text, start, end)) and m.end() == end and not re.search(r"[0-9]", m.group()))
+        """Whether the term is a reference: a name that is assigned in the text."""
+        return bool((m := _NAME.match(self.text, start, end)) and m.end() == end and m.group() in self.heads)
 
     def targets(self) -> dict[tuple[int, int], float]:
         """(start, end) of each literal that reaches a sensitive name: that name's score, the highest one's."""
@@ -139,7 +139,7 @@ class Flow:
                         terms.add((key, refers))
                         start, end, form, key = self.terms[key]
                         if refers and form == 3 and self._refers(start, end):
-                            if (to := self.text[start:end]) in self.heads and to not in names:
+                            if (to := self.text[start:end]) not in names:
                                 names.add(to)
                                 todo.append(to)
                         elif (start, end) not in found:

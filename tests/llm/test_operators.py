@@ -442,5 +442,13 @@ def test_literals_of_any_form_and_length():
         secrets.scan(text)
 
 
+def test_names_with_digits_are_references():
+    for text in ("s3_raw = 'Zx9!kLmQ22pw'\ndb_credential = s3_raw", "db_credential = key2 + step1\nstep1: v0\nv0 = 'Zx9!kLmQ22pw'"):
+        _, spans = secrets.scan(text)
+        assert [(text[a:b], k) for a, b, k in spans] == [("Zx9!kLmQ22pw", "flow")]
+    text = "db_credential = Zx9kLmQ22pw"  # assigned nowhere
+    assert [(text[a:b], k) for a, b, k in secrets.scan(text)[1]] == [("Zx9kLmQ22pw", "flow")]
+
+
 def test_crc_of_pieces_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\xff\xff")).alias("c")).first().c == zlib.crc32(b"\xff\xff")
