@@ -100,8 +100,6 @@ def infer(logs: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         own, value = (share, fit) if size == k else _mixture(logs, n, doc, starts, allowed)
         better = value - size * price > best
         chosen[better], best[better] = own[better], (value - size * price)[better]
-        if size > 1 and not better.any():
-            break
     return chosen
 
 

@@ -290,6 +290,15 @@ def test_languages_and_mixtures(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd.select("doc_id", "text"), None).collect()} == {"und"}
 
 
+def test_inference_of_a_document_is_its_own():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(2, 12, 1500)
+    logs, n = rng.normal(-20, 8, (sizes.sum(), 4)), rng.integers(1, 9, sizes.sum())
+    together, ends = langid.infer(logs, n, sizes), np.cumsum(sizes)
+    for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+        assert np.allclose(langid.infer(logs[a:b], n[a:b], sizes[i : i + 1])[0], together[i])
+
+
 # ---- 6 personal data ----
 
 
