@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plasmaspark.llm.components import stars
@@ -30,7 +30,6 @@ LEAF = 64
 CROWDED = 20_000
 
 
-
 def _hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of each of the text's word shingles, in parts; A-Z are lower-cased. No words: nothing."""
     body = b" ".join((text or "").encode().lower().split())
@@ -73,15 +72,14 @@ def block_masks(bits: int, blocks: int, within: int = (1 << 64) - 1) -> list[int
     return [x | y for x, y in combinations(each, 2)]
 
 
-def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """Place of each code in Gray order: the number whose Gray code it is."""
-    rank = codes.copy()
+def gray(code: Column) -> Column:
+    """Gray rank of a long of bits: the number whose Gray code it is, which puts similar codes together."""
     for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code
 
 
-class _Sets:
+class Sets:
     """Disjoint sets over 0..n-1; join() takes arrays of linked places."""
 
     def __init__(self, n: int):
@@ -120,38 +118,57 @@ class _Sets:
             self.join(a[apart == d], b[apart == d])
 
 
-def _shared(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each run of `size` codes: the bits that all have in common (a mask), and a member."""
-    at = np.arange(0, len(codes), size)
-    every, some = np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at)
-    return ~(every ^ some), codes[at]
+#: Codes are lists of arrays, one for each of their 64-bit words.
+Codes = list[np.ndarray]
+
+
+def _differing(one: Codes, two: Codes) -> np.ndarray:
+    """Differing bits of codes, pair by pair (arrays that broadcast)."""
+    total = np.bitwise_count(one[0] ^ two[0])
+    for x, y in zip(one[1:], two[1:], strict=True):
+        total = total + np.bitwise_count(x ^ y).astype(np.uint16)
+    return total
+
+
+def _shared(codes: Codes, size: int) -> tuple[Codes, Codes]:
+    """Of each run of `size` codes: the bits that all have in common (masks), and a member."""
+    at = np.arange(0, len(codes[0]), size)
+    return [~(np.bitwise_and.reduceat(c, at) ^ np.bitwise_or.reduceat(c, at)) for c in codes], [c[at] for c in codes]
 
 
-def _search(codes: np.ndarray, at: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _apart_in_shared(masks: Codes, members: Codes, one: int, others: np.ndarray) -> np.ndarray:
+    """Bits in which all members of run `one` differ from all members of each of the others."""
+    return _differing([m[others] & x[others] & x[one] for m, x in zip(members, masks, strict=True)], [m[one] & x[others] & x[one] for m, x in zip(members, masks, strict=True)])
+
+
+def _search(codes: Codes, at: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, places, differing bits) of all members of one top node that differ by at most k. codes are in Gray order; at: place of the first."""
     mask, member = _shared(codes, LEAF)
     upper_mask, upper = _shared(codes, LEAF * LEAF)
-    n = len(mask)
-    for g in range(len(upper)):
-        groups = g + np.flatnonzero(np.bitwise_count((upper[g:] ^ upper[g]) & upper_mask[g:] & upper_mask[g]) <= k)
+    n, size = len(mask[0]), len(codes[0])
+    for g in range(len(upper[0])):
+        groups = np.arange(g, len(upper[0]))
+        groups = groups[_apart_in_shared(upper_mask, upper, g, groups) <= k]
         leaves = (groups[:, None] * LEAF + np.arange(LEAF)).ravel()
         leaves = leaves[leaves < n]
         for a in range(g * LEAF, min(n, (g + 1) * LEAF)):
             others = leaves[leaves >= a]
-            others = others[np.bitwise_count((member[others] ^ member[a]) & mask[others] & mask[a]) <= k]
-            own = codes[a * LEAF : (a + 1) * LEAF]
+            others = others[_apart_in_shared(mask, member, a, others) <= k]
+            own = [c[a * LEAF : (a + 1) * LEAF] for c in codes]
             places = (others[:, None] * LEAF + np.arange(LEAF)).ravel()
-            places = places[places < len(codes)]
+            places = places[places < size]
             for i in range(0, len(places), 1 << 16):
                 part = places[i : i + (1 << 16)]
-                apart = np.bitwise_count(own[:, None] ^ codes[part][None, :])
-                x, y = np.nonzero(apart <= k)
-                yield at + a * LEAF + x, at + part[y], apart[x, y]
+                # differences accumulate over a code's words: what is past k after the first two is left there
+                x, y = np.nonzero(_differing([c[:, None] for c in own[:2]], [c[part][None, :] for c in codes[:2]]) <= k)
+                apart = _differing([c[x] for c in own], [c[part[y]] for c in codes])
+                near = apart <= k
+                yield at + a * LEAF + x[near], at + part[y[near]], apart[near]
 
 
-def _near(node: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near(node: np.ndarray, codes: Codes, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, places, differing bits) of all that differ by at most k within a top node. node: number of each row's top node, ascending."""
-    n = len(codes)
+    n = len(node)
     starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
     sizes = np.diff(np.append(starts, n))
     left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes)) - 1  # members after this one
@@ -161,20 +178,21 @@ def _near(node: np.ndarray, codes: np.ndarray, k: int) -> Iterator[tuple[np.ndar
         at = at[left[at] >= step]
         if not len(at):
             break
-        apart = np.bitwise_count(codes[at] ^ codes[at + step])
-        near.append(np.stack([at[apart <= k], at[apart <= k] + step, apart[apart <= k]]))
+        x = at[_differing([c[at] for c in codes[:2]], [c[at + step] for c in codes[:2]]) <= k]
+        apart = _differing([c[x] for c in codes], [c[x + step] for c in codes])
+        near.append(np.stack([x[apart <= k], x[apart <= k] + step, apart[apart <= k]]))
     if near:
         yield tuple(np.concatenate(near, axis=1))
     for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        yield from _search(codes[start : start + size], start, k)
+        yield from _search([c[start : start + size] for c in codes], start, k)
 
 
 def _linked(k: int):
     """Of whole top nodes' rows (code): links that connect what differs by at most k."""
 
-    def solve(node: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes, sets = rows[:, 0], _Sets(len(rows))
-        for found in _near(node, codes.view(np.uint64), k):
+    def solve(node: np.ndarray, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes, sets = rows.column("code").to_numpy(), Sets(rows.num_rows)
+        for found in near(node, [codes.view(np.uint64)], k):
             sets.nearest_first(*found)
         if sets.used:
             pairs = np.sort(codes[np.concatenate(sets.used)], axis=1)
@@ -183,38 +201,25 @@ def _linked(k: int):
     return solve
 
 
-def _paired(k: int, limit: float):
-    """Of whole top nodes' rows (code, id, shingles, root): all pairs of ids that differ by at most k, unless their roots are the same or their sizes exclude limit."""
-
-    def solve(node: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes, ids, sizes, roots = (np.ascontiguousarray(c) for c in rows.T)
-        for x, y, _ in _near(node, codes.view(np.uint64), k):
-            open_ = (roots[x] != roots[y]) & (np.minimum(sizes[x], sizes[y]) >= limit * np.maximum(sizes[x], sizes[y]))
-            if open_.any():
-                pairs = np.unique(np.sort(ids[np.stack([x[open_], y[open_]], axis=1)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
-
-    return solve
-
-
-def _by_node(solve, columns: list[str]):
-    """solve() over whole top nodes, from rows sorted by (top node, Gray rank)."""
+def by_node(solve, node: tuple[str, str]):
+    """solve() over whole top nodes (two columns name them), from rows sorted by (top node, Gray rank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            both, rows = (np.stack([batch.column(c).to_numpy() for c in names], axis=1) for names in (("mask", "pattern"), columns))
-            held.append((both, rows))
             # whole top nodes are solved; the last one may go on in the next batch
-            keys, own = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            cut = len(keys) - 1 - int(np.argmax((keys[::-1] != keys[-1]).any(axis=1))) + 1 if (keys != keys[-1]).any() else 0
+            rows = pa.Table.from_batches([*held, batch])
+            first, second = (rows.column(c).to_numpy() for c in node)
+            new = np.append(False, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+            cut = len(new) - 1 - int(np.argmax(new[::-1])) if new.any() else 0
             if cut:
-                yield from solve(np.cumsum(np.append(0, (keys[1:cut] != keys[: cut - 1]).any(axis=1))), own[:cut])
-            held = [(keys[cut:], own[cut:])]
-        if held and len(held[0][1]):
-            yield from solve(np.zeros(len(held[0][1]), int), held[0][1])
+                yield from solve(np.cumsum(new[:cut]), rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from solve(np.zeros(rows.num_rows, int), rows)
 
     return run
 
@@ -231,11 +236,8 @@ def _filed(rows: DataFrame, k: int, crowded: int) -> DataFrame:
     """
     if k > 12:
         raise ValueError("two of k + 2 blocks would be too short to file by")
-    gray = F.col("code")
-    for shift in (1, 2, 4, 8, 16, 32):
-        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, shift))
     masks = block_masks(64, k + 2)
-    filed = rows.select("*", gray.alias("gray"), F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
+    filed = rows.select("*", gray(F.col("code")).alias("gray"), F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask")).withColumn("pattern", F.col("code").bitwiseAND(F.col("mask")))
     nodes = filed.groupBy("mask", "pattern").count().where(F.col("count") > crowded).select(F.col("mask").alias("m"), F.col("pattern").alias("p"))
     nodes = written(nodes, "crowded")
     if nodes.head(1):  # few: each has over `crowded` members
@@ -257,101 +259,7 @@ def near_links(codes: DataFrame, k: int = 4, crowded: int = CROWDED) -> DataFram
     do.
     """
     distinct = codes.select("code").where("code IS NOT NULL").distinct()
-    return _filed(distinct, k, crowded).mapInArrow(_by_node(_linked(k), ["code"]), "a long, b long").distinct()
-
-
-def near_pairs(rows: DataFrame, k: int, limit: float, crowded: int = CROWDED) -> DataFrame:
-    """(x, y), x < y: every pair of ids of rows (code, id, shingles, root) whose codes differ by at most k and whose roots differ, if their numbers of shingles allow a similarity of limit."""
-    columns = ["code", "id", "shingles", "root"]
-    return _filed(rows.select(columns), k, crowded).mapInArrow(_by_node(_paired(k, limit), columns), "x long, y long").where("x != y").distinct()
-
-
-#: Of a text's 32-bit shingle hashes, how many of the smallest tell which pairs can't be alike.
-SKETCH = 512
-
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct 64-bit shingle hashes (signed) of the whole text, ascending. No words: one, zero."""
-    return np.unique(np.concatenate(list(_hashes(text, words)) or [np.zeros(1, np.uint64)]).view(np.int64))
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The smallest SKETCH of the lower halves (signed) of shingle hashes, ascending."""
-    return np.unique(hashes.astype(np.int32))[:SKETCH]
-
-
-def _maybe_alike(a, b, n, limit: float):
-    """Whether the sketches a and b leave it open that Jaccard similarity reaches limit; n: shingles of both texts together.
-
-    A hash among the union's smallest that only one text has is a shingle
-    which only one has, and similar texts have no more of these than
-    n (1 - limit) / (1 + limit). So no pair is lost here.
-    """
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(union) - F.size(F.array_intersect(F.array_intersect(union, a), b)) <= n * ((1 - limit) / (1 + limit)) + 1e-6
-
-
-def _alike(a, b, limit: float):
-    """Whether the Jaccard similarity of two arrays of distinct shingles reaches limit."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= limit * (F.size(a) + F.size(b) - both)
-
-
-def thinned(docs: DataFrame, words: int = 5, k: int = 12, limit: float = 0.8, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near-duplicates: that with the least id.
-
-    Texts whose fingerprints differ by at most k bits are compared by their
-    shingles, and linked if these are alike to at least limit. First those
-    that connect all within k bits are compared; then, of texts with such a
-    neighbour, every further pair within k bits that these links left in
-    different groups. Rows without an id stay; rows that repeat an id stay or
-    go together.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                texts = [t.as_py() for t in batch.column(1).slice(i, 1000)]
-                codes = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-                own = [shingles(t, words) for t in texts]
-                columns = [batch.column(0).slice(i, 1000), pa.array(codes), pa.array(map(len, own), pa.int64()), pa.array(map(sketch, own), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "code", "shingles", "sketch"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                part = batch.slice(i, 100)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), words) for t in part.column(1)], pa.list_(pa.int64()))], ["id", "whole"])
-
-    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("__text")).where("id IS NOT NULL")
-    known = written(texts.mapInArrow(run, "id long, code long, shingles long, sketch array<int>"), "sketches")
-
-    def matched(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
-        """pairs with the columns of x's and y's rows as structs left and right."""
-        one, two = (of.select(F.col("id").alias(c), F.struct(*columns).alias(s)) for c, s in (("x", "left"), ("y", "right")))
-        return pairs.join(one, "x").join(two, "y")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        asked = lambda pairs: pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        compared = written(known.join(asked(pairs), "id", "left_semi").select("id", "shingles", "sketch").distinct(), "compared")
-        maybe = _maybe_alike(F.col("left.sketch"), F.col("right.sketch"), F.col("left.shingles") + F.col("right.shingles"), limit)
-        maybe = written(matched(pairs, compared, ["shingles", "sketch"]).where(maybe).select("x", "y").distinct(), "maybe-alike")
-        exact = written(texts.join(asked(maybe), "id", "left_semi").mapInArrow(whole, "id long, whole array<long>").distinct(), "shingles")
-        return written(matched(maybe, exact, ["whole"]).where(_alike(F.col("left.whole"), F.col("right.whole"), limit)).select("x", "y").distinct(), "alike")
-
-    heads = known.groupBy("code").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    links = written(near_links(known.select("code"), k), "near-codes")
-    near = links.join(heads.select(F.col("code").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("code").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    same = known.join(heads, "code").where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
-    pairs = written(near.unionAll(same).where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-pairs")
-    first = alike(pairs)
-    # a code that has another within k bits is in a link, or has several ids
-    crowd = links.select(F.explode(F.array("a", "b")).alias("code")).unionAll(heads.where("head != last").select("code")).distinct()
-    rows = known.select("id", "code", "shingles").distinct().join(crowd, "code", "left_semi").join(stars(first, "x", "y"), F.col("id") == F.col("node"), "left")
-    rows = written(rows.select("code", "id", "shingles", F.coalesce("root", "id").alias("root")), "grouped")
-    further = written(near_pairs(rows, k, limit).join(pairs, ["x", "y"], "left_anti"), "further-pairs")
-    gone = stars(first.unionAll(alike(further)), "x", "y").select(F.col("node").alias("__gone"))
-    return docs.join(gone, F.col(ident).cast("long") == F.col("__gone"), "left_anti")
+    return _filed(distinct, k, crowded).mapInArrow(by_node(_linked(k), ("mask", "pattern")), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, words: int = 4, k: int = 4, text: str = "text", ident: str = "doc_id") -> DataFrame:

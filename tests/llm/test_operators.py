@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plasmaspark.llm import byte_bpe, chat, components, exact_dedup, langid, merkle, packing, pii, secrets, simhash, toxicity
+from plasmaspark.llm import byte_bpe, chat, components, exact_dedup, langid, merkle, near_dup, packing, pii, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor " * 20_000
@@ -183,62 +183,74 @@ def test_near_copies_go_and_clean_ones_stay(spark, odd, none):
             copy[rng.randrange(400)] = "changed"
         rows.append((i, " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.thinned(docs).collect()) == [1, *range(100, 150)]
+    assert sorted(r.doc_id for r in near_dup.thinned(docs).collect()) == [1, *range(100, 150)]
     got = simhash.classes(odd)
     assert got.count() == 9
     assert {r.component_id for r in got.where("doc_id in (2, 3)").collect()} == {2}
-    assert simhash.classes(none).count() == 0 and simhash.thinned(none).count() == 0
-    assert simhash.thinned(odd).columns == odd.columns
-
-
-@pytest.mark.parametrize("crowded", [20_000, 8])
-def test_all_pairs_within_k_across_groups(spark, crowded):
-    rng = np.random.default_rng(2)
-    codes = []
-    for base in rng.integers(0, 1 << 63, 3, dtype=np.uint64):
-        for _ in range(90):
-            x = int(base)
-            for b in rng.integers(0, 64, int(rng.integers(0, 6))):
-                x ^= 1 << int(b)
-            codes.append(x)
-    codes = np.array(codes, np.uint64)  # with repetitions
-    sizes, roots = rng.integers(80, 120, len(codes)), rng.integers(0, 40, len(codes))
-    ok = lambda i, j: roots[i] != roots[j] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
-    want = {(i, int(j)) for i in range(len(codes)) for j in i + 1 + np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= 6) if ok(i, j)}
-    rows = [(int(c), i, int(n), int(r)) for i, (c, n, r) in enumerate(zip(codes.view(np.int64), sizes, roots, strict=True))]
-    got = [tuple(r) for r in simhash.near_pairs(spark.createDataFrame(rows, "code long, id long, shingles long, root long"), 6, 0.8, crowded).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
-def test_pairs_that_no_nearest_link_joins(spark, monkeypatch):
-    # 2 lies between 1 and 3 in bits but has other shingles, and 4 has 2's code; 1 and 3 are alike, 2 and 5 aren't alike to anything, 4 is alike to 6
-    long = [f"w{i}" for i in range(100)]
-    texts = {1: long, 3: long[:-1], 2: [f"x{i}" for i in range(100)], 4: [f"y{i}" for i in range(100)], 5: [f"z{i}" for i in range(100)], 6: [f"y{i}" for i in range(98)]}
-    codes = {1: 0b0, 2: 0b111, 3: 0b11111, 4: 0b111, 5: 0b11, 6: 0b1110}
-    known = {" ".join(t): codes[i] for i, t in texts.items()}
-    monkeypatch.setattr(simhash, "fingerprint", lambda text, words: known[text])
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.thinned(docs).collect()) == [1, 2, 4, 5]
+    assert simhash.classes(none).count() == 0 and near_dup.thinned(none).count() == 0
+    kept = near_dup.thinned(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 5, 8]
+
+
+def _sets_of(texts: list[str], n: int = 5) -> list[set]:
+    words = [t.lower().split() for t in texts]
+    return [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in words]
+
+
+@pytest.mark.parametrize(("budget", "members", "size"), [(4, 20_000, 10**7), (1, 20_000, 10**7), (1, 30, 2000)])
+def test_near_duplicates_are_brute_force(spark, budget, members, size):
+    # families whose members are alike or not quite, chains, and texts on their own
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for share in (0.005, 0.015, 0.02, 0.03, 0.04):
+        base = [word() for _ in range(120)]
+        texts += [" ".join(word() if rng.random() < share else w for w in base) for _ in range(60)]
+    texts += [" ".join(word() for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    chain = [word() for _ in range(200)]
+    texts += [" ".join(chain[i * 15 : i * 15 + 150]) for i in range(4)]
+    sets = _sets_of(texts)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = [tuple(r) for r in near_dup.links(docs, budget=budget, members=members, size=size).collect()]
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted(p)) for p in pairs}
+    want, got = _sets(len(texts), pairs), _sets(len(texts), found)
+    missed = [i for i, j in pairs if got[i] != got[j]]
+    assert len(missed) <= 0.02 * len(pairs) and sum(a != b for a, b in zip(want, got, strict=True)) <= 0.05 * len(texts)
+    assert len(found) < len(pairs) / 2 or budget > 1
+
+
+def test_wide_codes_are_majorities():
+    sets = [near_dup.shingles(t, 5) for t in ("", "a", LONG, "A b C d e f g", " ".join(f"x{i}" for i in range(3000)))]
+    for own, code in zip(sets, near_dup.codes(sets), strict=True):
+        bits = [near_dup._mixed(own + np.uint64(int(near_dup._ODD) * (w + 1) % 2**64)) for w in range(near_dup.WIDTH)]
+        assert [int(c) for c in code] == [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in w) > len(own)) for w in bits]
+    assert list(near_dup.shingles("A b C d e f", 5)) == list(near_dup.shingles("a B\tc  d e f", 5)) and len(near_dup.shingles(LONG, 5)) == 3
+
+
+def test_masks_keep_recall_at_any_size():
+    for n in (10, 10**6, 10**9, 4 * 10**10):
+        under = near_dup.masks(n, 0.8)
+        bits = {sum(int(x).bit_count() for x in m) for m in under}
+        (width,) = bits
+        assert n / 2**width <= near_dup.MEMBERS and 1 - (1 - (1 - near_dup.apart(0.8)) ** width) ** len(under) >= near_dup.MEET
 
 
 def test_long_texts_are_compared_by_all_their_shingles(spark):
-    # pairs of 6000 words just below and just above 0.8, which 512 hashes can't tell apart
-    def pair(seed: int, changed: int) -> tuple[str, str, float]:
-        rng = random.Random(seed)
-        one = [f"w{rng.randrange(10**9)}" for _ in range(6000)]
-        two = one[:-changed] + [f"w{rng.randrange(10**9)}" for _ in range(changed)]
-        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (one, two))
-        return " ".join(one), " ".join(two), len(a & b) / len(a | b)
-
+    # pairs of 6000 words just below and just above 0.8
     rows, want = [], []
     for n in range(24):
-        one, two, alike = pair(n, 650 if n % 2 else 680)
-        rows += [(2 * n, one), (2 * n + 1, two)]
-        near = (simhash.fingerprint(one, 5) ^ simhash.fingerprint(two, 5)).bit_count() <= 12
+        rng = random.Random(n)
+        one = [f"w{rng.randrange(10**9)}" for _ in range(6000)]
+        changed = 650 if n % 2 else 680
+        two = one[:-changed] + [f"w{rng.randrange(10**9)}" for _ in range(changed)]
+        a, b = _sets_of([" ".join(one), " ".join(two)])
+        alike = len(a & b) / len(a | b)
         assert 0.79 < alike < 0.81 and (alike >= 0.8) == bool(n % 2)
-        want += [2 * n] if near and alike >= 0.8 else [2 * n, 2 * n + 1]
-    assert 24 < len(want) < 48
-    assert sorted(r.doc_id for r in simhash.thinned(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+        rows += [(2 * n, " ".join(one)), (2 * n + 1, " ".join(two))]
+        want += [2 * n] if alike >= 0.8 else [2 * n, 2 * n + 1]
+    kept = sorted(r.doc_id for r in near_dup.thinned(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert set(want) <= set(kept) and len(kept) <= len(want) + 3
 
 
 # ---- 4 byte BPE ----
