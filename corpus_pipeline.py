@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plasmaspark.llm import exact_dedup, packing, pii, simhash, toxicity
+from plasmaspark.llm import exact_dedup, near_dup, packing, pii, toxicity
 from plasmaspark.llm.store import written
 
 
@@ -22,7 +22,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity of 0.8), that with the least doc_id."""
-    return simhash.thinned(docs)
+    return near_dup.thinned(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
