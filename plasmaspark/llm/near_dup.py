@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plasmaspark.llm.components import stars
+from plasmaspark.llm.hashing import ODD, WordHashes, mixed, sequences
 from plasmaspark.llm.simhash import Sets, by_node, gray, near
 from plasmaspark.llm.store import written
 
@@ -41,39 +41,15 @@ CODE = [f"w{i}" for i in range(WIDTH)]
 MEMBERS, CROWDED, BLOCK = 1024, 20_000, 4_000_000
 #: Share of pairs at the limit that meet in a top node, and deviations from the expected number of differing bits that are still searched.
 MEET, DEVIATIONS = 0.98, 1.7
-#: Distinct words whose hashes a task remembers before it starts anew.
-REMEMBERED = 500_000
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return found
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, words: int, hashes: _WordHashes | None = None) -> np.ndarray:
+def shingles(text: str | None, words: int, hashes: WordHashes | None = None) -> np.ndarray:
     """The distinct 64-bit hashes of the whole text's word shingles, ascending. A-Z are lower-cased; fewer words: their sequence; none: one, zero."""
     own = (text or "").encode().lower().split()
     if not own:
         return np.zeros(1, np.uint64)
-    hashes = _WordHashes() if hashes is None else hashes
-    if len(hashes) > REMEMBERED:
-        hashes.clear()
-    each = np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
-    size = min(words, len(own))
-    mixed = np.full(len(own) - size + 1, size, np.uint64)
-    for i in range(size):
-        mixed = _mixed((mixed + _ODD) ^ each[i : i + len(mixed)])
-    return np.unique(mixed)
+    hashes = WordHashes() if hashes is None else hashes
+    return np.unique(sequences(hashes.of(own), min(words, len(own))))
 
 
 def codes(sets: list[np.ndarray]) -> np.ndarray:
@@ -84,7 +60,7 @@ def codes(sets: list[np.ndarray]) -> np.ndarray:
     per_text = -(-sizes // 255)
     first, every, out = np.cumsum(per_text) - per_text, np.concatenate(sets), np.empty((len(sets), WIDTH), np.uint64)
     for w in range(WIDTH):
-        own, bits = _mixed(every + np.uint64(int(_ODD) * (w + 1) % (1 << 64))), np.empty((len(sets), 8, 8), bool)
+        own, bits = mixed(every + np.uint64(ODD * (w + 1) % (1 << 64))), np.empty((len(sets), 8, 8), bool)
         for shift in range(8):
             counts = np.add.reduceat((own >> np.uint64(shift)) & lanes, runs).astype("<u8").view(np.uint8).reshape(-1, 8)
             bits[:, :, shift] = 2 * np.add.reduceat(counts.astype(np.int64), first, axis=0) > sizes[:, None]
@@ -237,7 +213,7 @@ def _coded(words: int, whole: bool):
     """(id, shingles, CODE) of (id, text), and with whole all shingles (own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             at, held, sets = 0, 0, []
             for text in batch.column(1):

@@ -1,20 +1,21 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are the spans of four plain kinds. The words before a seed make lexical
-patterns (the last word, and the last two). A first scan writes, per document,
-its seeds and its other candidates (tokens that hold digits but are no seed)
-with their patterns. A second scan counts how often each pattern occurs at
-all, followed by anything. Spark then scores the pattern-instance graph over
-some rounds: a pattern's score is the summed score of its instances over all
-its occurrences, a candidate's score is that of its best pattern. Candidates
-behind patterns of high confidence are added as kind ``found``.
+Seeds are the spans of four plain kinds. The whole words before the token that
+holds a seed make lexical patterns (the last word, and the last two). A first
+scan writes, per document, its seeds and its other candidates (runs of tokens
+that hold digits but are no seed) with their patterns. A second scan counts
+how often each pattern occurs at all, followed by anything. Spark then scores
+the pattern-instance graph over some rounds: a pattern's score is the summed
+score of its instances over all its occurrences, a candidate's score is that
+of its best pattern. Candidates behind patterns of high confidence are added
+as kind ``found``. Patterns and values travel as 64-bit hashes, whatever the
+length of their words.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plasmaspark.llm.hashing import WordHashes, sequences
 from plasmaspark.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: A pattern counts from so many distinct instances, and is trusted from this share of its occurrences.
 SUPPORT, TRUST, ROUNDS = 3, 0.5, 3
 #: Bits of the table by which the second scan knows patterns that may count; fixed, whatever the corpus.
-SIEVE = 1 << 22
+SIEVE = 1 << 24
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -38,7 +40,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"\S+")
-_DIGIT = re.compile(r"\S*[0-9]\S*")
+#: Neighbouring tokens with digits, at one blank and with no punctuation between them.
+_DIGITS = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:(?<=\w) [^\s0-9]*+[0-9]\S*+)*+")
+_DIGIT = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -63,10 +67,14 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _without_zeros(digits: str) -> str:
+    return digits.lstrip("0")
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the four plain kinds, by kind as listed and then start."""
     found = [(a, b, "email") for a, b in _emails(text)]
-    found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in map(_without_zeros, m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -76,43 +84,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _before(text: str, start: int) -> list[str]:
-    """The last words before start, at most two, nearest first."""
-    return [w.lower() for w in text[max(0, start - 80) : start].split()[-2:]][::-1]
-
-
-def patterns(words: list[str]) -> list[str]:
-    return [" ".join(words[n::-1]) for n in range(len(words))]
+def entities(text: str, hashes: WordHashes | None = None) -> list[tuple[str, int, int, int, list[int]]]:
+    """(kind, start, end, value, patterns) of the seeds, and of candidates with an empty kind.
 
-
-def entities(text: str) -> list[tuple[str, int, int, str, list[str]]]:
-    """(kind, start, end, value, patterns) of the seeds, and of candidates with an empty kind."""
+    Values and patterns are hashes; a pattern is of the last whole word before
+    the token in which the entity starts, or of the last two, in lower case.
+    """
+    hashes = WordHashes() if hashes is None else hashes
     base = base_spans(text)
-    out = [(k, a, b, text[a:b], patterns(_before(text, a))) for a, b, k in base]
     taken = sorted((a, b) for a, b, _ in base)
-    i = 0
-    for m in _DIGIT.finditer(text):
+    spans, i = [(a, b, k) for a, b, k in base], 0
+    for m in _DIGITS.finditer(text):
         a, b = m.span()
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if i < len(taken) and taken[i][0] < b:
-            continue
-        value = m.group().rstrip(".,;:!?)\"'")
-        if len(value) >= 5:
-            out.append(("", a, a + len(value), value, patterns(_before(text, a))))
+        parts, j = [(a, b)], i
+        if i < len(taken) and taken[i][0] < b:  # a seed is among the tokens; the others are candidates one by one
+            parts = []
+            for n in _DIGIT.finditer(text, a, b):
+                while j < len(taken) and taken[j][1] <= n.start():
+                    j += 1
+                if not (j < len(taken) and taken[j][0] < n.end()):
+                    parts.append(n.span())
+        for a, b in parts:
+            value = text[a:b].rstrip(".,;:!?)\"'")
+            spans.append((a, a + len(value), ""))
+    if not spans:
+        return []
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts, known, out = [t[0] for t in tokens], {}, []
+    for a, b, kind in spans:
+        at = bisect_right(starts, a) - 1
+        if at not in known:
+            before = hashes.of([text[x:y].lower().encode() for x, y in tokens[max(0, at - 2) : at]])
+            known[at] = [int(sequences(before[-n:], n)[0]) for n in (1, 2) if len(before) >= n]
+        out.append((kind, a, b, int(hashes.of([text[a:b].encode()])[0]), known[at]))
     return out
 
 
-_ENTITY = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("value", "string").add("patterns", T.ArrayType(T.StringType())))
+_ENTITY = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("value", "long").add("patterns", T.ArrayType(T.LongType())))
 
 
 def _first_scan(text: str):
-    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))]))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row, hashes = TaskContext.get().partitionId() << 40, WordHashes()
         for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "value", "patterns"), e, strict=True)) for e in entities(t.as_py() or "")] for t in batch.column(text)]
+            found = [[{"kind": k, "start": a, "end": b, "value": signed(v), "patterns": [signed(p) for p in ps]} for k, a, b, v, ps in entities(t.as_py() or "", hashes)] for t in batch.column(text)]
             rows = pa.array(range(row, row + len(found)), pa.int64())
             row += len(found)
             yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(found, arrow)], [*batch.schema.names, "__id", "__found"])
@@ -122,21 +142,31 @@ def _first_scan(text: str):
 
 def _second_scan(sieve: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(sieve, np.uint8))
+        bits, hashes = np.unpackbits(np.frombuffer(sieve, np.uint8), bitorder="little"), WordHashes()
+        through = lambda p: p[bits[p % np.uint64(SIEVE)] == 1]
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                ones, twos = Counter(), Counter()
+                found = []
                 for t in batch.column(0).slice(i, 500):
-                    words = (t.as_py() or "").lower().split()
-                    ones.update(words)
-                    twos.update(map(" ".join, zip(words, words[1:], strict=False)))
-                seen = [(p, n) for c in (ones, twos) for p, n in c.items() if bits[zlib.crc32(p.encode()) % SIEVE]]
-                if seen:
-                    yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in seen]), pa.array([s[1] for s in seen], pa.int64())], ["pattern", "n"])
+                    each = hashes.of([w.encode() for w in (t.as_py() or "").lower().split()])
+                    found += [through(sequences(each, n)) for n in (1, 2) if len(each) >= n]
+                patterns, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+                if len(patterns):
+                    yield pa.RecordBatch.from_arrays([pa.array(patterns.view(np.int64)), pa.array(n)], ["pattern", "n"])
 
     return run
 
 
+def _sieve(patterns: DataFrame) -> bytes:
+    """A bit for each remainder of the patterns by SIEVE, of SIEVE bits, built by Spark in pieces of 32768."""
+    slot = F.col("pattern").bitwiseAND(SIEVE - 1) + 1
+    pieces = patterns.select(F.bitmap_bucket_number(slot).alias("piece"), F.bitmap_bit_position(slot).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(SIEVE // 8, np.uint8)
+    for row in pieces.collect():  # SIEVE / 8 bytes at most
+        out[(row.piece - 1) * 4096 : row.piece * 4096] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out.tobytes()
+
+
 def _discover(docs: DataFrame, text: str, first: DataFrame) -> DataFrame:
     """(__id, place) of the candidates that trusted patterns reach."""
     each = first.select("__id", F.posexplode("__found").alias("place", "e")).select("__id", "place", "e.value", (F.col("e.kind") != "").alias("seed"), F.explode("e.patterns").alias("pattern"))
@@ -145,11 +175,7 @@ def _discover(docs: DataFrame, text: str, first: DataFrame) -> DataFrame:
     graph = written(instances, "pattern-graph")
     support = graph.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= SUPPORT)
     supported = written(support.select("pattern"), "patterns")
-    slots = supported.select((F.crc32(F.col("pattern").cast("binary")) % SIEVE).alias("slot")).distinct()
-    bits = np.zeros(SIEVE, np.uint8)
-    for part in slots.toLocalIterator():  # SIEVE numbers at most
-        bits[part.slot] = 1
-    counted = docs.select(F.col(text).alias("__text")).mapInArrow(_second_scan(np.packbits(bits).tobytes()), "pattern string, n long")
+    counted = docs.select(F.col(text).alias("__text")).mapInArrow(_second_scan(_sieve(supported)), "pattern long, n long")
     totals = counted.groupBy("pattern").agg(F.sum("n").alias("occurs")).join(supported, "pattern")
     totals = written(totals, "pattern-totals")
     known = written(graph.join(totals, "pattern"), "graph")

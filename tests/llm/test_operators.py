@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -223,7 +224,7 @@ def test_near_duplicates_are_brute_force(spark, budget, members, size):
 def test_wide_codes_are_majorities():
     sets = [near_dup.shingles(t, 5) for t in ("", "a", LONG, "A b C d e f g", " ".join(f"x{i}" for i in range(3000)))]
     for own, code in zip(sets, near_dup.codes(sets), strict=True):
-        bits = [near_dup._mixed(own + np.uint64(int(near_dup._ODD) * (w + 1) % 2**64)) for w in range(near_dup.WIDTH)]
+        bits = [near_dup.mixed(own + np.uint64(near_dup.ODD * (w + 1) % 2**64)) for w in range(near_dup.WIDTH)]
         assert [int(c) for c in code] == [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in w) > len(own)) for w in bits]
     assert list(near_dup.shingles("A b C d e f", 5)) == list(near_dup.shingles("a B\tc  d e f", 5)) and len(near_dup.shingles(LONG, 5)) == 3
 
@@ -328,6 +329,7 @@ def test_base_spans_of_personal_data():
         want += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
         assert pii.base_spans(t) == want
     assert pii.base_spans("9" * 200_000 + "a" * 200_000) == []
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [(0, 5007, "ip")] and pii.base_spans("1.2.3." + "4" * 5000) == []
 
 
 def test_trusted_contexts_find_unseen_identifiers(spark, odd, none):
@@ -341,6 +343,52 @@ def test_trusted_contexts_find_unseen_identifiers(spark, odd, none):
     assert pii.find(none).count() == 0
 
 
+def test_candidates_and_contexts_have_any_length(spark):
+    long = "x" * 300
+    rows = [(i, f"{w} {long} mail: u{i}@ex.com {long}: +49 30 123456{i} bye") for i, w in enumerate("abcdef")]
+    rows += [(10, f"call {long} mail: 555 123 4567, then {long}: 12 34 end"), (11, "a1 " * 3 + "k9@ex.com q7 z8"), (12, "1" * 100_000 + "a" * 100_000 + "@" * 1000), (13, f"{'w' * 10**6} " + "a1@b.cd," * 20_000)]
+    found = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[10] == [("found", "555 123 4567"), ("found", "12 34")]
+    assert found[11] == [("email", "k9@ex.com")] and found[12] == [] and len(found[13]) == 20_000
+
+
+def test_pattern_graph_is_brute_force(spark):
+    rng = random.Random(9)
+    docs = []
+    for i in range(120):
+        words = [rng.choice(["at", "id", "no", "the", "mail", "code", "x1", "y22", "z333", f"u{rng.randrange(9)}@a.bc", "9.9.9.9"]) for _ in range(rng.randrange(12))]
+        docs.append((i, " ".join(words)))
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == "found") for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # the same by words: instances of patterns, then scores over the rounds
+    each, occurs = [], Counter()
+    for i, text in docs:
+        words = text.split()
+        occurs.update((w,) for w in words)
+        occurs.update(zip(words, words[1:], strict=False))
+        for kind, a, b, value, _ in pii.entities(text):
+            before = text[:a].split()
+            each.append((i, a, b, value, bool(kind), [tuple(before[-n:]) for n in (1, 2) if len(before) >= n]))
+    graph: dict = {}
+    for *_, value, seed, patterns in each:
+        for p in patterns:
+            graph.setdefault(p, []).append((value, seed))
+    strong, worth = {}, {}
+    for step in range(pii.ROUNDS):
+        for p, rows in graph.items():
+            values, own = {v for v, s in rows if s or (step and worth.get(v, 0) > 0)}, sum(1.0 if s else worth.get(v, 0) if step else 0 for v, s in rows)
+            strong[p] = min(1.0, own / occurs[p]) if len({v for v, _ in rows}) >= pii.SUPPORT and len(values) >= pii.SUPPORT else 0.0
+        worth = {}
+        for p, rows in graph.items():
+            for v, _ in rows:
+                if strong[p] >= pii.TRUST:
+                    worth[v] = max(worth.get(v, 0), strong[p])
+    want: dict = {i: set() for i, _ in docs}
+    for i, a, b, _, seed, patterns in each:
+        if not seed and any(strong[p] >= pii.TRUST for p in patterns):
+            want[i].add((a, b))
+    assert {i: sorted(x) for i, x in want.items()} == got and any(got.values())
+
+
 # ---- 7 Merkle ----
 
 
