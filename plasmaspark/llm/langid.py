@@ -13,13 +13,15 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plasmaspark.llm.store import sampled
+
 UNKNOWN = "und"
 #: Documents that the models are learned from, about, at most.
 TRAIN_ROWS = 20_000
@@ -103,16 +105,18 @@ def infer(logs: np.ndarray, n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> Models | None:
-    """Models of the languages of docs' rows with a language, from about train_rows of them at most (by a hash of the text); None without any."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    n = docs.where(F.col(lang).isNotNull()).count()
-    share = min(1.0, train_rows / max(1, n))
-    sample = known.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = sample.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()  # bounded by the sample
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Models | None:
+    """Models of the languages of docs' rows with a language, from about train_rows of them at most; None without any.
+
+    Rows are chosen by a hash of id and text, so that neither one text's many
+    copies nor one id's many texts are in or out together; ids have no other use.
+    """
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(ident, text).alias("h"))
+    rows = sampled(known, F.col("h"), train_rows).select("t", "l").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()  # bounded by the sample
     return Models([tuple(r) for r in rows]) if rows else None
 
 
+NAMES = ["lang_pred", "score", "languages", "proportions"]
 RESULT = "lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
@@ -120,31 +124,37 @@ def predict(docs: DataFrame, models: Models | None, text: str = "text") -> DataF
     """docs without text, with lang_pred, score, and the chosen languages and their proportions (largest first).
 
     Null texts, texts without a letter, and all texts when nothing was learned
-    are `und` with score 0 and no languages. docs must not have these columns.
+    are `und` with score 0 and no languages. Columns of docs with these names
+    are replaced.
     """
+    docs = docs.drop(*[c for c in NAMES if c != text])
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, rows = defaultdict(count().__next__), []
+        codes, rows = defaultdict(count().__next__), np.zeros((0, 0), np.float32)
+        known = 0
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 found = [words(t.as_py()) if models else Counter() for t in batch.column(text)]
                 if len(codes) > REMEMBERED:
-                    codes, rows = defaultdict(count().__next__), []
+                    codes, known = defaultdict(count().__next__), 0
                 own = [np.fromiter(map(codes.__getitem__, f), np.int64, len(f)) for f in found]
-                if len(codes) > len(rows):
-                    rows += [models.word(w) for w in list(codes)[len(rows) :]]
+                if len(codes) > known:
+                    if len(codes) > len(rows):
+                        rows = np.concatenate([rows[:known].reshape(known, len(models.langs)), np.zeros((2 * len(codes) - known, len(models.langs)), np.float32)])
+                    rows[known : len(codes)] = [models.word(w) for w in islice(codes, known, None)]
+                    known = len(codes)
                 full = [j for j, f in enumerate(found) if f]
                 result: list[tuple] = [(UNKNOWN, 0.0, [], [])] * len(found)
                 if full:
-                    logs = np.stack(rows)[np.concatenate([own[j] for j in full])]
+                    logs = rows[np.concatenate([own[j] for j in full])]
                     n = np.concatenate([np.fromiter(found[j].values(), np.int64, len(found[j])) for j in full])
                     for j, share in zip(full, infer(logs, n, np.array([len(found[j]) for j in full])), strict=True):
                         order = [x for x in np.argsort(-share, kind="stable") if share[x] > 0]
                         result[j] = (models.langs[order[0]], min(1.0, float(share[order[0]])), [models.langs[x] for x in order], [float(share[x]) for x in order])
                 columns = [pa.array(c, t) for c, t in zip(zip(*result, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], [*kept, "lang_pred", "score", "languages", "proportions"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], [*kept, *NAMES])
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
     return docs.mapInArrow(run, ", ".join([*types, RESULT]))
