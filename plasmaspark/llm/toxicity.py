@@ -7,9 +7,10 @@ far an earlier one can be trusted on texts that it hasn't seen.
 
 Features are the distinct words of a text and their beginnings, hashed, and
 beginnings that two distinct words share; those that differ between a
-category's two classes are kept. The chain is
-fitted on a bounded sample of the labelled rows; it is then applied to every
-whole text.
+category's two classes are kept. A table with one toxic flag has its kinds of
+toxic texts as earlier categories, told apart by the features that between them
+cover the most. The chain is fitted on a bounded sample of the labelled rows;
+it is then applied to every whole text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plasmaspark.llm.store import written
+from plasmaspark.llm.store import sampled, written
 
 #: Labelled rows that a chain is fitted on, about, at most.
 TRAIN_ROWS = 20_000
@@ -36,6 +37,8 @@ KEPT, APART = 2000, 5.0
 #: Features that the driver looks at, at most.
 POOL = 4 * KEPT
 FOLDS = 3
+#: Kinds of toxic texts that come before the flag in the chain, at most; and the share of the sample that decides which, and isn't fitted on.
+KINDS, DEFINING = 3, 0.25
 #: Lengths of the beginnings of words that are features, and what marks one that several words share.
 PREFIXES, SHARED = (3, 4, 5, 6, 7), 0x5A5A5
 
@@ -132,15 +135,26 @@ def fit_chain(lists: list[np.ndarray], labels: dict[str, np.ndarray]) -> list[tu
     return models
 
 
-def derived_categories(lists: list[np.ndarray], toxic: np.ndarray) -> dict[str, np.ndarray]:
-    """Categories for tables with one toxic flag: indicative (a toxic text with an indicative feature), repeated (with three or more), toxic itself."""
+def lead_features(lists: list[np.ndarray], toxic: np.ndarray, most: int = KINDS) -> list[int]:
+    """Indicative features that between them cover the most toxic rows: each covers the most of those that the ones before it left."""
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     cols = np.concatenate([np.zeros(0, np.int64), *lists])
     y = toxic.astype(float)
     kept = _keep(rows, cols, y)
     more = kept[np.bincount(cols, weights=y[rows], minlength=HASHED)[kept] > 0.9 * np.bincount(cols, minlength=HASHED)[kept]]
-    hits = np.bincount(rows[np.isin(cols, more)], minlength=len(lists))
-    return {"indicative": toxic & (hits >= 1), "repeated": toxic & (hits >= 3), "toxic": toxic}
+    use = np.isin(cols, more) & toxic[rows]
+    rows, cols, leads = rows[use], cols[use], []
+    while len(cols) and len(leads) < most:
+        leads.append(int(np.argmax(np.bincount(cols, minlength=HASHED))))
+        left = ~np.isin(rows, rows[cols == leads[-1]])
+        rows, cols = rows[left], cols[left]
+    return leads
+
+
+def categories(leads: list[int], lists: list[np.ndarray], toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Categories for tables with one toxic flag: kind_1 ... (toxic texts with a lead feature), then toxic itself."""
+    has = {f"kind_{i + 1}": toxic & np.array([lead in x for x in map(set, lists)], bool) for i, lead in enumerate(leads)}
+    return {**{c: y for c, y in has.items() if y.any()}, "toxic": toxic}
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,35 +191,39 @@ def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", train_rows: int = TRAIN_ROWS) -> list[tuple[str, Linear]]:
     """The chain, fitted on about train_rows labelled documents at most (chosen by a hash of the id).
 
-    Rows of labels without an id or a flag are left out; of several flags for
-    an id the largest counts. Without any labelled document, or with only one
-    class, the chain is empty and nothing is toxic.
+    A quarter of these decides which features are looked at and which kinds of
+    toxic texts there are; the chain is fitted on the others, so that its
+    out-of-fold predictions come from nothing that has seen their rows. Rows
+    of labels without an id or a flag are left out; of several flags for an
+    id the largest counts, of several texts the least. Without any labelled
+    document, or with only one class, the chain is empty and nothing is toxic.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = known.count()
-    if not n:
-        return []
-    share = min(1.0, train_rows / n)
-    sample = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = sampled(known, F.xxhash64("__id"), train_rows)
     texts = docs.select(F.col(text).alias("text"), F.col(ident).cast("long").alias("__doc"))
-    chosen = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("text", "toxic", "__id")  # train_rows bounds the broadcast
+    chosen = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))  # train_rows bounds the broadcast
+    chosen = chosen.groupBy("__id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", "__id")
     features_of = written(chosen.mapInArrow(_features_of, "features array<int>, toxic int, __id long"), "toxic-features")
-    pool = _candidates(features_of)
-    found = features_of.mapInArrow(_only(pool), features_of.schema).toArrow().sort_by("__id")  # train_rows lists over the pool
+    defines = F.pmod(F.xxhash64("__id", F.lit("defines")), F.lit(1000)) < int(DEFINING * 1000)
+    pool = _candidates(features_of.where(defines))
+    found = features_of.withColumn("defines", defines).mapInArrow(_only(pool), "features array<int>, toxic int, __id long, defines boolean").toArrow().sort_by("__id")  # train_rows lists over the pool
     lists = [np.array(x.values.to_numpy(zero_copy_only=False), np.int64) for x in found.column("features")]
-    toxic = np.array(found.column("toxic").to_pylist(), bool)
-    if not len(lists) or toxic.all() or not toxic.any():
+    toxic, first = (np.array(found.column(c).to_pylist(), bool) for c in ("toxic", "defines"))
+    if toxic[~first].all() or not toxic[~first].any():
         return []
-    return fit_chain(lists, derived_categories(lists, toxic))
+    pick = lambda keep: [x for x, k in zip(lists, keep, strict=True) if k]
+    leads = lead_features(pick(first), toxic[first])
+    return fit_chain(pick(~first), categories(leads, pick(~first), toxic[~first]))
 
 
 def classify(docs: DataFrame, chain: list[tuple[str, Linear]], text: str = "text", prefix: str = "p_") -> DataFrame:
     """docs with a probability (double) for each of the chain's categories, in order; every whole text is read.
 
-    A null text counts as empty. The columns p_<category> come last; docs must not have them.
+    A null text counts as empty. The columns p_<category> come last and
+    replace columns of docs with these names.
     """
     names = [f"{prefix}{c}" for c, _ in chain]
+    docs = docs.drop(*names)
     table = {}  # feature -> its weight in each category; a few thousand at most
     for j, (_, model) in enumerate(chain):
         for i, w in zip(model.kept.tolist(), model.weights.tolist(), strict=True):
@@ -237,19 +255,22 @@ def classify(docs: DataFrame, chain: list[tuple[str, Linear]], text: str = "text
 
 
 def rejected(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", limit: float = 0.5) -> DataFrame:
-    """(doc_id, p_indicative, p_repeated, p_toxic, toxic): one row per row of docs; toxic (to be rejected) where the last category reaches limit."""
+    """(doc_id, p_kind_1, ..., p_toxic, toxic): one row per row of docs; toxic (to be rejected) where the last category reaches limit.
+
+    Null texts count as empty, null ids stay null, repeated rows are returned
+    each, an empty table gives an empty result. Probabilities of kinds that
+    the labels don't show, and all where there is no chain, are zero.
+    """
     chain = fit(docs, labels, text, ident)
     scored = classify(docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")), chain)
-    if not chain:
-        zero = F.lit(0.0)
-        return scored.select("doc_id", zero.alias("p_indicative"), zero.alias("p_repeated"), zero.alias("p_toxic"), F.lit(False).alias("toxic"))
-    return scored.select("doc_id", *[f"p_{c}" for c, _ in chain], (F.col("p_toxic") >= limit).alias("toxic"))
+    names = [f"p_{c}" for c in (*[f"kind_{i + 1}" for i in range(KINDS)], "toxic")]
+    return scored.select("doc_id", *[F.col(n) if n in scored.columns else F.lit(0.0).alias(n) for n in names]).withColumn("toxic", F.col("p_toxic") >= limit)
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", limit: float = 0.5) -> DataFrame:
-    """docs without the rows that the chain rejects; columns as they were."""
+    """docs without the rows that the chain rejects; columns as they were, whatever their names. Null and empty texts, and all rows without labels to learn from, stay."""
     chain = fit(docs, labels, text, ident)
     if not chain:
         return docs
-    scored = classify(docs, chain, text, "__p_")
-    return scored.where(F.col("__p_toxic") < limit).select(*docs.columns)
+    scored = classify(docs, chain, text, "__plasmaspark_p_")
+    return scored.where(F.col("__plasmaspark_p_toxic") < limit).select(*docs.columns)
