@@ -37,7 +37,8 @@ _LATIN = re.compile(rf"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBER}]|[^{_SPACE}{
 class WordTokenizer:
     """ids of whole texts; each distinct word is given to the library once.
 
-    Texts that don't fit Latin-1 go to the library whole.
+    Texts that don't fit Latin-1, or that hold one of the vocabulary's special
+    tokens, go to the library whole, which reads these as it does in a plain call.
     """
 
     def __init__(self, path: str):
@@ -45,9 +46,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         vocabulary = self.library.get_vocab()
         self.closes = np.zeros(1 + max(vocabulary.values()), bool)
+        self.dtype = np.dtype("<u2" if len(self.closes) <= 1 << 16 else "<u4")
         for token, i in vocabulary.items():
             self.closes[i] = token.endswith("</w>")
         self.forget()
@@ -56,7 +58,7 @@ class WordTokenizer:
         self.codes: dict[str, int] = defaultdict(count().__next__)
         self.known = 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.filled = np.zeros(1 << 18, np.uint16), 0
+        self.flat, self.filled = np.zeros(1 << 18, self.dtype), 0
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words, many to a call; the last piece of each word shows where it ends."""
@@ -86,14 +88,17 @@ class WordTokenizer:
         for text in texts:
             try:
                 (text or "").encode("latin-1")
+                whole = self.special.search(text or "")
             except UnicodeEncodeError:
+                whole = True
+            if whole:
                 coded.append(text)
                 continue
             words = _LATIN.findall((text or "").lower())
             coded.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
         if len(self.codes) > self.known:
             self._learn(list(self.codes)[self.known :])
-        return [np.array(self.library.encode(c, add_special_tokens=False).ids, np.uint16) if isinstance(c, str) else _gather(self.starts[c], self.sizes[c], self.flat) for c in coded]
+        return [np.array(self.library.encode(c, add_special_tokens=False).ids, self.dtype) if isinstance(c, str) else _gather(self.starts[c], self.sizes[c], self.flat) for c in coded]
 
 
 @functools.lru_cache(1)
@@ -110,11 +115,11 @@ def _tokenise(path: str, end: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                ids = [np.append(x, np.uint16(end)) for x in own.encode(part.column(1).to_pylist())]
+                ids = [np.append(x, own.dtype.type(end)) for x in own.encode(part.column(1).to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 shifts = shift + np.cumsum(sizes) - sizes
                 shift += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([pid] * len(ids), pa.int32()), pa.array(shifts), pa.array(sizes), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], ["doc_id", "pid", "shift", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([pid] * len(ids), pa.int32()), pa.array(shifts), pa.array(sizes), pa.array([x.astype(own.dtype).tobytes() for x in ids], pa.binary())], ["doc_id", "pid", "shift", "doc_tokens", "ids"])
 
     return run
 
@@ -129,7 +134,7 @@ def _cut(limit: int):
         for batch in batches:
             rows, size = [], 0
             for doc, at, tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "doc_tokens")), batch.column("ids"), strict=True):
-                ids, start = np.frombuffer(raw.as_py(), "<u2").astype("<u4"), 0
+                ids, start = np.frombuffer(raw := raw.as_py(), f"<u{len(raw) // tokens}").astype("<u4"), 0
                 while start < tokens:
                     sequence, offset = divmod(at + start, limit)
                     length = min(limit - offset, tokens - start)
