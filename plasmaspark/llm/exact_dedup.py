@@ -147,11 +147,11 @@ def survivors(docs: DataFrame, text: str = "text", ident: str = "doc_id", count:
     A null text counts as empty for the comparison; the kept row's own columns
     are returned as they were. A null id is below any other. Of rows that are
     equal in text and id one stays. An empty table gives an empty table.
-    Other columns of any name are carried along; the helper columns are chosen
-    so that they can't clash with them.
+    Other columns of any name are carried along; one with the name of the
+    group's size is replaced by it.
     """
     row, key, ident_, n = "__row", "__key", "__ident", "__n"
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.coalesce(docs[text], F.lit("")).cast("binary").alias(key), docs[ident].cast("long").alias(ident_), F.lit(1).cast("long").alias(n))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != count]).alias(row), F.coalesce(docs[text], F.lit("")).cast("binary").alias(key), docs[ident].cast("long").alias(ident_), F.lit(1).cast("long").alias(n))
     local = packed.mapInArrow(_fold(key, ident_, n, budget, ordered=False), packed.schema)
     dealt = local.repartition(F.octet_length(key), F.xxhash64(key)).sortWithinPartitions(key)
     owned = dealt.mapInArrow(_fold(key, ident_, n, budget, ordered=True), packed.schema)

@@ -85,6 +85,7 @@ def with_next(docs: DataFrame, ident: str, columns: list[str], ranges: int | Non
     Ids are cut into ranges at their quantiles. A range's rows are ordered
     together; the head of the following range joins each as a ghost row, so
     neither one task nor the driver sees more than a range and a row for each.
+    Rows that share an id, or have none, are ordered in one task, which spills.
     """
     ranges = ranges or min(MOST_RANGES, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = docs.select(F.percentile_approx(ident, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("b")).first().b or [0]
@@ -93,10 +94,12 @@ def with_next(docs: DataFrame, ident: str, columns: list[str], ranges: int | Non
     rows = sorted(heads.collect(), key=lambda r: -r["__range"])  # MOST_RANGES + 1 at most
     targets = [(r["__range"], rows[(i + 1) % len(rows)]["__head"]) for i, r in enumerate(rows)]
     ghosts = docs.sparkSession.createDataFrame(targets, "__range int, __head long")
-    ghost = docs.join(F.broadcast(ghosts), docs[ident].eqNullSafe(F.col("__head"))).select("*", F.lit(1).alias("__ghost")).drop("__head")
+    ghost = docs.join(F.broadcast(ghosts), docs[ident].eqNullSafe(F.col("__head"))).groupBy("__range").agg(F.min(F.struct(*[F.col(c).alias(f"__{c}") for c in columns])).alias("__first"))
+    # of a head's rows the first alone is a ghost; other columns of ghosts aren't read
+    ghost = ghost.select("__range", F.lit(1).alias("__ghost"), *[F.col(f"__first.__{c}").alias(c) for c in columns])
     own = placed.withColumn("__ghost", F.lit(0))
     order = Window.partitionBy("__range").orderBy("__ghost", F.col(ident).desc_nulls_last(), *[F.col(c) for c in columns])
-    both = own.unionByName(ghost)
+    both = own.unionByName(ghost, allowMissingColumns=True)
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("__ghost = 0").drop("__range", "__ghost")
 
 
