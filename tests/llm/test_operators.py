@@ -62,11 +62,37 @@ def test_chain_finds_held_out_toxic_texts(spark):
 
 
 def test_later_models_see_out_of_fold_predictions():
-    rows = _toxic_rows(300, 2)
+    rows = _toxic_rows(600, 2)
     lists, y = [toxicity.features(t) for _, t, _ in rows], np.array([x for *_, x in rows])
-    chain = toxicity.fit_chain(lists, toxicity.derived_categories(lists, y))
-    assert [c for c, _ in chain] == ["indicative", "repeated", "toxic"]
-    assert [len(m.chain) for _, m in chain] == [0, 1, 2]
+    leads = toxicity.lead_features(lists[:200], y[:200])
+    labels = toxicity.categories(leads, lists[200:], y[200:])
+    assert list(labels) == ["kind_1", "kind_2", "kind_3", "toxic"]
+    kinds = [labels[c] for c in list(labels)[:-1]]
+    assert all(0.2 < (a & b).sum() / a.sum() < 0.8 for i, a in enumerate(kinds) for b in kinds[:i])  # two of three words each: kinds overlap by half
+    chain = toxicity.fit_chain(lists[200:], labels)
+    assert [len(m.chain) for _, m in chain] == [0, 1, 2, 3]
+    # the predictions that later models were given are the folds' own
+    n, fold = 400, np.arange(400) % toxicity.FOLDS
+    flat = lambda keep: (np.repeat(np.arange(keep.sum()), [len(x) for x, k in zip(lists[200:], keep, strict=True) if k]), np.concatenate([x for x, k in zip(lists[200:], keep, strict=True) if k]))
+    seen = np.zeros((n, 1))
+    for k in range(toxicity.FOLDS):
+        first = toxicity._fit(*flat(fold != k), np.zeros(((fold != k).sum(), 0)), labels["kind_1"][fold != k].astype(float))
+        seen[fold == k, 0] = toxicity._apply(first, *flat(fold == k), np.zeros(((fold == k).sum(), 0)))
+    second = toxicity._fit(*flat(np.ones(n, bool)), seen, labels["kind_2"].astype(float))
+    assert np.allclose(second.weights, chain[1][1].weights) and np.allclose(second.chain, chain[1][1].chain)
+
+
+def test_chain_on_the_labelled_table(spark):
+    import duckdb
+
+    known = duckdb.sql("SELECT doc_id, any_value(text), max(toxic) FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) GROUP BY doc_id ORDER BY doc_id").fetchall()
+    half = [(i, 1, t) for n, (i, _, t) in enumerate(known) if n % 2]
+    rest = {i: bool(t) for n, (i, _, t) in enumerate(known) if not n % 2}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in known], "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.toxic for r in toxicity.rejected(docs, spark.createDataFrame(half, "doc_id long, quality int, toxic int")).collect()}
+    toxic = [i for i, t in rest.items() if t]
+    assert sum(found[i] for i in toxic) >= 0.85 * len(toxic)
+    assert sum(found[i] for i, t in rest.items() if not t) <= 0.01 * len(rest)
 
 
 def test_toxicity_of_odd_rows(spark, odd, none):
@@ -74,6 +100,13 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.rejected(odd, labels).count() == odd.count()
     assert toxicity.clean(odd, labels).columns == odd.columns
     assert toxicity.rejected(none, labels.limit(0)).count() == 0
+    rows = [(i, t, "en", "s", 0) for i, t, _ in _toxic_rows(400, 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("p_toxic", F.lit("mine"))
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs, known)
+    scored = toxicity.classify(docs, chain)
+    assert dict(scored.dtypes)["p_toxic"] == "double" and scored.columns.count("p_toxic") == 1
+    assert toxicity.clean(docs, known).where("p_toxic = 'mine'").count() == 320
 
 
 # ---- 2 exact dedup ----
@@ -110,6 +143,8 @@ def test_exact_dedup_of_odd_rows(odd, none):
     assert {r.keep_id for r in rows if r.doc_id in (2, 3, None)} >= {3}
     kept = exact_dedup.survivors(odd)
     assert kept.columns == [*odd.columns, "group_size"] and kept.count() == 5
+    again = exact_dedup.survivors(odd.withColumn("group_size", F.lit("mine")))
+    assert again.columns == [*odd.columns, "group_size"] and again.agg(F.sum("group_size")).first()[0] == 9
     assert exact_dedup.membership(none).count() == 0
 
 
@@ -299,6 +334,7 @@ def test_languages_and_mixtures(spark, odd, none):
     assert one.languages == ["aa", "cc"] and abs(one.score - 2 / 3) < 0.05
     found = langid.predict(odd.select("doc_id", "text"), models)
     assert found.count() == 9 and {r.lang_pred for r in found.where("doc_id in (2, 3)").collect()} == {"und"}
+    assert langid.predict(odd.withColumn("score", F.lit("mine")), models).where("score > 1").count() == 0
     assert langid.learn(none) is None
     assert {r.lang_pred for r in langid.predict(odd.select("doc_id", "text"), None).collect()} == {"und"}
 
@@ -356,7 +392,10 @@ def test_pattern_graph_is_brute_force(spark):
     rng = random.Random(9)
     docs = []
     for i in range(120):
-        words = [rng.choice(["at", "id", "no", "the", "mail", "code", "x1", "y22", "z333", f"u{rng.randrange(9)}@a.bc", "9.9.9.9"]) for _ in range(rng.randrange(12))]
+        words = []
+        for _ in range(rng.randrange(6)):
+            value = rng.choice([f"u{rng.randrange(9)}@a.bc", "9.9.9.9", f"k{rng.randrange(6)}"])
+            words += rng.choice([["the", "no"], ["mail", value], ["mail", "to", value], ["code", f"k{rng.randrange(6)}"], ["at", f"q{rng.randrange(50)}", "x"]])
         docs.append((i, " ".join(words)))
     got = {r.doc_id: sorted((s.start, s.end) for s in r.spans if s.kind == "found") for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     # the same by words: instances of patterns, then scores over the rounds
@@ -401,6 +440,11 @@ def test_merkle_trees(spark, odd, none):
     assert [tuple(x) for x in pair.select(merkle.differing(F.col("a"), F.col("b")).alias("d")).first().d] == [(1, 1), (1, 2)]
     assert pair.select(merkle.differing(F.col("a"), F.col("a")).alias("d")).first().d == []
     assert merkle.edits(none).count() == 0 and merkle.edits(odd).count() == 9
+    nulls = spark.createDataFrame([(None, f"t{i}") for i in range(50)] + [(i, f"n{i}") for i in range(50)], "doc_id long, text string")
+    assert merkle.edits(nulls).count() == 100
+    texts = dict((r.text, r.next_text) for r in merkle.with_next(nulls, "doc_id", ["text"], 8).collect())
+    order = [f"n{i}" for i in range(49, -1, -1)] + sorted(f"t{i}" for i in range(50))
+    assert texts == dict(zip(order, [*order[1:], order[0]], strict=True))
 
 
 @pytest.mark.parametrize("n", [1, 2, 150])
@@ -426,9 +470,8 @@ def test_edits_use_the_next_document(spark, n):
 def test_packing(spark, odd, none, limit):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    extra = spark.createDataFrame([(50, "Don't  STOP <|endoftext|> \x1c ž é²x'll"), (51, "İstanbul ﬁ 12"), (52, "naïve café's ¼")], "doc_id long, text string")
+    extra = spark.createDataFrame([(49, "<|endoftext|> a<|startoftext|><|endoftext|>b <|EndOfText|>"), (50, "Don't  STOP <|endoftext|> \x1c ž é²x'll"), (51, "İstanbul ﬁ 12"), (52, "naïve café's ¼")], "doc_id long, text string")
     texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").unionAll(extra).collect()}
     rows = packing.pack(docs.select("doc_id", "text").unionAll(extra), path, limit=limit).collect()
     whole: dict[int, list] = {}
