@@ -16,10 +16,14 @@ def valid_regions(chromosomes: DataFrame, blacklist: DataFrame, size: int = 100_
     return overlap(tiles, as_right(blacklist.select("chrom", "start", "end")), "left_anti", longest=size, bucket=size)
 
 
-def theoretical_gc(sequences: DataFrame, lengths: list[int], step: int = 100, most_unknown: float = 0.1) -> DataFrame:
-    """(length_bin, gc_pct, n) of fragments of the given lengths that start at every step of each sequence (key, seq); those with too many unknown bases are left out."""
+def theoretical_gc(sequences: DataFrame, lengths: list[int], step: int = 100, most_unknown: float = 0.1, owned: int | None = None) -> DataFrame:
+    """(length_bin, gc_pct, n) of fragments of the given lengths that start at every step of each sequence (key, seq); those with too many unknown bases are left out.
+
+    With owned, only those that start in a sequence's first so many bases:
+    for tiles that hold the bases that follow them too.
+    """
     starts = sequences.select("seq", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length")).where(F.length("seq") >= F.col("length"))
-    cut = starts.select("length", F.explode(F.expr(f"transform(sequence(0, length(seq) - length, {step}), i -> substring(seq, i + 1, length))")).alias("part"))
+    cut = starts.select("length", F.explode(F.expr(f"transform(sequence(0, {f'least(length(seq) - length, {owned - 1})' if owned else 'length(seq) - length'}, {step}), i -> substring(seq, i + 1, length))")).alias("part"))
     known = F.length(F.regexp_replace("part", "[^ACGT]", ""))
     gc = F.length(F.regexp_replace("part", "[^GC]", ""))
     kept = cut.select("length", known.alias("known"), gc.alias("gc")).where((F.col("length") - F.col("known") <= most_unknown * F.col("length")) & (F.col("known") > 0))

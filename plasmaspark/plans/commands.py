@@ -153,8 +153,12 @@ def build_pon(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def build_gc_reference(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    tiles = bam.read_fasta(spark, a.input, 100_000)
-    return reference.theoretical_gc(tiles.select("seq"), [62 + 5 * i for i in range(68)])
+    """Theoretical GC counts of all 188 length bins, over whole tiles that no blacklisted interval touches; fragments may end in the next tile."""
+    size = 100_000
+    tiles = bam.read_fasta(spark, a.input, size, 1000).withColumn("start", F.col("tile") * size).withColumn("end", (F.col("tile") + 1) * size)
+    if a.blacklist:
+        tiles = overlap(tiles, as_right(text.regions(lines(spark, a.blacklist)).drop("index")), "left_anti", longest=size, bucket=size)
+    return reference.theoretical_gc(tiles.select("seq"), [62 + 5 * i for i in range(188)], owned=size)
 
 
 def validate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

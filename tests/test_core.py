@@ -224,6 +224,53 @@ def test_bam(spark, tmp_path):
         bam.read_bam(spark, str(tmp_path / "bad.bam")).count()
 
 
+def test_bam_by_ranges(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+
+    def record(i):
+        name, seq = f"q{i}" + "n" * rng.randrange(20), "".join(rng.choice("ACGT") for _ in range(rng.choice([30, 40, 900])))
+        codes = {c: k for k, c in enumerate("=ACMGRSVTWYHKDBN")}
+        packed = bytes(codes[a] << 4 | codes[b] for a, b in zip(seq[::2], seq[1::2], strict=True))
+        body = struct.pack("<iiBBHHHiiii", rng.randrange(-1, 2), rng.randrange(9000), len(name) + 1, 60, 0, 1, 99, len(seq), 0, 5, 150) + name.encode() + b"\0" + struct.pack("<I", len(seq) << 4) + packed + bytes(rng.randrange(41) for _ in seq)
+        return struct.pack("<i", len(body)) + body
+
+    raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 2) + n + b"\0" + struct.pack("<i", 9000) for n in (b"1", b"2"))
+    (tmp_path / "a.bam").write_bytes(_bgzf(raw + b"".join(map(record, range(300)))))
+    whole = sorted(map(str, bam.read_bam(spark, str(tmp_path / "a.bam")).collect()))
+    assert len(whole) == 300
+    for size in (1000, 7777, 30_000):
+        parts = bam.read_bam(spark, str(tmp_path / "a.bam"), size)
+        assert parts.rdd.getNumPartitions() > 2 and sorted(map(str, parts.collect())) == whole
+
+
+def test_fasta_by_ranges(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    seqs = {"1": "".join(rng.choice("ACGTN") for _ in range(1234)), "2": "".join(rng.choice("acgt") for _ in range(600)), "M": ""}
+    (tmp_path / "g.fa").write_text("".join(f">chr{c} some\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for c, s in seqs.items()))
+    want = {(c, i): s[i * 100 : i * 100 + 150].upper() for c, s in seqs.items() for i in range(-(-len(s) // 100))}
+    for _ in range(2):
+        tiles = bam.read_fasta(spark, str(tmp_path / "g.fa"), 100, 50, 300)
+        assert {(r.chrom, r.tile): r.seq for r in tiles.collect()} == want and tiles.rdd.getNumPartitions() == 7
+        (tmp_path / "g.fa.fai").write_text("".join("\t".join(map(str, e)) + "\n" for e in bam.fasta_index(str(tmp_path / "g.fa"))))
+    from plasmaspark.operators.reference import theoretical_gc
+
+    lengths = [62, 67, 112]
+    got = {(r.length_bin, r.gc_pct): r.n for r in theoretical_gc(bam.read_fasta(spark, str(tmp_path / "g.fa"), 100, 112).select("seq"), lengths, 10, owned=100).collect()}
+    counted: dict = {}
+    for s in map(str.upper, seqs.values()):
+        for n in lengths:
+            for i in range(0, len(s) - n + 1, 10):
+                known = [c for c in s[i : i + n] if c != "N"]
+                if n - len(known) <= 0.1 * n:
+                    key = ((n - 60) // 5, int(sum(c in "GC" for c in known) / len(known) * 100 + 0.5))
+                    counted[key] = counted.get(key, 0) + 1
+    assert got == counted
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 x\n" + "ACGT\n" * 10 + ">2\nGGCC\n")
     tiles = bam.read_fasta(spark, str(tmp_path / "g.fa"), 7)
