@@ -116,11 +116,16 @@ def duplex_weight(depth: Column, qname: Column) -> Column:
     return F.when(d.isNull() | (d < 1), 1.0).otherwise(F.greatest(F.log(d.cast("double")), F.lit(1.0)))
 
 
-def log_likelihood_ratio(length: Column) -> Column:
-    """ln N(length; 145, 35) - ln N(length; 167, 30), densities at least 1e-15 (fixed values of the human preset)."""
+#: Mean and deviation of tumour and of healthy fragments, by kind of sample.
+PRESETS = {"human": ((145.0, 35.0), (167.0, 30.0)), "canine": ((130.0, 30.0), (153.0, 25.0)), "ssdna": ((135.0, 35.0), (157.0, 30.0))}
+
+
+def log_likelihood_ratio(length: Column, preset: str = "human") -> Column:
+    """ln N(length; tumour) - ln N(length; healthy) of the preset, densities at least 1e-15."""
 
     def density(mean: float, std: float) -> Column:
         z = (length - mean) / std
         return F.greatest(F.exp(-0.5 * z * z) / (std * 2.5066282746310002), F.lit(1e-15))
 
-    return F.log(density(145.0, 35.0)) - F.log(density(167.0, 30.0))
+    tumour, healthy = PRESETS[preset]
+    return F.log(density(*tumour)) - F.log(density(*healthy))

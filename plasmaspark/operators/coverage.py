@@ -12,19 +12,33 @@ SIX = (*[c for c, _ in CHANNELS], "ultra_long")
 FIVE = ("ultra_short", "core_short", "mono_nucl", "di_nucl", "long")
 
 
-def with_factors(fragments: DataFrame, factors: DataFrame, default: float = 1.0) -> DataFrame:
-    """fragments with weight: the factor of their (length_bin, gc_pct), else the default. factors has 188 x 101 rows at most."""
+def with_factors(fragments: DataFrame, factors: DataFrame, default: float = 1.0, name: str = "weight") -> DataFrame:
+    """fragments with a weight: the factor of their (length_bin, gc_pct), else the default.
+
+    One factor of each point of the 188 x 101 grid is broadcast, the greatest
+    if several are given; points beyond the grid can't match a fragment.
+    """
     from plasmaspark.functions.expressions import length_bin
 
+    grid = factors.where(F.col("length_bin").between(0, 187) & F.col("gc_pct").between(0, 100)).groupBy("length_bin", "gc_pct").agg(F.max("factor").alias("factor"))
     keyed = fragments.withColumn("length_bin", length_bin(F.col("length")))
-    return keyed.join(F.broadcast(factors.limit(188 * 101)), ["length_bin", "gc_pct"], "left").withColumn("weight", F.coalesce("factor", F.lit(default))).drop("factor", "length_bin")
+    return keyed.join(F.broadcast(grid), ["length_bin", "gc_pct"], "left").withColumn(name, F.coalesce("factor", F.lit(default))).drop("factor", "length_bin")
 
 
 def flag_on_target(fragments: DataFrame, targets: DataFrame) -> DataFrame:
-    """fragments with on_target: whether any target overlaps. The flag hangs on the interval alone, so repeated fragments get the same."""
-    at = ["chrom", "start", "end"]
-    hit = overlap(fragments, as_right(targets.select(*at)), "left_semi").select(*at).distinct().withColumn("hit", F.lit(True))
-    return fragments.join(hit, at, "left").withColumn("on_target", F.coalesce("hit", F.lit(False))).drop("hit")
+    """fragments with on_target: whether any target overlaps.
+
+    A semi-join and its anti-join, which share the fragments' exchange; with
+    few targets nothing is shuffled.
+    """
+    right = as_right(targets.select("chrom", "start", "end"))
+    hit, miss = (overlap(fragments, right, how).withColumn("on_target", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti"))
+    return hit.unionByName(miss)
+
+
+def weight_of(weight: Column | None) -> Column:
+    """The weight, or 1 as a long, so that sums of it are counts."""
+    return weight if weight is not None else F.lit(1).cast("bigint")
 
 
 def _channel_sums(channel: Column, names: tuple[str, ...], weight: Column) -> list[Column]:
@@ -33,23 +47,23 @@ def _channel_sums(channel: Column, names: tuple[str, ...], weight: Column) -> li
 
 def fsc_tiles(fragments: DataFrame, size: int, weight: Column | None = None) -> DataFrame:
     """Size channels per regular tile of the fragments in 65 to 1000 bp; a fragment counts in every tile that it touches."""
-    kept = fragments.where(F.col("length").between(65, 1000)).withColumn("w", weight if weight is not None else F.lit(1).cast("bigint"))
+    kept = fragments.where(F.col("length").between(65, 1000)).withColumn("w", weight_of(weight))
     return tiles(kept, size).groupBy("chrom", "tile").agg(*_channel_sums(size_channel(F.col("length")), SIX, F.col("w")), F.sum("w").alias("total"), F.sum(F.col("gc_pct") * F.col("w")).alias("gc_sum"))
 
 
 def fsc_bins(fragments: DataFrame, bins: DataFrame, key: str, weight: Column | None = None, bucket: int = 1 << 16) -> DataFrame:
     """Size channels of every bin, those without fragments included (with zeros); mean_gc is 0 there. bucket should be about a bin's size."""
-    kept = fragments.where(F.col("length").between(65, 1000)).withColumn("w", weight if weight is not None else F.lit(1).cast("bigint"))
+    kept = fragments.where(F.col("length").between(65, 1000)).withColumn("w", weight_of(weight))
     sums = overlap(kept, as_right(bins.select(key, "chrom", "start", "end")), bucket=bucket).groupBy(key).agg(*_channel_sums(size_channel(F.col("length")), SIX, F.col("w")), F.sum("w").alias("total"), F.sum(F.col("gc_pct") * F.col("w")).alias("gc_sum"))
     filled = bins.join(sums, key, "left").fillna(0, [*SIX, "total", "gc_sum"])
     return filled.withColumn("mean_gc", F.when(F.col("total") > 0, F.col("gc_sum") / F.col("total") / 100).otherwise(0.0)).drop("gc_sum")
 
 
-def fsc_genes(fragments: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
-    """Five channels per gene (or region) by the fragment's midpoint, channel ratios, and depth per kilobase and million fragments."""
-    kept = fragments.where(F.col("length").between(65, 1000))
+def fsc_genes(fragments: DataFrame, genes: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """Five channels per gene (or region) by the fragment's midpoint, channel ratios, and depth per kilobase and million fragments (these unweighted)."""
+    kept = fragments.where(F.col("length").between(65, 1000)).withColumn("w", weight_of(weight))
     hits = contains_point(kept, as_right(genes), F.expr("(start + end) div 2"))
-    sums = hits.groupBy(*by).agg(*_channel_sums(gene_channel(F.col("length")), FIVE, F.lit(1).cast("bigint")), F.count("*").alias("total"))
+    sums = hits.groupBy(*by).agg(*_channel_sums(gene_channel(F.col("length")), FIVE, F.col("w")), F.sum("w").alias("total"))
     sizes = genes.groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("bp"))
     n = kept.agg(F.count("*").alias("n"))  # one row
     joined = sizes.join(sums, by, "left").fillna(0, [*FIVE, "total"]).join(F.broadcast(n))
@@ -79,20 +93,19 @@ def size_ratios(sums: DataFrame) -> DataFrame:
     return sums.select("*", short.alias("short_n"), long.alias("long_n"), ratio.alias("ratio"), F.when(ratio > 0, F.log2(ratio)).otherwise(0.0).alias("log_ratio"), (short / both).alias("short_share"), (long / both).alias("long_share"))
 
 
-def fsd_long(fragments: DataFrame, arms: DataFrame, key: str) -> DataFrame:
-    """(arm, bin, n): counts of 5-bp length bins from 65 to 400 bp, 67 of them."""
-    kept = fragments.where((F.col("length") >= 65) & (F.col("length") < 400))
-    # arms are few and long: a join on the chromosome with Spark's own choice of side
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
-    joined = kept.join(as_right(arms), on)
-    return joined.groupBy(key, F.floor((F.col("length") - 65) / 5).cast("int").alias("size_bin")).agg(F.count("*").alias("n"))
+def fsd_long(fragments: DataFrame, arms: DataFrame, key: str, by: tuple[str, ...] = (), weight: Column | None = None, bucket: int = 1 << 20) -> DataFrame:
+    """(arm, by, size_bin, n): weights of 5-bp length bins from 65 to 400 bp, 67 of them, counts without a weight; by: columns of fragments, such as on_target."""
+    kept = fragments.where((F.col("length") >= 65) & (F.col("length") < 400)).withColumn("w", weight_of(weight))
+    # arms are long: filed by large buckets they are a few thousand rows, and no chromosome is a key of its own
+    hits = overlap(kept.select("chrom", "start", "end", "length", "w", *by), as_right(arms.select(key, "chrom", "start", "end")), bucket=bucket)
+    return hits.groupBy(key, *by, F.floor((F.col("length") - 65) / 5).cast("int").alias("size_bin")).agg(F.sum("w").alias("n"))
 
 
-def fsd_wide(histogram: DataFrame, key: str) -> DataFrame:
-    """One row per arm, a column per bin (lo-hi) and their total."""
+def fsd_wide(histogram: DataFrame, key: str | list[str]) -> DataFrame:
+    """One row per arm (or several keys), a column per bin (lo-hi) and their total."""
     names = [f"{65 + 5 * i}-{69 + 5 * i}" for i in range(67)]
     labelled = histogram.withColumn("name", F.concat_ws("-", 65 + 5 * F.col("size_bin"), 69 + 5 * F.col("size_bin")))
-    wide = labelled.groupBy(key).pivot("name", names).agg(F.sum("n")).fillna(0)
+    wide = labelled.groupBy(*([key] if isinstance(key, str) else key)).pivot("name", names).agg(F.sum("n")).fillna(0)
     return wide.withColumn("total", sum((F.col(f"`{n}`") for n in names), F.lit(0)))
 
 

@@ -13,10 +13,10 @@ from plasmaspark.functions.expressions import length_bin
 LEAST_COUNT, LEAST_POINTS, FRACTION, ROUNDS = 50, 10, 0.3, 3
 
 
-def observations(fragments: DataFrame) -> DataFrame:
-    """(length_bin, gc_pct, n) of the fragments in 60 to 1000 bp."""
-    kept = fragments.where((F.col("length") >= 60) & (F.col("length") < 1000))
-    return kept.groupBy(length_bin(F.col("length")).alias("length_bin"), F.col("gc_pct").cast("int").alias("gc_pct")).agg(F.count("*").alias("n"))
+def observations(fragments: DataFrame, by: tuple[str, ...] = (), longest: int = 1000) -> DataFrame:
+    """(by, length_bin, gc_pct, n) of the fragments from 60 bp to below longest (400 for the 68 bins of an extraction)."""
+    kept = fragments.where((F.col("length") >= 60) & (F.col("length") < longest))
+    return kept.groupBy(*by, length_bin(F.col("length")).alias("length_bin"), F.col("gc_pct").cast("int").alias("gc_pct")).agg(F.count("*").alias("n"))
 
 
 def observed_expected(observed: DataFrame, expected: DataFrame) -> DataFrame:

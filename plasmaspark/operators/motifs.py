@@ -48,6 +48,16 @@ def exon_diversity(motifs: DataFrame) -> DataFrame:
     return counts.withColumn("share", share).groupBy("gene", "exon", "start").agg(F.sum("n").alias("n_fragments"), diversity(F.col("share"), 4, 0.0).alias("mds"))
 
 
-def gene_diversity(exons: DataFrame) -> DataFrame:
-    """Per gene: exons, fragments, mean and population deviation of the exons' MDS, and that of the first exon."""
-    return exons.groupBy("gene").agg(F.count("*").alias("n_exons"), F.sum("n_fragments").alias("n_fragments"), F.avg("mds").alias("mds_mean"), F.stddev_pop("mds").alias("mds_std"), F.min_by("mds", F.struct("start", "exon")).alias("mds_e1"))
+def gene_diversity(exons: DataFrame, regions: DataFrame) -> DataFrame:
+    """Per gene with data: all its exons (rows of regions), fragments, and of the exons with data the mean and population deviation of the MDS, and that of the first."""
+    found = exons.groupBy("gene").agg(F.sum("n_fragments").alias("n_fragments"), F.avg("mds").alias("mds_mean"), F.stddev_pop("mds").alias("mds_std"), F.min_by("mds", F.struct("start", "exon")).alias("mds_e1"))
+    return regions.groupBy("gene").agg(F.count("*").alias("n_exons")).join(found, "gene")
+
+
+def end_fractions(counts: DataFrame) -> DataFrame:
+    """One row: the shares of motifs that begin with each base, their entropy, and how far C lies over a quarter; zeros without motifs."""
+    sums = counts.agg(F.sum("n").alias("total"), *[F.sum(F.when(F.substring("kmer", 1, 1) == b, F.col("n")).otherwise(0)).alias(b) for b in "ACGT"])
+    share = {b: F.when(F.col("total") > 0, F.col(b) / F.col("total")).otherwise(0.0) for b in "ACGT"}
+    entropy = sum((-share[b] * F.log2(share[b] + 1e-12) for b in "ACGT"), F.lit(0.0))
+    none = F.coalesce(F.col("total"), F.lit(0)) == 0
+    return sums.select(*[share[b].alias(f"{b.lower()}_fraction") for b in "ACGT"], F.when(none, 0.0).otherwise(entropy).alias("entropy"), F.when(none, 0.0).otherwise(share["C"] - 0.25).alias("c_bias"))

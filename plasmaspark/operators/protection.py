@@ -17,10 +17,10 @@ def length_weight(length: Column, kind: str) -> Column:
     return F.when(length.between(*full), 1.0).when(length.between(*part), 0.5).otherwise(0.0)
 
 
-def ranges(fragments: DataFrame, anchors: DataFrame, kind: str = "nuc") -> DataFrame:
+def ranges(fragments: DataFrame, anchors: DataFrame, kind: str = "nuc", weight: Column | None = None) -> DataFrame:
     """(region_idx, plus, size, low, high, w, what): signed ranges in each anchor's own positions (0 is its start). what: cov, span, end."""
     p = KINDS[kind][0]
-    weighted = fragments.withColumn("w", length_weight(F.col("length"), kind)).where("w > 0").drop("plus")
+    weighted = fragments.withColumn("w", length_weight(F.col("length"), kind) * (weight if weight is not None else F.lit(1.0))).where("w > 0").drop("plus")
     hits = overlap(weighted, as_right(anchors).withColumn("r0", F.col("r_start")).withColumn("size", F.col("r_end") - F.col("r_start")), slack=60)
     s, e = F.col("start") + 1 - F.col("r0"), F.col("end") - F.col("r0")
     part = lambda what, low, high: F.struct(F.lit(what).alias("what"), low.alias("low"), high.alias("high"))
@@ -90,16 +90,30 @@ def periodicity(profile: np.ndarray, step: int = 10, band: tuple[int, int] = (14
 
 
 def stacking(fragments: DataFrame, elements: DataFrame, size: int = 300) -> DataFrame:
-    """(grp, pos, nuc): summed nucleosome weights that span each of the first `size` positions of their elements, mirrored on minus, over all, by family and by chromosome.
+    """(grp, pos, nuc, tf): summed weights of fragments whose protected part covers each of the first `size` positions of their elements, mirrored on minus, over all, by family and by chromosome.
 
-    Elements' ends are part of them.
+    Both kinds stand where the nucleosome's half-window leaves a fragment; elements' ends are part of them.
     """
-    weighted = fragments.drop("plus").withColumn("w", length_weight(F.col("length"), "nuc")).where("w > 0")
-    closed = as_right(elements.withColumn("end", F.col("end") + 1))
-    hits = overlap(weighted, closed.withColumn("e0", F.col("r_start")).withColumn("c", F.col("r_chrom")))
+    hits = _on_elements(fragments, elements)
     low, high = F.greatest(F.lit(0), F.col("start") + 61 - F.col("e0")), F.least(F.lit(size - 1), F.col("end") - 60 - F.col("e0"))
-    spans = hits.select("family", "c", "plus", "w", low.alias("low"), high.alias("high")).where("low <= high").select("family", "c", "plus", "w", F.explode(F.sequence("low", "high")).alias("pos"))
-    groups = F.array(F.lit("Global_All"), F.concat(F.lit("Family_"), "family"), F.concat(F.lit("Chr"), "c", F.lit("_All")))
+    spans = hits.select("family", "c", "plus", "nuc", "tf", low.alias("low"), high.alias("high")).where("low <= high").select("family", "c", "plus", "nuc", "tf", F.explode(F.sequence("low", "high")).alias("pos"))
     pos = F.when(F.col("plus"), F.col("pos")).otherwise(size - 1 - F.col("pos"))
-    counted = spans.groupBy("family", "c", pos.alias("pos")).agg(F.sum("w").alias("nuc"))
-    return counted.select(F.explode(groups).alias("grp"), "pos", "nuc").groupBy("grp", "pos").agg(F.sum("nuc").alias("nuc"))
+    counted = spans.groupBy("family", "c", pos.alias("pos")).agg(F.sum("nuc").alias("nuc"), F.sum("tf").alias("tf"))
+    return counted.select(F.explode(_groups()).alias("grp"), "pos", "nuc", "tf").groupBy("grp", "pos").agg(F.sum("nuc").alias("nuc"), F.sum("tf").alias("tf"))
+
+
+def stacking_counts(fragments: DataFrame, elements: DataFrame) -> DataFrame:
+    """(grp, overlaps, n_nuc, n_tf): overlaps of fragments with elements, and how many of these count for either kind."""
+    hits = _on_elements(fragments, elements)
+    counted = hits.groupBy("family", "c").agg(F.count("*").alias("overlaps"), F.count_if(F.col("nuc") > 0).alias("n_nuc"), F.count_if(F.col("tf") > 0).alias("n_tf"))
+    return counted.select(F.explode(_groups()).alias("grp"), "overlaps", "n_nuc", "n_tf").groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("overlaps", "n_nuc", "n_tf")])
+
+
+def _on_elements(fragments: DataFrame, elements: DataFrame) -> DataFrame:
+    weighted = fragments.drop("plus").withColumn("nuc", length_weight(F.col("length"), "nuc")).withColumn("tf", length_weight(F.col("length"), "tf")).where("nuc > 0 OR tf > 0")
+    closed = as_right(elements.withColumn("end", F.col("end") + 1))
+    return overlap(weighted, closed.withColumn("e0", F.col("r_start")).withColumn("c", F.col("r_chrom")))
+
+
+def _groups() -> Column:
+    return F.array(F.lit("Global_All"), F.concat(F.lit("Family_"), "family"), F.concat(F.lit("Chr"), "c", F.lit("_All")))

@@ -60,6 +60,12 @@ def weighted(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return coverage.with_factors(f, factors)
 
 
+def targeted(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """weighted(), with on_target where targets are given."""
+    f = weighted(spark, a)
+    return coverage.flag_on_target(f, text.regions(lines(spark, a.targets))) if a.targets else f
+
+
 def motif(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return motifs.dense(motifs.end_motifs(spark.read.parquet(a.input), a.k), a.k)
 
@@ -77,17 +83,18 @@ def fsr(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def fsd(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     arms = text.labelled(lines(spark, a.regions)).withColumn("arm", F.concat(F.col("chrom"), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))).select("arm", "chrom", "start", "end")
-    return coverage.fsd_wide(coverage.fsd_long(fragments_of(spark, a.input), arms, "arm"), "arm")
+    by = ("on_target",) if a.targets else ()
+    return coverage.fsd_wide(coverage.fsd_long(targeted(spark, a), arms, "arm", by, F.col("weight")), ["arm", *by])
 
 
 def genes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return coverage.fsc_genes(fragments_of(spark, a.input), text.gene_regions(lines(spark, a.regions)).drop("index"), ["gene"])
+    return coverage.fsc_genes(weighted(spark, a), text.gene_regions(lines(spark, a.regions)).drop("index"), ["gene"], F.col("weight"))
 
 
 def wps(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Per anchor: 200 bins of protection and protected fraction; minus anchors run the other way; the score is smoothed after that."""
     found = text.anchors(lines(spark, a.regions)).select(F.col("index").alias("region_idx"), "chrom", "start", "end", (F.col("strand") != "-").alias("plus"))
-    bins = protection.binned(protection.ranges(fragments_of(spark, a.input), found, a.kind))
+    bins = protection.binned(protection.ranges(weighted(spark, a), found, a.kind, F.col("weight")))
     every = found.select("region_idx", "plus", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(199).cast("bigint"))).alias("bin"))
     covered = every.join(bins.select("region_idx").distinct(), "region_idx").join(bins, ["region_idx", "bin"], "left").fillna(0.0)
     turned = covered.withColumn("bin", F.when(F.col("plus"), F.col("bin")).otherwise(199 - F.col("bin")))
@@ -95,11 +102,15 @@ def wps(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def ocf(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return regional.ocf_score(regional.ocf_positions(fragments_of(spark, a.input), text.labelled(lines(spark, a.regions)).drop("index")))
+    return regional.ocf_score(regional.ocf_positions(weighted(spark, a), text.labelled(lines(spark, a.regions)).drop("index"), F.col("weight")))
 
 
 def region_entropy(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return regional.entropy(regional.size_histogram(fragments_of(spark, a.input), text.labelled(lines(spark, a.regions)).drop("index"), ["label"]), ["label"])
+    """Entropy of each label's sizes; with targets for all, on- and off-target fragments."""
+    found, f = text.labelled(lines(spark, a.regions)).drop("index"), targeted(spark, a)
+    if not a.targets:
+        return regional.entropy(regional.size_histogram(f, found, ["label"], F.col("weight")), ["label"])
+    return regional.entropy(regional.routed(f, found, F.col("weight")), ["label", "part"])
 
 
 def region_mds(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -107,7 +118,7 @@ def region_mds(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     hits = overlap(spark.read.parquet(a.input).withColumn("end", F.col("end") + 1), as_right(exons), longest=1001)
     kmer = F.when(F.col("plus"), F.substring("seq", 1, 4)).otherwise(X.reverse_complement(F.expr("right(seq, 4)")))
     ends = hits.where("length(seq) >= 4").select("gene", "exon", F.col("exon_start").alias("start"), kmer.alias("kmer")).where(F.col("kmer").rlike("^[ACGT]{4}$"))
-    return motifs.gene_diversity(motifs.exon_diversity(ends))
+    return motifs.gene_diversity(motifs.exon_diversity(ends), exons)
 
 
 def mfsd(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -145,8 +156,7 @@ def build_pon(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         one = fragments_of(spark, path).withColumn("sample_id", F.lit(path)).select("sample_id", "chrom", "start", "end", "length", "gc_pct")
         every = one if every is None else every.unionByName(one)
     arms = text.labelled(lines(spark, a.regions)).select(F.col("label").alias("arm"), "chrom", "start", "end")
-    hits = every.where("length >= 65 AND length < 400").join(as_right(arms), (F.col("chrom") == F.col("r_chrom")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")))
-    sizes = hits.groupBy("sample_id", "arm", F.expr("cast((length - 65) div 5 as int)").alias("size_bin")).agg(F.count("*").alias("n"))
+    sizes = coverage.fsd_long(every, arms, "arm", ("sample_id",))
     share = sizes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample_id", "arm")))
     curve = gc.cohort_curve(every.groupBy("sample_id", (F.col("gc_pct") / 100).alias("gc")).agg(F.count("*").cast("double").alias("coverage")))
     return cohort.union_tables(fsd_baseline=cohort.baseline(share, ["arm", "size_bin"], "share"), gc_bias=curve)
@@ -190,7 +200,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-r", "--regions", help="the command's region, variant or arm file")
-    for name in ("bins", "arms", "anchors", "labels", "genes", "blacklist", "reference", "factors"):
+    for name in ("bins", "arms", "anchors", "labels", "genes", "blacklist", "reference", "factors", "targets"):
         p.add_argument(f"--{name}")
     p.add_argument("--format", choices=("tsv", "parquet", "both"), default="tsv")
     p.add_argument("--kind", choices=tuple(protection.KINDS), default="nuc")

@@ -34,8 +34,13 @@ def targets(spark, d):
     return genes(spark, d).where("nation < 5")
 
 
+def chromosomes(spark, d):
+    """The fragments' chromosomes, from the table that their keys refer to."""
+    return table(spark, d, "supplier").select((1 + F.col("s_suppkey") % 22).cast("string").alias("chrom")).distinct()
+
+
 def arms(spark, d):
-    chroms = frags(spark, d).select("chrom").distinct()
+    chroms = chromosomes(spark, d)
     arm = F.explode(F.array(F.struct(F.lit("p").alias("a"), F.lit(0).alias("start"), F.lit(1000000).alias("end")), F.struct(F.lit("q").alias("a"), F.lit(1000000).alias("start"), F.lit(2001000).alias("end"))))
     return chroms.select("chrom", arm.alias("x")).select(F.concat("chrom", "x.a").alias("arm"), "chrom", "x.start", "x.end")
 
@@ -45,7 +50,7 @@ BINS = """bins AS (SELECT row_number() OVER (ORDER BY CAST(c.chrom AS INT), b.i)
 
 
 def bins(spark, d):
-    chroms = frags(spark, d).select("chrom").distinct()
+    chroms = chromosomes(spark, d)
     each = chroms.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(40).cast("bigint"))).alias("i"))
     # 41 bins per chromosome: the numbering follows from the chromosome's rank
     rank = chroms.select("chrom", (F.dense_rank().over(C.Window.orderBy(F.col("chrom").cast("int"))) - 1).cast("bigint").alias("rank"))

@@ -30,6 +30,13 @@ def reads(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("plus"), "lang", seq.alias("seq"))
 
 
+def ends_of_reads(spark, d):
+    """reads whose seq is the first four letters and the last four of those with four or more: all that end motifs look at, from anchored patterns."""
+    four = lambda text: F.regexp_replace(F.regexp_extract(text, "^(?:[^A-Za-z]*+[A-Za-z]){4}", 0), "[^A-Za-z]", "")
+    seq = F.translate(F.upper(F.concat(four("text"), F.reverse(four(F.reverse("text"))))), ALPHABET, BASES)
+    return table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 2 == 0).alias("plus"), "lang", seq.alias("seq"))
+
+
 # ---- GC ----
 
 
@@ -107,7 +114,7 @@ def n21_interpolation(spark, d):
 
 @query(MOTIF_SQL)
 def a10_end_motifs(spark, d):
-    return M.end_motifs(reads(spark, d))
+    return M.end_motifs(ends_of_reads(spark, d))
 
 
 KMERS = "(SELECT a || b || c || e AS kmer FROM (VALUES ('A'),('C'),('G'),('T')) t1(a), (VALUES ('A'),('C'),('G'),('T')) t2(b), (VALUES ('A'),('C'),('G'),('T')) t3(c), (VALUES ('A'),('C'),('G'),('T')) t4(e))"
@@ -116,17 +123,17 @@ DENSE_SQL = f"SELECT k.kmer, coalesce(m.n, 0) AS n, coalesce(m.n, 0) / sum(coale
 
 @query(f"SELECT kmer, n, round(share, 6) AS share FROM ({DENSE_SQL})")
 def a14_dense_kmers(spark, d):
-    return M.dense(M.end_motifs(reads(spark, d))).withColumn("share", F.round("share", 6))
+    return M.dense(M.end_motifs(ends_of_reads(spark, d))).withColumn("share", F.round("share", 6))
 
 
 @query(f"SELECT round(sum(CASE WHEN share > 0 THEN -share * log2(share + 1e-12) ELSE 0 END) / 8, 4) AS mds, round(sum(CASE WHEN share > 0 THEN -share * log2(share) ELSE 0 END) / 8, 4) AS mds_exact FROM ({DENSE_SQL})")
 def a15_motif_diversity(spark, d):
-    return M.dense(M.end_motifs(reads(spark, d))).agg(F.round(M.diversity(F.col("share")), 4).alias("mds"), F.round(M.diversity(F.col("share"), 4, 0.0), 4).alias("mds_exact"))
+    return M.dense(M.end_motifs(ends_of_reads(spark, d))).agg(F.round(M.diversity(F.col("share")), 4).alias("mds"), F.round(M.diversity(F.col("share"), 4, 0.0), 4).alias("mds_exact"))
 
 
 @query(f"SELECT kmer[1:1] AS base, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / sum(sum(n)) OVER (), 4) AS share FROM ({MOTIF_SQL}) GROUP BY ALL")
 def a17_first_base(spark, d):
-    return M.first_base(M.end_motifs(reads(spark, d))).withColumn("share", F.round("share", 4))
+    return M.first_base(M.end_motifs(ends_of_reads(spark, d))).withColumn("share", F.round("share", 4))
 
 
 EXON_SQL = f"""WITH {SEQ_SQL}, {cte('genes')}, motifs AS (SELECT gene, gene_idx AS exon, "start", seq[1:4] AS kmer FROM reads r JOIN genes g ON g.gene_idx = r.doc_id % 100 WHERE length(seq) >= 4),
@@ -135,7 +142,7 @@ EXON_SQL = f"""WITH {SEQ_SQL}, {cte('genes')}, motifs AS (SELECT gene, gene_idx
 
 def exons(spark, d):
     g = genes(spark, d).select("gene", F.col("gene_idx").alias("exon"), "start")
-    r = reads(spark, d).where(F.length("seq") >= 4).select((F.col("doc_id") % 100).alias("exon"), F.substring("seq", 1, 4).alias("kmer"))
+    r = ends_of_reads(spark, d).where(F.length("seq") >= 4).select((F.col("doc_id") % 100).alias("exon"), F.substring("seq", 1, 4).alias("kmer"))
     return M.exon_diversity(r.join(g, "exon"))
 
 
@@ -144,9 +151,9 @@ def a18_exon_diversity(spark, d):
     return exons(spark, d).select("gene", "exon", "n_fragments", F.round("mds", 4).alias("mds"))
 
 
-@query(f"{EXON_SQL} SELECT gene, count(*) AS n_exons, CAST(sum(n_fragments) AS BIGINT) AS n_fragments, round(avg(mds), 4) AS mds_mean, round(stddev_pop(mds), 4) AS mds_std, round(arg_min(mds, (\"start\", exon)), 4) AS mds_e1 FROM exons GROUP BY gene")
+@query(f"{EXON_SQL} SELECT gene, any_value(a.n_exons) AS n_exons, CAST(sum(n_fragments) AS BIGINT) AS n_fragments, round(avg(mds), 4) AS mds_mean, round(stddev_pop(mds), 4) AS mds_std, round(arg_min(mds, (\"start\", exon)), 4) AS mds_e1 FROM exons JOIN (SELECT gene, count(*) AS n_exons FROM genes GROUP BY gene) a USING (gene) GROUP BY gene")
 def a19_gene_diversity(spark, d):
-    return M.gene_diversity(exons(spark, d)).select("gene", "n_exons", "n_fragments", *[F.round(c, 4).alias(c) for c in ("mds_mean", "mds_std", "mds_e1")])
+    return M.gene_diversity(exons(spark, d), genes(spark, d)).select("gene", "n_exons", "n_fragments", *[F.round(c, 4).alias(c) for c in ("mds_mean", "mds_std", "mds_e1")])
 
 
 MOTIF_BY_LANG = f"WITH {SEQ_SQL}, m AS (SELECT lang, seq[1:4] AS kmer, count(*) AS n FROM reads WHERE length(seq) >= 4 GROUP BY ALL) SELECT lang, kmer, n / sum(n) OVER (PARTITION BY lang) AS share FROM m"
@@ -154,7 +161,7 @@ MOTIF_BY_LANG = f"WITH {SEQ_SQL}, m AS (SELECT lang, seq[1:4] AS kmer, count(*)
 
 @query(f"SELECT lang, kmer, round(z, 4) AS z FROM (SELECT lang, kmer, CASE WHEN std > 0 THEN (share - mean) / std ELSE 0 END AS z FROM (SELECT *, avg(share) OVER (PARTITION BY kmer) AS mean, CASE WHEN count(*) OVER (PARTITION BY kmer) < 2 THEN 0.001 ELSE stddev_pop(share) OVER (PARTITION BY kmer) END AS std FROM ({MOTIF_BY_LANG}))) WHERE abs(z) > 1.2")
 def f16_aberrant_kmers(spark, d):
-    m = reads(spark, d).where(F.length("seq") >= 4).groupBy("lang", F.substring("seq", 1, 4).alias("kmer")).agg(F.count("*").alias("n"))
+    m = ends_of_reads(spark, d).where(F.length("seq") >= 4).groupBy("lang", F.substring("seq", 1, 4).alias("kmer")).agg(F.count("*").alias("n"))
     share = m.select("lang", "kmer", (F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("share"))
     base = H.baseline(share, ["kmer"], "share", population=True, single=0.001)
     return H.normalised(share, base, ["kmer"], "share").where("abs(z) > 1.2").select("lang", "kmer", F.round("z", 4).alias("z"))
@@ -202,10 +209,10 @@ def owin5_smoothing(spark, d):
 ALU = "elements AS (SELECT *, split_part(label, ' ', 1) AS family FROM regions)"
 
 
-@query(with_sql("fragments", "regions", body=f""", {ALU} SELECT grp, pos, round(CAST(sum(w) AS DOUBLE), 4) AS nuc FROM (SELECT w, CASE WHEN plus THEN p ELSE 299 - p END AS pos, unnest(['Global_All', 'Family_' || family, 'Chr' || chrom || '_All']) AS grp FROM (SELECT r.family, r.chrom, r.plus, CASE WHEN f.length BETWEEN 160 AND 175 THEN 1.0 ELSE 0.5 END AS w, unnest(generate_series(greatest(0, f."start" + 61 - r."start"), least(299, f."end" - 60 - r."start"))) AS p FROM fragments f JOIN elements r ON f.chrom = r.chrom AND f."start" < r."end" + 1 AND f."end" > r."start" WHERE f.length BETWEEN 120 AND 180)) GROUP BY ALL""").replace(" , elements", ", elements"))
+@query(with_sql("fragments", "regions", body=f""", {ALU} SELECT grp, pos, round(CAST(sum(nuc) AS DOUBLE), 4) AS nuc, round(CAST(sum(tf) AS DOUBLE), 4) AS tf FROM (SELECT nuc, tf, CASE WHEN plus THEN p ELSE 299 - p END AS pos, unnest(['Global_All', 'Family_' || family, 'Chr' || chrom || '_All']) AS grp FROM (SELECT r.family, r.chrom, r.plus, CASE WHEN f.length BETWEEN 160 AND 175 THEN 1.0 WHEN f.length BETWEEN 120 AND 180 THEN 0.5 ELSE 0.0 END AS nuc, CASE WHEN f.length BETWEEN 35 AND 80 THEN 1.0 ELSE 0.0 END AS tf, unnest(generate_series(greatest(0, f."start" + 61 - r."start"), least(299, f."end" - 60 - r."start"))) AS p FROM fragments f JOIN elements r ON f.chrom = r.chrom AND f."start" < r."end" + 1 AND f."end" > r."start" WHERE f.length BETWEEN 120 AND 180 OR f.length BETWEEN 35 AND 80)) GROUP BY ALL""").replace(" , elements", ", elements"))
 def a21_stacking(spark, d):
     elements = adapted(spark, d, "regions").withColumn("family", F.split_part("label", F.lit(" "), F.lit(1)))
-    return P.stacking(frags(spark, d), elements).withColumn("nuc", F.round("nuc", 4))
+    return P.stacking(frags(spark, d), elements).withColumn("nuc", F.round("nuc", 4)).withColumn("tf", F.round("tf", 4))
 
 
 @query()
@@ -305,12 +312,7 @@ SAMPLE_FSD = FSD_SQL.replace("SELECT r.arm,", "SELECT f.sample_id, r.arm,")
 
 
 def fsd_by_sample(spark, d):
-    kept = frags(spark, d)
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
-    from plasmaspark.operators.intervals import as_right
-
-    hits = kept.where("length >= 65 AND length < 400").join(as_right(arms(spark, d)), on)
-    return hits.groupBy("sample_id", "arm", F.expr("cast((length - 65) div 5 as int)").alias("size_bin")).agg(F.count("*").alias("n"))
+    return C.fsd_long(frags(spark, d), arms(spark, d), "arm", ("sample_id",))
 
 
 def _baseline_sql(values: str, by: str, value: str, std: str = "stddev_samp", single: str = "0.1", floor: str = "0", having: str = "") -> str:
@@ -378,7 +380,7 @@ def j16_ocf_zscore(spark, d):
 
 @query(_rounded(_baseline_sql(f"SELECT lang, kmer, share AS v FROM ({MOTIF_BY_LANG})", "kmer", "v", "stddev_pop", "0.001"), "kmer"))
 def a30_kmer_baseline(spark, d):
-    m = reads(spark, d).where(F.length("seq") >= 4).groupBy("lang", F.substring("seq", 1, 4).alias("kmer")).agg(F.count("*").alias("n"))
+    m = ends_of_reads(spark, d).where(F.length("seq") >= 4).groupBy("lang", F.substring("seq", 1, 4).alias("kmer")).agg(F.count("*").alias("n"))
     share = m.select("kmer", (F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("v"))
     return _round(H.baseline(share, ["kmer"], "v", population=True, single=0.001), "kmer")
 

@@ -12,14 +12,14 @@ from plasmaspark.operators.intervals import as_right, overlap
 from plasmaspark.operators.regional import ocf_positions, ocf_score
 from plasmaspark.plans.coverage_queries import ARMS, HIT, TARGETS, arms, frags, genes, targets
 from plasmaspark.plans.feature_queries import EVIDENCE, EXON_SQL, MDS_SAMPLES, TILE_SAMPLES, WPS_SQL, WPS_VECTORS, _baseline_sql, evidence, exons, tile_samples, wps
+from plasmaspark.operators.numbering import numbered
 from plasmaspark.plans.register import query
 from plasmaspark.sources.adapters import adapted, table, with_sql
 
 
 @query(with_sql("fragments", body=f", {ARMS} SELECT r.arm, count(*) AS n, CAST(sum(length) AS BIGINT) AS bp FROM fragments f JOIN arms r ON {HIT} GROUP BY ALL").replace(" , arms", ", arms"))
 def j2_arm_join(spark, d):
-    on = (F.col("chrom") == F.col("r_chrom")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
-    return frags(spark, d).join(as_right(arms(spark, d)), on).groupBy("arm").agg(F.count("*").alias("n"), F.sum("length").alias("bp"))
+    return overlap(frags(spark, d), as_right(arms(spark, d)), bucket=1 << 20).groupBy("arm").agg(F.count("*").alias("n"), F.sum("length").alias("bp"))
 
 
 @query(with_sql("fragments", "regions", body=f"SELECT frag_id, region_idx FROM fragments f JOIN regions r ON {HIT}"))
@@ -127,7 +127,7 @@ def n14_derived(spark, d):
 @query(with_sql("genes", body="SELECT gene, row_number() OVER (ORDER BY gene) AS place FROM (SELECT DISTINCT gene FROM genes)"))
 def t1_sorted_labels(spark, d):
     names = genes(spark, d).select("gene").distinct()
-    return names.select("gene", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("gene")).cast("bigint").alias("place"))
+    return numbered(names, ["gene"], "place")
 
 
 @query(with_sql("fragments", body='SELECT frag_id, length FROM fragments ORDER BY length DESC, frag_id, "start" LIMIT 100'))
@@ -151,7 +151,8 @@ def a16_exact_diversity(spark, d):
     return exons(spark, d).where("n_fragments > 1").groupBy("gene").agg(F.round(F.avg("mds"), 4).alias("mds"))
 
 
-@query(f"SELECT region_idx, list(round(span - ends, 2) ORDER BY bin)[1] AS first, CAST(count(*) AS BIGINT) AS bins FROM ({WPS_SQL}) GROUP BY region_idx")
+@query(f"SELECT region_idx, {', '.join(f'array_to_string(list(CAST(CAST(round({e}, 1) * 10 AS BIGINT) AS VARCHAR) ORDER BY bin), chr(44)) AS {n}' for n, e in (('wps', 'span - ends'), ('cov', 'cov'), ('prot_frac', 'CASE WHEN span + ends > 0 THEN span / (span + ends) ELSE 0 END')))}, CAST(count(*) AS BIGINT) AS bins FROM ({WPS_SQL}) GROUP BY region_idx")
 def k6_vectors(spark, d):
-    vectors = P.binned(wps(spark, d)).groupBy("region_idx").agg(F.sort_array(F.collect_list(F.struct("bin", "wps"))).alias("v"))  # 200 bins at most
-    return vectors.select("region_idx", F.round(F.get("v", F.lit(0))["wps"], 2).alias("first"), F.size("v").cast("bigint").alias("bins"))
+    vectors = P.binned(wps(spark, d)).groupBy("region_idx").agg(F.sort_array(F.collect_list(F.struct("bin", "wps", "cov", "prot_frac"))).alias("v"))  # 200 bins at most
+    tenths = lambda c: F.concat_ws(",", F.transform("v", lambda x: (F.round(x[c], 1) * 10).cast("decimal(18,0)").cast("string"))).alias(c)
+    return vectors.select("region_idx", tenths("wps"), tenths("cov"), tenths("prot_frac"), F.size("v").cast("bigint").alias("bins"))

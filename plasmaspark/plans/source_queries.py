@@ -9,7 +9,7 @@ from plasmaspark.operators import coverage as C
 from plasmaspark.operators import motifs as M
 from plasmaspark.operators import reference as E
 from plasmaspark.operators.intervals import as_right, contains_point
-from plasmaspark.plans.coverage_queries import TARGETS, frags, genes, targets
+from plasmaspark.plans.coverage_queries import CHAN, TARGETS, frags, genes, targets
 from plasmaspark.plans.feature_queries import DENSE_SQL, SEQ_SQL, reads
 from plasmaspark.plans.register import query
 from plasmaspark.sources import sinks, text
@@ -71,12 +71,21 @@ def s10_labelled_scan(spark, d):
     return text.labelled(gene_lines(spark, d, "gene")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query(with_sql("variants", body="SELECT chrom, pos, ref, alt FROM variants UNION ALL SELECT chrom, pos, ref, 'C' FROM variants WHERE variant_id % 4 = 0"))
-def s14_vcf_scan(spark, d):
+def _vcf_lines(spark, d):
     v = adapted(spark, d, "variants")
     alts = F.when(F.col("variant_id") % 4 == 0, F.concat("alt", F.lit(",C"))).otherwise(F.col("alt"))
     lines = v.select(F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", alts, F.lit("."), F.lit("PASS")).alias("value"), F.col("variant_id").alias("index"))
-    return text.vcf(lines).select("chrom", "pos", "ref", "alt")
+    return lines
+
+
+@query(with_sql("variants", body="SELECT chrom, pos, ref, CASE WHEN variant_id % 4 = 0 THEN alt || ',C' ELSE alt END AS alt FROM variants"))
+def s14_vcf_scan(spark, d):
+    return text.vcf(_vcf_lines(spark, d)).select("chrom", "pos", "ref", "alt")
+
+
+@query(with_sql("variants", body="SELECT chrom, pos, ref, alt FROM variants UNION ALL SELECT chrom, pos, ref, 'C' FROM variants WHERE variant_id % 4 = 0"))
+def s14_vcf_alleles(spark, d):
+    return text.vcf(_vcf_lines(spark, d), each=True).select("chrom", "pos", "ref", "alt")
 
 
 @query(with_sql("variants", body="SELECT chrom, pos, ref, CASE WHEN variant_id % 5 = 0 THEN '' ELSE alt END AS alt FROM variants WHERE variant_id % 7 <> 0"))
@@ -188,6 +197,6 @@ def k9_sample_metadata(spark, d):
     return frags(spark, d).groupBy("sample_id", "chrom").agg(F.count("*").alias("n"))
 
 
-@query(with_sql("fragments", body="SELECT chrom, t AS tile, CAST(count(*) FILTER (length <= 100) AS INT) AS ultra_short, CAST(count(*) AS INT) AS total FROM (SELECT *, unnest(generate_series(\"start\" // 100000, (\"end\" - 1) // 100000)) AS t FROM fragments WHERE length BETWEEN 65 AND 1000) GROUP BY ALL"))
+@query(with_sql("fragments", body=f"SELECT chrom, t AS tile, {', '.join(f"CAST(count(*) FILTER ({CHAN} = '{c}') AS INT) AS {c}" for c in C.SIX)}, CAST(count(*) AS INT) AS total FROM (SELECT *, unnest(generate_series(\"start\" // 100000, (\"end\" - 1) // 100000)) AS t FROM fragments WHERE length BETWEEN 65 AND 1000) GROUP BY ALL"))
 def a2_fsc_truncated(spark, d):
-    return C.fsc_tiles(frags(spark, d), 100000).select("chrom", "tile", F.col("ultra_short").cast("int").alias("ultra_short"), F.col("total").cast("int").alias("total"))
+    return C.fsc_tiles(frags(spark, d), 100000).select("chrom", "tile", *[F.col(c).cast("int").alias(c) for c in (*C.SIX, "total")])

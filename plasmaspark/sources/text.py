@@ -99,10 +99,11 @@ def labelled(df: DataFrame) -> DataFrame:
     return _interval(_fields(df, 4)).select("index", "chrom", "start", "end", _f(3).alias("label"))
 
 
-def vcf(df: DataFrame) -> DataFrame:
-    """variant rows from VCF lines; pos is 0-based; every ALT of a line is a row."""
-    rows = _fields(df, 5).select("index", strip_chr(_f(0)).alias("chrom"), (_long(1) - 1).alias("pos"), F.upper(_f(3)).alias("ref"), F.explode(F.split(F.upper(_f(4)), ",")).alias("alt"))
-    return rows.where("pos >= 0").where(valid_allele(F.col("ref")) & valid_allele(F.col("alt")))
+def vcf(df: DataFrame, each: bool = False) -> DataFrame:
+    """Variant rows from VCF lines; pos is 0-based. ALT is taken as it stands, lists and symbols included; with each, every plain allele of it is a row."""
+    alt = F.upper(_f(4))
+    rows = _fields(df, 5).select("index", strip_chr(_f(0)).alias("chrom"), (_long(1) - 1).alias("pos"), F.upper(_f(3)).alias("ref"), F.explode(F.split(alt, ",")).alias("alt") if each else alt.alias("alt")).where("pos >= 0")
+    return rows.where(valid_allele(F.col("ref")) & valid_allele(F.col("alt"))) if each else rows
 
 
 def maf(df: DataFrame) -> DataFrame:
