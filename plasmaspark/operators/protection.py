@@ -17,15 +17,15 @@ def length_weight(length: Column, kind: str) -> Column:
     return F.when(length.between(*full), 1.0).when(length.between(*part), 0.5).otherwise(0.0)
 
 
-def ranges(fragments: DataFrame, anchors: DataFrame, kind: str = "nuc", weight: Column | None = None) -> DataFrame:
-    """(region_idx, plus, size, low, high, w, what): signed ranges in each anchor's own positions (0 is its start). what: cov, span, end."""
+def ranges(fragments: DataFrame, anchors: DataFrame, kind: str = "nuc", weight: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, region_idx, plus, size, low, high, w, what): signed ranges in each anchor's own positions (0 is its start). what: cov, span, end."""
     p = KINDS[kind][0]
     weighted = fragments.withColumn("w", length_weight(F.col("length"), kind) * (weight if weight is not None else F.lit(1.0))).where("w > 0").drop("plus")
     hits = overlap(weighted, as_right(anchors).withColumn("r0", F.col("r_start")).withColumn("size", F.col("r_end") - F.col("r_start")), slack=60)
     s, e = F.col("start") + 1 - F.col("r0"), F.col("end") - F.col("r0")
     part = lambda what, low, high: F.struct(F.lit(what).alias("what"), low.alias("low"), high.alias("high"))
     each = F.explode(F.array(part("cov", s, e), part("span", s + p, e - p + 1), part("end", s - p, s + p), part("end", e - p + 1, e + p + 1)))
-    flat = hits.select("region_idx", "plus", "size", "w", each.alias("x")).select("region_idx", "plus", "size", "w", "x.what", F.greatest(F.lit(0), "x.low").alias("low"), F.least("size", "x.high").alias("high"))
+    flat = hits.select(*keep, "region_idx", "plus", "size", "w", each.alias("x")).select(*keep, "region_idx", "plus", "size", "w", "x.what", F.greatest(F.lit(0), "x.low").alias("low"), F.least("size", "x.high").alias("high"))
     return flat.where("low < high")
 
 

@@ -9,15 +9,15 @@ from plasmaspark.operators.coverage import weight_of
 from plasmaspark.operators.intervals import as_right, overlap
 
 
-def ocf_positions(fragments: DataFrame, regions: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(label, side, pos, n): weights (counts without one) of fragment starts (left) and ends (right, one further) in the 2000 positions of their regions; totals count those further out."""
+def ocf_positions(fragments: DataFrame, regions: DataFrame, weight: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, side, pos, n): weights (counts without one) of fragment starts (left) and ends (right, one further) in the 2000 positions of their regions; totals count those further out."""
     hits = overlap(fragments.withColumn("w", weight_of(weight)), as_right(regions).withColumn("rs", F.col("r_start")).withColumn("re", F.col("r_end")))
     ends = F.array(
         F.struct(F.lit("left").alias("side"), F.when(F.col("start") >= F.col("rs"), F.col("start") - F.col("rs")).alias("pos")),
         F.struct(F.lit("right").alias("side"), F.when(F.col("end") <= F.col("re"), F.col("end") - F.col("rs") + 1).alias("pos")),
     )
-    each = hits.select("label", "w", F.explode(ends).alias("e")).select("label", "w", "e.side", "e.pos").where("pos IS NOT NULL")
-    return each.groupBy("label", "side", F.least("pos", F.lit(2000)).cast("bigint").alias("pos")).agg(F.sum("w").alias("n"))
+    each = hits.select(*by, "label", "w", F.explode(ends).alias("e")).select(*by, "label", "w", "e.side", "e.pos").where("pos IS NOT NULL")
+    return each.groupBy(*by, "label", "side", F.least("pos", F.lit(2000)).cast("bigint").alias("pos")).agg(F.sum("w").alias("n"))
 
 
 def ocf_score(positions: DataFrame) -> DataFrame:

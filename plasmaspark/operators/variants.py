@@ -38,25 +38,51 @@ def summary(evidence: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("n_alt") >= 5, "HIGH").when(F.col("n_alt") >= 1, "LOW").otherwise("NONE"))
 
 
+#: The classes whose sizes are compared, in the order of the output.
+PAIRS = (("ALT", "REF"), ("ALT", "NonREF"), ("REF", "NonREF"), ("ALT", "N"), ("REF", "N"), ("NonREF", "N"))
+
+
 def ks(sizes: DataFrame, a: str, b: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance and p-value of two classes' sizes per variant; null and 1 with fewer than two of either.
+    """Kolmogorov-Smirnov distance and p-value of two classes' sizes per variant; null and 1 with fewer than two of either."""
+    one = F.when(F.col("class") == a, F.col("n")).otherwise(0)
+    two = F.when(F.col("class") == b, F.col("n")).otherwise(0)
+    tested = _ks(sizes.where(F.col("class").isin(a, b)).select("variant_id", "size", one.alias("a"), two.alias("b")), ["variant_id"])
+    return sizes.select("variant_id").distinct().join(tested, "variant_id", "left").fillna(1.0, ["p_value"])
+
+
+def ks_pairs(sizes: DataFrame) -> DataFrame:
+    """(variant_id, and ks_ and p_ of each of PAIRS), all pairs in one shuffle; null and 1 with fewer than two of either class."""
+    each = F.explode(F.array(*[F.struct(F.lit(f"{a}_{b}".lower()).alias("pair"), F.lit(a).alias("one"), F.lit(b).alias("two")) for a, b in PAIRS]))
+    named = sizes.select("*", each.alias("p")).where((F.col("class") == F.col("p.one")) | (F.col("class") == F.col("p.two")))
+    sides = [F.when(F.col("class") == F.col(f"p.{c}"), F.col("n")).otherwise(0).alias(n) for c, n in (("one", "a"), ("two", "b"))]
+    tested = _ks(named.select("variant_id", "p.pair", "size", *sides), ["variant_id", "pair"])
+    wide = tested.groupBy("variant_id").agg(*[F.max(F.when(F.col("pair") == f"{a}_{b}".lower(), F.col(c))).alias(f"{n}_{a}_{b}".lower()) for a, b in PAIRS for c, n in (("ks", "ks"), ("p_value", "p"))])
+    return sizes.select("variant_id").distinct().join(wide, "variant_id", "left").fillna(1.0, [f"p_{a}_{b}".lower() for a, b in PAIRS])
+
+
+def _ks(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ks, p_value) from rows (by, size, a, b) of both classes' counts, where each has two or more.
 
     Steps are taken pairwise where sizes tie, so that the largest distance is
     looked for both before and after the pairs of a tied size.
     """
-    per = sizes.where(F.col("class").isin(a, b)).groupBy("variant_id", "size").agg(F.sum(F.when(F.col("class") == a, F.col("n")).otherwise(0)).alias("ca"), F.sum(F.when(F.col("class") == b, F.col("n")).otherwise(0)).alias("cb"))
-    whole = Window.partitionBy("variant_id")
+    per = counts.groupBy(*by, "size").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
+    whole = Window.partitionBy(*by)
     upto = whole.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("variant_id", "ca", "cb", F.sum("ca").over(upto).alias("sa"), F.sum("cb").over(upto).alias("sb"), F.sum("ca").over(whole).alias("na"), F.sum("cb").over(whole).alias("nb"))
+    run = per.select(*by, "ca", "cb", F.sum("ca").over(upto).alias("sa"), F.sum("cb").over(upto).alias("sb"), F.sum("ca").over(whole).alias("na"), F.sum("cb").over(whole).alias("nb"))
     m = F.least("ca", "cb")
     before = F.abs((F.col("sa") - F.col("ca") + m) / F.col("na") - (F.col("sb") - F.col("cb") + m) / F.col("nb"))
     after = F.abs(F.col("sa") / F.col("na") - F.col("sb") / F.col("nb"))
-    d = run.where("na >= 2 AND nb >= 2").groupBy("variant_id", "na", "nb").agg(F.max(F.greatest(before, after)).alias("ks"))
+    d = run.where("na >= 2 AND nb >= 2").groupBy(*by, "na", "nb").agg(F.max(F.greatest(before, after)).alias("ks"))
     root = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     lam = (root + 0.12 + 0.11 / root) * F.col("ks")
     series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * lam * lam))
-    tested = d.select("variant_id", "ks", F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)).alias("p_value"))
-    return sizes.select("variant_id").distinct().join(tested, "variant_id", "left").fillna(1.0, ["p_value"])
+    return d.select(*by, "ks", F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)).alias("p_value"))
+
+
+def with_deltas(table: DataFrame) -> DataFrame:
+    """A summary with the difference of mean sizes for each of PAIRS; null where a class has none."""
+    return table.select("*", *[(F.col(f"mean_{a.lower()}") - F.col(f"mean_{b.lower()}")).alias(f"delta_{a}_{b}".lower()) for a, b in PAIRS])
 
 
 def methylation(reads: DataFrame, by: list[str], least_sites: int = 1, high: float = 0.5, low: float = 0.5) -> DataFrame:

@@ -71,7 +71,14 @@ def motif(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def fsc(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return coverage.fsc_bins(weighted(spark, a), text.regions(lines(spark, a.regions)), "index", F.col("weight"))
+    """Size channels of bins; against a cohort also the total relative to the bins' mean, and its log2 ratio to the cohort's."""
+    bins = coverage.fsc_bins(weighted(spark, a), text.regions(lines(spark, a.regions)), "index", F.col("weight"))
+    if not a.pon:
+        return bins
+    mean = bins.agg(F.avg(F.when(F.col("total") > 0, F.col("total"))).alias("bins_mean"))  # one row
+    base = sinks.read_baseline(spark, a.pon, "fsc_baseline").select("index", F.col("mean").alias("expected"), "std")
+    share = bins.join(F.broadcast(mean)).withColumn("share", F.col("total") / F.col("bins_mean")).join(base, "index", "left")
+    return share.withColumn("log_ratio", F.log2(F.col("share") / F.col("expected") + 1e-9)).withColumn("reliability", 1 / (F.col("std") * F.col("std") + 0.01)).drop("bins_mean", "std")
 
 
 def fsr(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -102,14 +109,15 @@ def wps(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def ocf(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return regional.ocf_score(regional.ocf_positions(weighted(spark, a), text.labelled(lines(spark, a.regions)).drop("index"), F.col("weight")))
+    scores = regional.ocf_score(regional.ocf_positions(weighted(spark, a), text.labelled(lines(spark, a.regions)).drop("index"), F.col("weight")))
+    return _scored(scores, spark, a, "ocf_baseline", ["label"], "ocf")
 
 
 def region_entropy(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Entropy of each label's sizes; with targets for all, on- and off-target fragments."""
     found, f = text.labelled(lines(spark, a.regions)).drop("index"), targeted(spark, a)
     if not a.targets:
-        return regional.entropy(regional.size_histogram(f, found, ["label"], F.col("weight")), ["label"])
+        return _scored(regional.entropy(regional.size_histogram(f, found, ["label"], F.col("weight")), ["label"]), spark, a, "region_entropy", ["label"], "entropy")
     return regional.entropy(regional.routed(f, found, F.col("weight")), ["label", "part"])
 
 
@@ -129,15 +137,15 @@ def mfsd(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     sites = sites.withColumn("variant_id", F.concat_ws(":", "chrom", F.col("pos") + 1, "ref", "alt"))
     reads = bam.read_bam(spark, a.input).where(X.read_filter(F.col("flag"), F.col("mapq"), F.abs("tlen"), a.mapq, a.minlen, a.maxlen, check_qc=False, proper=False))
     covered = F.aggregate(F.filter("cigar", lambda c: c["op"].isin("M", "D", "N", "=", "X")), F.lit(0).cast("bigint"), lambda s, c: s + c["len"])
-    placed = reads.select("qname", X.strip_chr(F.col("chrom")).alias("chrom"), F.col("pos").alias("start"), (F.col("pos") + covered).alias("end"), "pos", "cigar", "seq", "qual", F.abs("tlen").alias("length"))
+    placed = reads.select("qname", X.strip_chr(F.col("chrom")).alias("chrom"), F.col("pos").alias("start"), (F.col("pos") + covered).alias("end"), "pos", "cigar", "seq", "qual", "cd", F.abs("tlen").alias("length"))
     points = sites.select("variant_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col("pos").alias("v_pos"), "ref", "alt")
     pairs = overlap(placed, as_right(points), longest=a.longest)
     at = reference.read_offset(F.col("cigar"), F.col("pos"), F.col("v_pos"))
     calls = reference.classify_calls(pairs.withColumn("bq", F.coalesce(F.get("qual", at.cast("int")), F.lit(0)))).where(F.col("bq") >= a.baseq)
     best = variants.best_evidence(calls, ["variant_id", "qname"], "bq", "pos")
     summary, sizes = variants.summary(best), variants.class_sizes(best)
-    tested = variants.ks(sizes, "ALT", "REF").select("variant_id", F.col("ks").alias("ks_alt_ref"), F.col("p_value").alias("p_alt_ref"))
-    return sites.select("variant_id").distinct().join(summary, "variant_id", "left").join(tested, "variant_id", "left")
+    depth = best.groupBy("variant_id").agg(*[F.round(F.sum(F.when(F.col("class") == c, X.duplex_weight(F.col("cd"), F.col("qname")))), 4).alias(f"weight_{c.lower()}") for c in variants.CLASSES])
+    return sites.select("variant_id").distinct().join(variants.with_deltas(summary), "variant_id", "left").join(variants.ks_pairs(sizes), "variant_id", "left").join(depth, "variant_id", "left")
 
 
 def uxm(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -148,18 +156,45 @@ def uxm(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return marks.select("marker", "chrom", "start", "end").join(found, "marker", "left").fillna(0)
 
 
+def _scored(values: DataFrame, spark: SparkSession, a: argparse.Namespace, kind: str, by: list[str], value: str) -> DataFrame:
+    """values with z against the cohort's baseline of a kind, where one is given."""
+    return cohort.normalised(values, sinks.read_baseline(spark, a.pon, kind), by, value, 1e-9) if a.pon else values
+
+
 def build_pon(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Baselines over a list of fragment tables: the samples are one more grouping key of the same plans."""
+    """Baselines over a list of fragment tables, of each kind whose regions are given: the samples are one more grouping key of the same plans."""
     paths = [r.value.strip() for r in spark.read.text(a.input).collect() if r.value.strip()]  # one line per sample
     every = None
     for path in paths:
         one = fragments_of(spark, path).withColumn("sample_id", F.lit(path)).select("sample_id", "chrom", "start", "end", "length", "gc_pct")
         every = one if every is None else every.unionByName(one)
-    arms = text.labelled(lines(spark, a.regions)).select(F.col("label").alias("arm"), "chrom", "start", "end")
-    sizes = coverage.fsd_long(every, arms, "arm", ("sample_id",))
-    share = sizes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample_id", "arm")))
-    curve = gc.cohort_curve(every.groupBy("sample_id", (F.col("gc_pct") / 100).alias("gc")).agg(F.count("*").cast("double").alias("coverage")))
-    return cohort.union_tables(fsd_baseline=cohort.baseline(share, ["arm", "size_bin"], "share"), gc_bias=curve)
+    kinds = {"gc_bias": gc.cohort_curve(every.groupBy("sample_id", (F.col("gc_pct") / 100).alias("gc")).agg(F.count("*").cast("double").alias("coverage")))}
+    if arms_file := a.arms or a.regions:
+        arms = text.labelled(lines(spark, arms_file)).select(F.col("label").alias("arm"), "chrom", "start", "end")
+        sizes = coverage.fsd_long(every, arms, "arm", ("sample_id",))
+        share = sizes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("sample_id", "arm")))
+        kinds["fsd_baseline"] = cohort.baseline(share, ["arm", "size_bin"], "share")
+    if a.labels:
+        found = text.labelled(lines(spark, a.labels)).drop("index")
+        by = ["label", "sample_id"]
+        spread = regional.entropy(regional.size_histogram(every, found, by), by)
+        kinds["region_entropy"] = cohort.baseline(spread, ["label"], "entropy", single=0.0)
+        positions = regional.ocf_positions(every.withColumnRenamed("sample_id", "s"), found, by=("s",)).withColumn("label", F.struct("s", "label"))
+        scores = regional.ocf_score(positions).select(F.col("label.s").alias("sample_id"), F.col("label.label").alias("label"), "ocf")
+        kinds["ocf_baseline"] = cohort.baseline(scores, ["label"], "ocf", single=0.001)
+    if a.bins:
+        bins = text.regions(lines(spark, a.bins))
+        hits = overlap(every.where(F.col("length").between(65, 1000)), as_right(bins.select("index", "chrom", "start", "end")), bucket=1 << 16)
+        counts = hits.groupBy("index", "sample_id").agg(F.count("*").cast("double").alias("total"))
+        share = counts.withColumn("share", F.col("total") / F.avg("total").over(Window.partitionBy("sample_id")))
+        kinds["fsc_baseline"] = cohort.baseline(share, ["index"], "share", population=True, single=0.001, floor=0.001)
+    if a.anchors:
+        found = text.anchors(lines(spark, a.anchors)).select("index", "chrom", "start", "end", (F.col("strand") != "-").alias("plus"))
+        # an anchor of a sample is a region of its own
+        parts = protection.ranges(every, found.withColumnRenamed("index", "region_idx"), a.kind, keep=("sample_id",)).withColumn("region_idx", F.struct("sample_id", "region_idx"))
+        values = protection.binned(parts).select("region_idx.sample_id", F.col("region_idx.region_idx").alias("index"), "bin", "wps")
+        kinds["wps_baseline"] = cohort.baseline(values, ["index", "bin"], "wps", floor=0.01)
+    return cohort.union_tables(**kinds)
 
 
 def build_gc_reference(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -200,7 +235,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-r", "--regions", help="the command's region, variant or arm file")
-    for name in ("bins", "arms", "anchors", "labels", "genes", "blacklist", "reference", "factors", "targets"):
+    for name in ("bins", "arms", "anchors", "labels", "genes", "blacklist", "reference", "factors", "targets", "pon"):
         p.add_argument(f"--{name}")
     p.add_argument("--format", choices=("tsv", "parquet", "both"), default="tsv")
     p.add_argument("--kind", choices=tuple(protection.KINDS), default="nuc")

@@ -10,8 +10,9 @@ from plasmaspark.operators import gc as G
 from plasmaspark.operators import motifs as M
 from plasmaspark.operators import protection as P
 from plasmaspark.operators import regional as R
+from plasmaspark.operators import variants as V
 from plasmaspark.plans.coverage_queries import ARMS, GCHAN, HIT, TARGETS, arms, frags, genes, targets
-from plasmaspark.plans.feature_queries import LBIN, MOTIF_SQL, RANGES, ends_of_reads, evidence, factor_table
+from plasmaspark.plans.feature_queries import EVIDENCE, LBIN, MOTIF_SQL, RANGES, ends_of_reads, evidence, factor_table
 from plasmaspark.plans.register import query
 from plasmaspark.sources.adapters import adapted, with_sql
 
@@ -94,3 +95,15 @@ def _llr(tumour: float, healthy: float, spread: float, calm: float) -> str:
 @query(with_sql("fragments", body=f"SELECT frag_id, round({_llr(130, 153, 30e0, 25e0)}, 4) AS canine, round({_llr(135, 157, 35e0, 30e0)}, 4) AS ssdna FROM fragments"))
 def n12_llr_presets(spark, d):
     return evidence(spark, d).select("frag_id", *[F.round(X.log_likelihood_ratio(F.col("length"), p), 4).alias(p) for p in ("canine", "ssdna")])
+
+
+@query(f"""WITH e AS ({EVIDENCE}), q AS (SELECT * FROM (VALUES {', '.join(f"('{a}_{b}', '{a}', '{b}')" for a, b in V.PAIRS)}) t(pair, one, two)),
+ p AS (SELECT variant_id, pair, length AS size, count(*) FILTER (class = one) AS ca, count(*) FILTER (class = two) AS cb FROM e, q WHERE class IN (one, two) GROUP BY ALL),
+ r AS (SELECT *, sum(ca) OVER w AS sa, sum(cb) OVER w AS sb, sum(ca) OVER g AS na, sum(cb) OVER g AS nb FROM p WINDOW w AS (PARTITION BY variant_id, pair ORDER BY size), g AS (PARTITION BY variant_id, pair)),
+ k AS (SELECT variant_id, pair, na, nb, max(greatest(abs((sa - ca + least(ca, cb)) / na - (sb - cb + least(ca, cb)) / nb), abs(sa / na - sb / nb))) AS ks FROM r WHERE na >= 2 AND nb >= 2 GROUP BY ALL),
+ l AS (SELECT *, (sqrt(na * nb / (na + nb)) + 0.12 + 0.11 / sqrt(na * nb / (na + nb))) * ks AS lam FROM k),
+ s AS (SELECT variant_id, pair, ks, greatest(0, least(1, sum(CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * i * i * lam * lam)))) AS p_value FROM l, generate_series(1, 100) g(i) GROUP BY ALL)
+ SELECT variant_id, {', '.join(f"round(max(ks) FILTER (pair = '{a}_{b}'), 4) AS ks_{a.lower()}_{b.lower()}, round(coalesce(max(p_value) FILTER (pair = '{a}_{b}'), 1.0), 4) AS p_{a.lower()}_{b.lower()}" for a, b in V.PAIRS)} FROM (SELECT DISTINCT variant_id FROM e) v LEFT JOIN s USING (variant_id) GROUP BY variant_id""")
+def n13_ks_pairs(spark, d):
+    out = V.ks_pairs(V.class_sizes(evidence(spark, d)))
+    return out.select("variant_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])

@@ -62,7 +62,18 @@ def test_single_commands(spark, folder, tmp_path):
     assert mark.n == 0
     assert read(spark, main(["validate", "-i", at("bins.bed"), "-o", str(tmp_path), "--schema", "bed3"], spark)["validate"]) == []
     (tmp_path / "list").write_text(made["extract"][0] + "\n" + made["extract"][0])
-    assert main(["build-pon", "-i", str(tmp_path / "list"), "-r", at("arms.bed"), "-o", str(tmp_path), "--format", "parquet"], spark)
+    assert {"ks_alt_ref", "p_nonref_n", "delta_alt_n", "weight_alt"} <= set(one.asDict())
+    (made_pon,) = main(["build-pon", "-i", str(tmp_path / "list"), "--arms", at("arms.bed"), "--labels", at("labels.bed"), "--bins", at("bins.bed"), "--anchors", at("anchors.bed"), "-o", str(tmp_path), "--format", "parquet"], spark)["build-pon"]
+    pon = spark.read.parquet(made_pon)
+    assert {r.table for r in pon.select("table").distinct().collect()} == {"gc_bias", "fsd_baseline", "region_entropy", "ocf_baseline", "fsc_baseline", "wps_baseline"}
+    frags = made["extract"][0]
+    (tmp_path / "factors.csv").write_text("length_bin_min,length_bin_max,gc_pct,factor\n150,154,50,2.0\n")
+    for name, regions, z in (("region-entropy", "labels.bed", "z"), ("ocf", "labels.bed", "z"), ("fsc", "bins.bed", "log_ratio")):
+        rows = read(spark, main([name, "-i", frags, "-r", at(regions), "--pon", made_pon, "-o", str(tmp_path / "pon")], spark)[name])
+        assert rows and z in rows[0].asDict()
+    rows = read(spark, main(["region-entropy", "-i", frags, "-r", at("labels.bed"), "--targets", at("genes.bed"), "-o", str(tmp_path / "on")], spark)["region-entropy"])
+    assert {r.part for r in rows} <= {"all", "on", "off"} and "all" in {r.part for r in rows}
+    assert read(spark, main(["fsd", "-i", frags, "-r", at("arms.bed"), "--targets", at("genes.bed"), "-o", str(tmp_path / "on")], spark)["fsd"])[0].on_target
     assert main(["build-gc-reference", "-i", at("g.fa"), "-o", str(tmp_path)], spark)
 
 

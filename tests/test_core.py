@@ -224,6 +224,45 @@ def test_bam(spark, tmp_path):
         bam.read_bam(spark, str(tmp_path / "bad.bam")).count()
 
 
+def test_local_regression_and_periodicity_against_slow_twins():
+    import random
+
+    import numpy as np
+
+    from plasmaspark.operators import gc
+    from plasmaspark.operators.protection import periodicity
+
+    rng = random.Random(4)
+    x = np.array(sorted(rng.uniform(0, 1) for _ in range(60)))
+    y = np.sin(5 * x) + np.array([rng.gauss(0, 0.1) for _ in x])
+    y[20] += 8  # robustness must ignore this
+    k, robust = int(0.3 * len(x) + 1e-10), np.ones(len(x))
+    for _ in range(4):
+        fit = np.empty(len(x))
+        for i in range(len(x)):
+            reach = sorted(abs(x - x[i]))[k - 1]
+            u = abs(x - x[i]) / reach
+            w = np.where(u >= 0.999, 0, np.where(u <= 0.001, 1, (1 - u**3) ** 3)) * robust
+            fit[i] = np.polyval(np.polyfit(x[w > 0], y[w > 0], 1, w=np.sqrt(w[w > 0])), x[i])
+        left = abs(y - fit)
+        u = left / (6 * np.median(left))
+        robust = np.where(u >= 0.999, 0, np.where(u <= 0.001, 1, (1 - u**2) ** 2))
+    assert np.allclose(gc.lowess(x, y), fit, atol=1e-6) and abs(fit[20] - np.sin(5 * x[20])) < 0.3
+    profile = np.array([3 + 0.1 * i + np.cos(2 * np.pi * i / 15) for i in range(30)])
+    flat = profile - np.polyval(np.polyfit(np.arange(30), profile, 1), np.arange(30))
+    shaped = [(v - flat.mean()) / flat.std() * 0.5 * (1 - np.cos(2 * np.pi * i / 29)) for i, v in enumerate(flat)]
+    power = {f: abs(sum(v * np.exp(-2j * np.pi * f * i / 30) for i, v in enumerate(shaped))) for f in range(1, 16) if 140 <= 300 / f <= 200}
+    got = periodicity(profile)
+    assert got["nrl"] == 300 / max(power, key=power.get) == 150 and abs(got["snr"] - max(power.values()) / np.mean(list(power.values()))) < 1e-9
+
+
+def test_numbering_is_global(spark):
+    from plasmaspark.operators.numbering import numbered
+
+    rows = numbered(spark.range(0, 5000, 1, 7).selectExpr("id * 37 % 5000 as v"), ["v"], "place").collect()
+    assert {r.v: r.place for r in rows} == {i: i + 1 for i in range(5000)}
+
+
 def test_bam_by_ranges(spark, tmp_path):
     import random
 
