@@ -113,12 +113,12 @@ def _apply(model: Linear, rows: np.ndarray, cols: np.ndarray, chain: np.ndarray)
     return _sigmoid(np.bincount(rows, weights=weights[cols], minlength=len(chain)) + chain @ model.chain + model.bias)
 
 
-def fit_chain(lists: list[np.ndarray], labels: dict[str, np.ndarray]) -> list[tuple[str, Linear]]:
-    """The chain over categories in the order of labels. lists: each row's features."""
+def fit_chain(lists: list[np.ndarray], labels: dict[str, np.ndarray], fold: np.ndarray | None = None) -> list[tuple[str, Linear]]:
+    """The chain over categories in the order of labels. lists: each row's features; fold: each row's, in turn if not given."""
     n = len(lists)
     rows = np.repeat(np.arange(n), [len(x) for x in lists])
     cols = np.concatenate([np.zeros(0, np.int64), *lists])
-    fold = np.arange(n) % FOLDS
+    fold = np.arange(n) % FOLDS if fold is None else fold
     chain, models = np.zeros((n, 0)), []
     for category, y in labels.items():
         y = y.astype(float)
@@ -164,13 +164,23 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(features_of: DataFrame) -> np.ndarray:
-    """The features that set toxic texts apart most, POOL at most, ascending; counted by Spark, so that the driver sees no others."""
-    n, pos = features_of.agg(F.count("*"), F.sum("toxic")).first()
-    pos, neg = max(1, pos or 0), max(1, n - (pos or 0))
-    counts = features_of.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("y"))
-    share = (F.col("n") + 0.5) / (n + 1)
-    z = F.abs((F.col("y") / pos - (F.col("n") - F.col("y")) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg)))
-    best = counts.select("feature", z.alias("z")).where(F.col("z") >= APART).orderBy(F.col("z").desc(), "feature").limit(POOL)
+    """The features that set toxic texts apart most in all rows or in those outside one fold, POOL at most, ascending; counted by Spark, so that the driver sees no others.
+
+    So whatever a fold's model could choose from its own rows is among them.
+    """
+    parts = range(FOLDS)
+    n, y = (lambda k: F.count_if(F.col("fold") == k)), (lambda k: F.sum(F.when(F.col("fold") == k, F.col("toxic")).otherwise(0)))
+    total = features_of.agg(*[n(k).alias(f"n{k}") for k in parts], *[F.coalesce(y(k), F.lit(0)).alias(f"y{k}") for k in parts]).first()
+    counts = features_of.select("toxic", "fold", F.explode("features").alias("feature")).groupBy("feature").agg(*[n(k).alias(f"n{k}") for k in parts], *[y(k).alias(f"y{k}") for k in parts])
+
+    def z(kept: list[int]):
+        rows, pos = sum(total[f"n{k}"] for k in kept), max(1, sum(total[f"y{k}"] for k in kept))
+        seen, bad = sum((F.col(f"n{k}") for k in kept), F.lit(0)), sum((F.col(f"y{k}") for k in kept), F.lit(0))
+        neg, share = max(1, rows - pos), (seen + 0.5) / (rows + 1)
+        return F.abs((bad / pos - (seen - bad) / neg) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / pos + 1 / neg)))
+
+    most = F.greatest(z(list(parts)), *[z([k for k in parts if k != out]) for out in parts])
+    best = counts.select("feature", most.alias("z")).where(F.col("z") >= APART).orderBy(F.col("z").desc(), "feature").limit(POOL)
     return np.sort(np.array([r.feature for r in best.collect()], np.int64))
 
 
@@ -191,12 +201,13 @@ def _list_array(lists: list[np.ndarray]) -> pa.ListArray:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", train_rows: int = TRAIN_ROWS) -> list[tuple[str, Linear]]:
     """The chain, fitted on about train_rows labelled documents at most (chosen by a hash of the id).
 
-    A quarter of these decides which features are looked at and which kinds of
-    toxic texts there are; the chain is fitted on the others, so that its
-    out-of-fold predictions come from nothing that has seen their rows. Rows
+    A quarter of these decides which kinds of toxic texts there are; the chain
+    is fitted on the others, so that its out-of-fold predictions come from
+    nothing that has seen their rows. Rows
     of labels without an id or a flag are left out; of several flags for an
     id the largest counts, of several texts the least. Without any labelled
-    document, or with only one class, the chain is empty and nothing is toxic.
+    document, with only one class, or where no feature sets the classes apart,
+    the chain is empty and nothing is toxic.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = sampled(known, F.xxhash64("__id"), train_rows)
@@ -204,16 +215,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
     chosen = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))  # train_rows bounds the broadcast
     chosen = chosen.groupBy("__id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", "__id")
     features_of = written(chosen.mapInArrow(_features_of, "features array<int>, toxic int, __id long"), "toxic-features")
-    defines = F.pmod(F.xxhash64("__id", F.lit("defines")), F.lit(1000)) < int(DEFINING * 1000)
-    pool = _candidates(features_of.where(defines))
-    found = features_of.withColumn("defines", defines).mapInArrow(_only(pool), "features array<int>, toxic int, __id long, defines boolean").toArrow().sort_by("__id")  # train_rows lists over the pool
+    draw = F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(1000 * FOLDS))
+    features_of = features_of.withColumn("defines", draw < int(DEFINING * 1000 * FOLDS)).withColumn("fold", (draw % FOLDS).cast("int"))
+    pool = _candidates(features_of)
+    found = features_of.mapInArrow(_only(pool), "features array<int>, toxic int, __id long, defines boolean, fold int").toArrow().sort_by("__id")  # train_rows lists over the pool
     lists = [np.array(x.values.to_numpy(zero_copy_only=False), np.int64) for x in found.column("features")]
     toxic, first = (np.array(found.column(c).to_pylist(), bool) for c in ("toxic", "defines"))
     if toxic[~first].all() or not toxic[~first].any():
         return []
     pick = lambda keep: [x for x, k in zip(lists, keep, strict=True) if k]
     leads = lead_features(pick(first), toxic[first])
-    return fit_chain(pick(~first), categories(leads, pick(~first), toxic[~first]))
+    chain = fit_chain(pick(~first), categories(leads, pick(~first), toxic[~first]), np.array(found.column("fold").to_pylist(), int)[~first])
+    return chain if len(chain[-1][1].kept) else []
 
 
 def classify(docs: DataFrame, chain: list[tuple[str, Linear]], text: str = "text", prefix: str = "p_") -> DataFrame:
