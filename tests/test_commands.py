@@ -67,7 +67,10 @@ def test_single_commands(spark, folder, tmp_path):
     pon = spark.read.parquet(made_pon)
     assert {r.table for r in pon.select("table").distinct().collect()} == {"gc_bias", "fsd_baseline", "region_entropy", "ocf_baseline", "fsc_baseline", "wps_baseline"}
     frags = made["extract"][0]
-    (tmp_path / "factors.csv").write_text("length_bin_min,length_bin_max,gc_pct,factor\n150,154,50,2.0\n")
+    (tmp_path / "factors.csv").write_text("length_bin_min,length_bin_max,gc_pct,observed,expected,factor\n150,154,50,1,1,2.0\n")
+    weigh = ["--factors", str(tmp_path / "factors.csv")]
+    plain, doubled = (read(spark, main(["region-entropy", "-i", frags, "-r", at("labels.bed"), "-o", str(tmp_path / n), *more], spark)["region-entropy"])[0]["count"] for n, more in (("p", []), ("w", weigh)))
+    assert doubled == plain + 1
     for name, regions, z in (("region-entropy", "labels.bed", "z"), ("ocf", "labels.bed", "z"), ("fsc", "bins.bed", "log_ratio")):
         rows = read(spark, main([name, "-i", frags, "-r", at(regions), "--pon", made_pon, "-o", str(tmp_path / "pon")], spark)[name])
         assert rows and z in rows[0].asDict()
