@@ -5,7 +5,8 @@ small lexer reads lines of source and configuration syntax into name-literal
 pairs: ``name = "x"``, ``name: x``, ``"name": "x"``, ``export NAME=x``,
 ``name := x``, ``<name>x</name>``. Names that are assigned other names take
 their literals along (constants are propagated, in either order and over any
-number of steps, also through ``+``). Each literal is scored by the names that
+number of steps, also through ``+``, which may stand on the next line).
+Comments are read like the rest: a secret in one is as public. Each literal is scored by the names that
 it reaches and by its own form; those with a score of 1 or more are added as
 kind ``flow``.
 """
@@ -31,9 +32,14 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 _PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=](?![:=/]))[ \t]*+""")
 _TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\n]++)</\1>")
-#: Quoted terms go to their closing quote, whatever they hold; the others end at blanks, quotes and ; , { }.
-_TERM = re.compile(r""""([^"\n]*+)"|'([^'\n]*+)'|([A-Za-z0-9+/_.=~!@#%^&*-]++)""")
-_PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
+#: Quoted terms go to their closing quote: triple quotes and backticks over any number of lines, the others within their line, past
+#: escaped quotes (or, where none but an escaped one closes them, up to that one). Bare terms end at blanks, quotes and ; , { }.
+_TERM = re.compile(
+    r'''"""((?:[^"\\]++|\\[\s\S]|"(?!""))*+)"""''' + r"""|'''((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'''"""
+    r'''|"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|"([^"\n]*+)"|'([^'\n]*+)'|`([^`]*+)`|([A-Za-z0-9+/_.=~!@#%^&*-]++)'''
+)
+_BARE = 8
+_PLUS = re.compile(r"(?:\s|\\\n)*+\+(?:\s|\\\n)*+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*+")
 #: Parts of a name that tell what is assigned, and how strongly.
 _SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.5, "auth": 0.5, "bearer": 0.8, "access": 0.4, "key": 0.5, "signing": 0.5, "pin": 0.5}
@@ -81,10 +87,11 @@ class Flow:
 
     def __init__(self, text: str):
         self.text = text
-        #: (start, limit): (start, end, form, next term) of a term; form is 3 for those without quotes
+        #: (start, limit): (start, end, form, next term) of a term; form is _BARE for those without quotes
         self.terms: dict[tuple[int, int], tuple[int, int, int, tuple[int, int] | None]] = {}
         self.heads: dict[str, list[tuple[tuple[int, int], bool]]] = {}
         self._bare = (0, 0)
+        self._plus: dict[tuple[int, int], int | None] = {}
         at = 0
         while m := _PAIR.search(text, at):
             at = m.end()
@@ -101,21 +108,27 @@ class Flow:
     def _term(self, at: int, limit: int) -> tuple[int, int, int, int] | None:
         """(start, end, form, place after it)."""
         if self._bare[0] <= at < self._bare[1] <= limit:
-            return at, self._bare[1], 3, self._bare[1]  # the rest of a run that was read
+            return at, self._bare[1], _BARE, self._bare[1]  # the rest of a run that was read
         if not (m := _TERM.match(self.text, at, limit)):
             return None
-        if m.lastindex == 3:
+        if m.lastindex == _BARE:
             self._bare = m.span()
         return *m.span(m.lastindex), m.lastindex, m.end()
 
+    def _after(self, at: int, limit: int) -> tuple[int, int] | None:
+        """The key of the term that a + joins to the one that ends at at; blanks are read once for all terms that end there."""
+        if (at, limit) not in self._plus:
+            self._plus[at, limit] = m.end() if (m := _PLUS.match(self.text, at, limit)) else None
+        return (then, limit) if (then := self._plus[at, limit]) else None
+
     def _read(self, key: tuple[int, int]) -> bool:
         """Enter the chain of terms at key, up to one that is known."""
         before, first = None, key
         while key not in self.terms and (term := self._term(*key)):
             start, end, form, after = term
-            plus = _PLUS.match(self.text, after, key[1])
-            self.terms[key] = (start, end, form, (plus.end(), key[1]) if plus else None)
-            before, key = key, (plus.end(), key[1]) if plus else None
+            then = self._after(after, key[1])
+            self.terms[key] = (start, end, form, then)
+            before, key = key, then
             if key is None:
                 break
         if before and key is not None and key not in self.terms:  # a + that nothing follows
@@ -138,7 +151,7 @@ class Flow:
                     while key and (key, refers) not in terms:
                         terms.add((key, refers))
                         start, end, form, key = self.terms[key]
-                        if refers and form == 3 and self._refers(start, end):
+                        if refers and form == _BARE and self._refers(start, end):
                             if (to := self.text[start:end]) not in names:
                                 names.add(to)
                                 todo.append(to)

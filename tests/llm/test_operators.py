@@ -554,6 +554,17 @@ def test_literals_of_any_form_and_length():
         secrets.scan(text)
 
 
+def test_quotes_and_continued_lines():
+    for value, quote in ((r"Zx9!kLm\'Q22pw", "'"), (r"Zx9!\"kLmQ22pw", '"'), ("Zx9!kLmQ22pw\\", '"'), ("Zx9!k'Lm\nQ2\"2pw", '"""'), ('Zx9!k"Lm\nQ22pw', "'''"), ("Zx9!k'Lm\nQ22pw", "`")):
+        text = f"user = 1\ndb_credential = {quote}{value}{quote}\nmode = fast"
+        assert [(text[a:b], k) for a, b, k in secrets.scan(text)[1]] == [(value, "flow")]
+    for joint in (" + ", "\n    + ", " + \\\n", " \\\n+ "):
+        text = f"b = 'Zx9!kLmQ22pw'\nmy_pwd = 'v1'{joint}b\n"
+        assert [(text[a:b], k) for a, b, k in secrets.scan(text)[1]] == [("Zx9!kLmQ22pw", "flow")]
+    for text in ('a="""' * 100_000, 'a="""\\"' * 100_000, "a='" * 100_000 + 'a="' * 100_000, "a=`" * 100_001, "a=" * 50_000 + " " * 100_000, 'pwd="' + "\\" * 600_000):
+        secrets.scan(text)  # in linear time
+
+
 def test_names_with_digits_are_references():
     for text in ("s3_raw = 'Zx9!kLmQ22pw'\ndb_credential = s3_raw", "db_credential = key2 + step1\nstep1: v0\nv0 = 'Zx9!kLmQ22pw'"):
         _, spans = secrets.scan(text)
