@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plasmaspark.functions.expressions import length_bin, reverse_complement
+from plasmaspark.functions.expressions import length_bin, reverse_complement, variant_type
 from plasmaspark.operators.intervals import as_right, overlap
 
 
@@ -69,15 +69,67 @@ def indel_after(cigar: Column, pos: Column, at: Column, op: str) -> Column:
     return F.aggregate(cigar, start, step, lambda s: s["found"])
 
 
+def alignment(cigar: Column, pos: Column) -> Column:
+    """The operations with where each begins in the reference (ref) and in the read's bases (read), and the operation before it."""
+    none = F.expr("cast(array() as array<struct<op:string,ref:bigint,read:bigint,len:bigint,before:string>>)")
+    start = F.struct(none.alias("ops"), pos.cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("read"), F.lit("").alias("before"))
+
+    def step(state: Column, c: Column) -> Column:
+        n, op = c["len"].cast("bigint"), c["op"]
+        here = F.struct(op.alias("op"), state["ref"].alias("ref"), state["read"].alias("read"), n.alias("len"), state["before"].alias("before"))
+        return F.struct(
+            F.array_append(state["ops"], here).alias("ops"),
+            (state["ref"] + F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(0)).alias("ref"),
+            (state["read"] + F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(0)).alias("read"),
+            op.alias("before"),
+        )
+
+    return F.aggregate(cigar, start, step, lambda s: s["ops"])
+
+
+def _index(ops: Column, at: Column) -> Column:
+    """Place in the read's bases of reference position at; null in gaps."""
+    block = F.get(F.filter(ops, lambda o: o["op"].isin("M", "=", "X") & (at >= o["ref"]) & (at < o["ref"] + o["len"])), F.lit(0))
+    return block["read"] + at - block["ref"]
+
+
+#: Fixed value: how far an aligner may have shifted an insertion or deletion.
+SHIFT = 5
+
+
 def classify_calls(pairs: DataFrame) -> DataFrame:
-    """class (REF, ALT, NonREF, N) of reads (pos, cigar, seq) at variants (v_pos, ref, alt), by the variant's kind."""
+    """class (REF, ALT, NonREF, N) and bq of reads (pos, cigar, seq, qual if there) at variants (v_pos, ref, alt), by the variant's kind.
+
+    Substitutions and complex variants compare all bases over the reference
+    allele, and take the least quality of them. An insertion or deletion of the
+    right length counts at SHIFT positions from its place too, the nearest one
+    first; inserted bases have to be the same. Of these the base before gives
+    the quality. Reads without a base at a position that is needed are left out.
+    """
     r, a = F.length("ref"), F.length("alt")
-    offset = read_offset(F.col("cigar"), F.col("pos"), F.col("v_pos"))
-    block = F.upper(F.substring("seq", (F.col("offset") + 1).cast("int"), r))
-    same = F.when(block.contains("N"), "N").when(block == F.col("ref"), "REF").when(block == F.col("alt"), "ALT").otherwise("NonREF")
-    inserted, deleted = indel_after(F.col("cigar"), F.col("pos"), F.col("v_pos"), "I"), indel_after(F.col("cigar"), F.col("pos"), F.col("v_pos"), "D")
-    added = F.upper(F.substring("seq", (F.col("offset") + 1).cast("int"), a))
-    ins = F.when((F.col("inserted") == a - r) & (added == F.col("alt")), "ALT").when((F.col("inserted") == 0) & (F.col("deleted") == 0), "REF").otherwise("NonREF")
-    dele = F.when(F.col("deleted") == r - a, "ALT").when((F.col("inserted") == 0) & (F.col("deleted") == 0), "REF").otherwise("NonREF")
-    placed = pairs.withColumn("offset", offset).withColumn("inserted", inserted).withColumn("deleted", deleted).where("offset IS NOT NULL")
-    return placed.withColumn("class", F.when(r == a, same).when(r < a, ins).otherwise(dele)).drop("offset", "inserted", "deleted")
+    seq, ops, at, size = F.upper("seq"), F.col("__ops"), F.col("__at"), F.greatest(r, F.lit(1))
+    cut = lambda first, n: F.substring(seq, first.cast("int"), n.cast("int"))
+    nearest = lambda kept, distance: F.array_min(F.transform(F.filter(ops, kept), lambda o: F.struct(distance(o).alias("distance"), o["read"].alias("read"))))
+    off_ins = lambda o: F.abs(o["ref"] - F.col("v_pos") - size)
+    off_del = lambda o: F.abs(o["ref"] - F.col("v_pos") - a)
+    inserted = nearest(lambda o: (o["op"] == "I") & (o["len"] == a - r) & o["before"].isin("M", "=", "X") & (off_ins(o) <= SHIFT) & (cut(o["read"] + 1, o["len"]) == F.substring("alt", r + 1, a - r)), off_ins)
+    deleted = nearest(lambda o: (o["op"] == "D") & (o["len"] == r - a) & (off_del(o) <= SHIFT), off_del)
+    kind = variant_type(F.col("ref"), F.col("alt"))
+    placed = pairs.withColumn("__ops", alignment(F.col("cigar"), F.col("pos"))).withColumn("__at", F.transform(F.sequence(F.lit(0), size - 1), lambda i: _index(ops, F.col("v_pos") + i)))
+    placed = placed.withColumn("__gap", F.when(kind == "INS", inserted).when(kind == "DEL", deleted))
+    gap, before = F.col("__gap").isNotNull(), F.greatest(F.col("__gap.read"), F.lit(1))
+
+    # the bases that decide, and where their quality is read
+    block = F.array_join(F.transform(at, lambda i: cut(i + 1, F.lit(1))), "")
+    whole = ~F.exists(at, lambda i: i.isNull()) & (F.length(block) == size)
+    first = F.get(at, F.lit(0))
+    bases = F.when(gap & (kind == "INS"), cut(before, a - r + 1)).when(gap, cut(before, F.lit(1))).when(kind == "INS", cut(first + 1, F.lit(1))).when(whole, block)
+    places = F.when(gap, F.array(before - 1)).when(kind == "INS", F.array(first)).otherwise(at)
+    # an insertion's base before it has to be the allele's, unless the allele is written without one
+    same = F.when(r == 0, F.substring("__bases", 2, 1 << 20) == F.col("alt")).otherwise(F.col("__bases") == F.substring("alt", r, a - r + 1))
+    alike = F.when(F.col("__bases") == F.col("ref"), "REF").when(F.col("__bases") == F.col("alt"), "ALT").otherwise("NonREF")
+    by_kind = F.when(gap & (kind == "DEL"), "ALT").when(gap, F.when(same, "ALT").otherwise("NonREF")).when(kind == "INS", "REF").otherwise(alike)
+    out = placed.withColumn("__bases", bases).where("__bases <> ''").withColumn("class", F.when(F.col("__bases").contains("N"), "N").otherwise(by_kind))
+    if "qual" in pairs.columns:
+        out = out.withColumn("bq", F.array_min(F.transform(places, lambda i: F.coalesce(F.get("qual", i.cast("int")), F.lit(0)))))
+    return out.drop("__ops", "__at", "__gap", "__bases")

@@ -140,8 +140,7 @@ def mfsd(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     placed = reads.select("qname", X.strip_chr(F.col("chrom")).alias("chrom"), F.col("pos").alias("start"), (F.col("pos") + covered).alias("end"), "pos", "cigar", "seq", "qual", "cd", F.abs("tlen").alias("length"))
     points = sites.select("variant_id", "chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.col("pos").alias("v_pos"), "ref", "alt")
     pairs = overlap(placed, as_right(points), longest=a.longest)
-    at = reference.read_offset(F.col("cigar"), F.col("pos"), F.col("v_pos"))
-    calls = reference.classify_calls(pairs.withColumn("bq", F.coalesce(F.get("qual", at.cast("int")), F.lit(0)))).where(F.col("bq") >= a.baseq)
+    calls = reference.classify_calls(pairs).where(F.col("bq") >= a.baseq)
     best = variants.best_evidence(calls, ["variant_id", "qname"], "bq", "pos")
     summary, sizes = variants.summary(best), variants.class_sizes(best)
     depth = best.groupBy("variant_id").agg(*[F.round(F.sum(F.when(F.col("class") == c, X.duplex_weight(F.col("cd"), F.col("qname")))), 4).alias(f"weight_{c.lower()}") for c in variants.CLASSES])

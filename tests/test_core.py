@@ -193,6 +193,56 @@ def test_calls_at_variants(spark):
     assert len(got) == len(rows) and all(r["class"] == r.want for r in got)
 
 
+def _naive_call(pos, cigar, seq, qual, v, ref, alt):
+    """(class, quality) by walking single bases; None for reads that don't tell."""
+    at, index, gaps, i, p, last = {}, 0, [], 0, pos, ""
+    for o, n in cigar:
+        if o in "M=X":
+            at.update({p + k: i + k for k in range(n)})
+        if o == "I" and last in ("M", "=", "X") or o == "D":
+            gaps.append((o, n, p, i))
+        p, i, last = p + n * (o in "M=XDN"), i + n * (o in "M=XIS"), o
+    r, a = len(ref), len(alt)
+    best = None
+    if r < a and alt.startswith(ref):
+        for o, n, g, index in gaps:
+            d = abs(g - 1 - (v + max(r, 1) - 1))
+            if o == "I" and n == a - r and d <= 5 and seq[index : index + n] == alt[r:] and (best is None or d < best[0]):
+                best = (d, index)
+        if best:
+            piece = seq[best[1] - 1 : best[1] + a - r]
+            return "N" if "N" in piece else "ALT" if r == 0 or piece == alt[r - 1 :] else "NonREF", qual[best[1] - 1]
+        return None if v not in at else ("N" if seq[at[v]] == "N" else "REF", qual[at[v]])
+    if r > a and ref.startswith(alt):
+        for o, n, g, index in gaps:
+            d = abs(g - (v + a))
+            if o == "D" and n == r - a and d <= 5 and (best is None or d < best[0]):
+                best = (d, index)
+        if best:
+            k = max(best[1] - 1, 0)
+            return "N" if seq[k] == "N" else "ALT", qual[k]
+    if any(v + k not in at for k in range(r)):
+        return None
+    block = "".join(seq[at[v + k]] for k in range(r))
+    return "N" if "N" in block else "REF" if block == ref else "ALT" if block == alt else "NonREF", min(qual[at[v + k]] for k in range(r))
+
+
+def test_calls_match_single_bases(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for n in range(600):
+        cigar = [("S", rng.randint(1, 3))] * rng.randint(0, 1) + [("M", rng.randint(1, 8))]
+        for _ in range(rng.randint(0, 2)):
+            cigar += [(rng.choice("IID"), rng.randint(1, 2)), ("M", rng.randint(1, 8))]
+        seq = "".join(rng.choices("AACN" if n % 9 == 0 else "AAC", k=sum(k for o, k in cigar if o in "MIS")))
+        qual, v = [rng.randint(2, 40) for _ in seq], 100 + rng.randint(-2, 14)
+        ref, alt = rng.choice([("A", "C"), ("A", "AA"), ("A", "AC"), ("A", "AAC"), ("AA", "A"), ("AAC", "A"), ("AA", "CA"), ("AAC", "AC"), ("", "A"), ("C", ""), ("AC", "CAA"), ("AC", "ACA")])
+        rows.append((n, 100, [(o, k) for o, k in cigar], seq, qual, v, ref, alt))
+        if call := _naive_call(100, cigar, seq, qual, v, ref, alt):
+            want[n] = call
+    got = reference.classify_calls(frame(spark, rows, "n int, pos long, cigar array<struct<op:string,len:int>>, seq string, qual array<int>, v_pos long, ref string, alt string")).collect()
+    assert {r.n: (r["class"], r.bq) for r in got} == want and len({c for c, _ in want.values()}) == 4
+
+
 # ---- files ----
 
 
