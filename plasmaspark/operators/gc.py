@@ -25,6 +25,22 @@ def observed_expected(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return joined.fillna(0, ["observed", "expected"])
 
 
+def reference_counts(stored: DataFrame) -> DataFrame:
+    """(length_bin, gc_pct, n) of a stored GC reference: as it is written here, or by length_bin_min, gc_percent and expected_count."""
+    if "length_bin" in stored.columns:
+        return stored.select("length_bin", "gc_pct", "n")
+    number = F.expr("(cast(length_bin_min as int) - 60) div 5").cast("int")
+    rows = stored.where("length_bin_min >= 60").select(number.alias("length_bin"), F.col("gc_percent").cast("int").alias("gc_pct"), F.col("expected_count").cast("bigint").alias("n"))
+    return rows.where("length_bin < 188")
+
+
+def factor_rows(both: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
+    """correction_factors() in the six columns of a factors file."""
+    low = 60 + 5 * F.col("length_bin")
+    points = both.join(correction_factors(both, least_count), ["length_bin", "gc_pct"])  # both: 188 x 101 rows at most
+    return points.select(low.cast("int").alias("length_bin_min"), (low + 4).cast("int").alias("length_bin_max"), F.col("gc_pct").cast("int").alias("gc_pct"), "observed", "expected", "factor")
+
+
 def lowess(x: np.ndarray, y: np.ndarray, fraction: float = FRACTION, rounds: int = ROUNDS) -> np.ndarray:
     """Robust locally weighted linear regression at each x (ascending): tricube weights, bisquare robustness."""
     n = len(x)

@@ -51,13 +51,33 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return out.fillna(0, ["gc_pct"])
 
 
+def gc_factors(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """GC factors of the fragments (with targets: of those off target) against a GC reference, in the form that --factors takes."""
+    f = fragments_of(spark, a.input)
+    if a.targets:
+        f = coverage.flag_on_target(f, text.regions(lines(spark, a.targets))).where("NOT on_target")
+    stored = gc.reference_counts(spark.read.parquet(a.gc_reference))
+    return gc.factor_rows(gc.observed_expected(gc.observations(f), stored), a.least_count)
+
+
+def factors_of(spark: SparkSession, a: argparse.Namespace) -> DataFrame | None:
+    """The factors that are given, else those written beside the input, else those that the GC reference gives, else none."""
+    if a.no_gc:
+        return None
+    if a.factors:
+        return spark.read.parquet(a.factors) if a.factors.rstrip("/").endswith(".parquet") else text.factors(lines(spark, a.factors))
+    try:
+        return sinks.read_table(spark, sinks.stem(a.input.rstrip("/")) + ".factors")
+    except FileNotFoundError:
+        return gc_factors(spark, a) if a.gc_reference else None
+
+
 def weighted(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """The command's fragments with their GC weights (1 without factors)."""
-    f = fragments_of(spark, a.input)
-    if not a.factors:
+    f, found = fragments_of(spark, a.input), factors_of(spark, a)
+    if found is None:
         return f.withColumn("weight", F.lit(1.0))
-    factors = text.factors(lines(spark, a.factors)).select(((F.col("length_bin_min") - 60) / 5).cast("int").alias("length_bin"), F.col("gc_pct").cast("int"), "factor")
-    return coverage.with_factors(f, factors)
+    return coverage.with_factors(f, found.select(((F.col("length_bin_min") - 60) / 5).cast("int").alias("length_bin"), F.col("gc_pct").cast("int"), "factor"))
 
 
 def targeted(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -66,8 +86,48 @@ def targeted(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return coverage.flag_on_target(f, text.regions(lines(spark, a.targets))) if a.targets else f
 
 
-def motif(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return motifs.dense(motifs.end_motifs(spark.read.parquet(a.input), a.k), a.k)
+def motif(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """End motifs, with their diversity and the shares of first bases; with a reference also the motifs over breakpoints. With targets each is made of
+    the fragments off target, and once more (.ontarget) of the others."""
+    reads = spark.read.parquet(a.input)
+    parts = {"": reads}
+    if a.targets:
+        flagged = coverage.flag_on_target(reads, text.regions(lines(spark, a.targets)))
+        parts = {"": flagged.where("NOT on_target"), ".ontarget": flagged.where("on_target")}
+    made = {}
+    for part, rows in parts.items():
+        counts = motifs.end_motifs(rows, a.k)
+        made[f"motif{part}"] = motifs.dense(counts, a.k)
+        made[f"motif.mds{part}"] = made[f"motif{part}"].agg(F.sum("n").alias("fragments"), motifs.diversity(F.col("share"), a.k).alias("mds"))
+        made[f"motif.first{part}"] = motifs.end_fractions(counts)
+        if a.reference:
+            made[f"motif.breakpoint{part}"] = motifs.dense(_breakpoints(rows, bam.read_fasta(spark, a.reference), a.k), a.k)
+    return made
+
+
+def _breakpoints(reads: DataFrame, tiles: DataFrame, k: int) -> DataFrame:
+    """Motifs over the fragments' 5' ends: half of the reference before them, half of the read."""
+    half = (k + 1) // 2
+    low = F.when(F.col("plus"), F.col("start") - half).otherwise(F.col("end"))
+    outside = reads.select("frag_id", "chrom", low.alias("start"), (low + half).alias("end")).where("start >= 0")
+    bases = bam.fetch(outside, tiles, ["frag_id"]).where(F.length("seq") == half).select("frag_id", F.col("seq").alias("before"))
+    return reference.breakpoint_motifs(reads.select("frag_id", "plus", F.col("seq").alias("after")).join(bases, "frag_id").where(F.length("after") >= half), k)
+
+
+def metadata(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The sample's row: how many fragments, from which filters, when."""
+    return sinks.metadata(fragments_of(spark, a.input), F.lit(a.sample), a.genome, a.assay, a.targets, a.mapq, a.minlen, a.maxlen, factors_of(spark, a) is not None)
+
+
+def document(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """One JSON document of the tables that run-all has written to the input folder, a list of rows for each."""
+    found = {}
+    for name in SECTIONS:
+        try:
+            found[name.replace("-", "_").replace(".", "_")] = sinks.read_table(spark, f"{a.input.rstrip('/')}/{name}").withColumn("sample", F.lit(a.sample))
+        except FileNotFoundError:
+            continue
+    return sinks.feature_document("sample", **found)
 
 
 def fsc(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -209,22 +269,42 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return text.invalid_lines(lines(spark, a.input), a.schema, a.first or None)
 
 
-COMMANDS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame]] = {
+COMMANDS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame | dict[str, DataFrame]]] = {
     "extract": extract, "motif": motif, "fsc": fsc, "fsc-genes": genes, "fsr": fsr, "fsd": fsd, "wps": wps, "ocf": ocf, "region-entropy": region_entropy,
     "region-mds": region_mds, "mfsd": mfsd, "uxm": uxm, "build-pon": build_pon, "build-gc-reference": build_gc_reference, "validate": validate,
+    "gc-factors": gc_factors, "metadata": metadata, "document": document,
 }
 
+#: The tables of a document.
+SECTIONS = ("fsc", "fsr", "fsd", "fsc-genes", "wps", "ocf", "region-entropy", "region-mds", "mfsd", "uxm", "fragments.factors", "metadata", *(f"motif{t}{p}" for t in ("", ".mds", ".first", ".breakpoint") for p in ("", ".ontarget")))
+
+
+def write(made: DataFrame | dict[str, DataFrame], out: str, name: str, form: str) -> dict[str, list[str]]:
+    """Write what a command gives: a table, or several by their names."""
+    return {n: sinks.write_table(df, f"{out.rstrip('/')}/{n}", form) for n, df in (made if isinstance(made, dict) else {name: made}).items()}
+
 
 def run_all(spark: SparkSession, a: argparse.Namespace) -> dict[str, list[str]]:
-    """Extract once, then every feature whose regions are given."""
-    out = a.output.rstrip("/")
+    """Extract once, then the GC factors, every feature whose regions are given, the metadata and the document."""
+    out, reads = a.output.rstrip("/"), a.input
     wanted = {"fsc": a.bins, "fsr": a.bins, "fsd": a.arms, "wps": a.anchors, "ocf": a.labels, "region-entropy": a.labels, "fsc-genes": a.genes, "region-mds": a.genes}
     made = {"extract": sinks.write_table(extract(spark, a), f"{out}/fragments", "parquet")}
     a = argparse.Namespace(**{**vars(a), "input": made["extract"][0]})
+    if a.gc_reference and not a.factors and not a.no_gc:
+        made["gc-factors"] = sinks.write_table(gc_factors(spark, a), f"{out}/fragments.factors", "parquet")
     for name, regions in {"motif": "-", **wanted}.items():
         if regions:
             a.regions = regions
-            made[name] = sinks.write_table(COMMANDS[name](spark, a), f"{out}/{name}", a.format)
+            made.update(write(COMMANDS[name](spark, a), out, name, a.format))
+    for name, regions in {"mfsd": a.variants, "uxm": a.markers}.items():
+        if regions:
+            a.regions = regions
+            made.update(write(COMMANDS[name](spark, argparse.Namespace(**{**vars(a), "input": reads})), out, name, a.format))
+    made.update(write(metadata(spark, a), out, "metadata", a.format))
+    if a.json:
+        a.input = out
+        document(spark, a).select("document").write.mode("overwrite").text(f"{out}/features.json")
+        made["document"] = [f"{out}/features.json"]
     return made
 
 
@@ -234,14 +314,17 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-o", "--output", required=True)
     p.add_argument("-r", "--regions", help="the command's region, variant or arm file")
-    for name in ("bins", "arms", "anchors", "labels", "genes", "blacklist", "reference", "factors", "targets", "pon"):
+    for name in ("bins", "arms", "anchors", "labels", "genes", "blacklist", "reference", "factors", "targets", "pon", "gc-reference", "variants", "markers", "assay"):
         p.add_argument(f"--{name}")
     p.add_argument("--format", choices=("tsv", "parquet", "both"), default="tsv")
     p.add_argument("--kind", choices=tuple(protection.KINDS), default="nuc")
     p.add_argument("--schema", default="bed3")
-    for name, default in (("mapq", 20), ("minlen", 65), ("maxlen", 1000), ("baseq", 20), ("longest", 1000), ("k", 4), ("windows", 50), ("first", 10)):
+    for name, default in (("mapq", 20), ("minlen", 65), ("maxlen", 1000), ("baseq", 20), ("longest", 1000), ("k", 4), ("windows", 50), ("first", 10), ("least-count", gc.LEAST_COUNT)):
         p.add_argument(f"--{name}", type=int, default=default)
-    p.add_argument("--keep-duplicates", action="store_true")
+    p.add_argument("--genome", default="hg19")
+    p.add_argument("--sample", default="sample")
+    for name, what in (("keep-duplicates", "count them too"), ("no-gc", "no GC weights, whatever factors there are"), ("json", "run-all: one document of all tables")):
+        p.add_argument(f"--{name}", action="store_true", help=what)
     return p
 
 
@@ -250,4 +333,4 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName(f"plasmaspark {a.command}").getOrCreate()
     if a.command == "run-all":
         return run_all(spark, a)
-    return {a.command: sinks.write_table(COMMANDS[a.command](spark, a), os.path.join(a.output, a.command), a.format)}
+    return write(COMMANDS[a.command](spark, a), a.output, a.command, a.format)

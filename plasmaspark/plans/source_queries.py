@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plasmaspark.functions import expressions as X
 from plasmaspark.operators import coverage as C
+from plasmaspark.operators import gc as G
 from plasmaspark.operators import motifs as M
 from plasmaspark.operators import reference as E
 from plasmaspark.operators.intervals import as_right, contains_point
@@ -159,6 +160,21 @@ def n10_cigar_walk(spark, d):
     return rows.select("id", E.read_offset(c, p, v).alias("at"), E.indel_after(c, p, v, "I").cast("int").alias("ins"), E.indel_after(c, p, v, "D").cast("int").alias("del"))
 
 
+_READ_AT = lambda p: f"CASE WHEN k = 1 THEN CASE WHEN {p} < 20 THEN {p} WHEN {p} < 50 THEN {p} + 2 END WHEN k = 2 THEN CASE WHEN {p} < 20 THEN {p} WHEN {p} >= 22 AND {p} < 52 THEN {p} - 2 END ELSE CASE WHEN {p} < 50 THEN {p} + 3 END END"
+
+
+@query(f"""SELECT id, CASE WHEN form = 2 THEN CASE WHEN k = 1 AND abs(19 - p) <= 5 THEN 'ALT' ELSE 'REF' END WHEN form = 3 AND k = 2 AND abs(19 - p) <= 5 THEN 'ALT' WHEN block = ref THEN 'REF' WHEN block = alt THEN 'ALT' ELSE 'NonREF' END AS class
+ FROM (SELECT *, CASE WHEN form = 0 THEN b0 WHEN form = 1 THEN b0 || b1 WHEN form = 2 THEN CASE WHEN k = 1 AND abs(19 - p) <= 5 THEN 'ACG' ELSE b0 END WHEN k = 2 AND abs(19 - p) <= 5 THEN 'A' ELSE b0 || b1 || b2 END AS block
+ FROM (SELECT *, {', '.join(f"('CGTA')[1 + ({_READ_AT(f'(p + {i})')}) % 4] AS b{i}" for i in range(3))} FROM (SELECT o_orderkey AS id, o_orderkey % 3 AS k, o_orderkey % 4 AS form, o_custkey % 60 AS p, (['A', 'AC', 'A', 'ACG'])[1 + o_orderkey % 4] AS ref, (['C', 'GT', 'ACG', 'A'])[1 + o_orderkey % 4] AS alt FROM orders))) WHERE block IS NOT NULL""")
+def n10_calls(spark, d):
+    ops = lambda s: F.array(*[F.struct(F.lit(o).alias("op"), F.lit(n).alias("len")) for o, n in s])
+    k, form = F.col("o_orderkey") % 3, (F.col("o_orderkey") % 4).cast("int")
+    cigar = F.when(k == 1, ops([("M", 20), ("I", 2), ("M", 30)])).when(k == 2, ops([("M", 20), ("D", 2), ("M", 30)])).otherwise(ops([("S", 3), ("M", 50)]))
+    allele = lambda *names: F.get(F.array(*map(F.lit, names)), form)
+    reads = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), cigar.alias("cigar"), F.lit(100).alias("pos"), F.lit("CGTA" * 14).alias("seq"), (100 + F.col("o_custkey") % 60).alias("v_pos"), allele("A", "AC", "A", "ACG").alias("ref"), allele("C", "GT", "ACG", "A").alias("alt"))
+    return E.classify_calls(reads).select("id", "class")
+
+
 # ---- shapes of sinks, ordering ----
 
 
@@ -192,9 +208,17 @@ def k8_feature_document(spark, d):
     return sinks.feature_document("sample_id", fsc=by_sample, size=size)
 
 
-@query(with_sql("fragments", body="SELECT sample_id, chrom, count(*) AS n FROM fragments GROUP BY ALL"))
+@query(with_sql("fragments", body="SELECT CAST(sample_id AS VARCHAR) AS sample_id, count(*) AS total_fragments, 'hg19' AS genome, '' AS assay, false AS panel_mode, '' AS target_regions, round(avg(length), 4) AS mean_length, 20 AS filters_mapq, 65 AS filters_min_length, 1000 AS filters_max_length, false AS gc_correction_computed FROM fragments GROUP BY sample_id"))
 def k9_sample_metadata(spark, d):
-    return frags(spark, d).groupBy("sample_id", "chrom").agg(F.count("*").alias("n"))
+    """The metadata rows but for the time at which they are made."""
+    rows = sinks.metadata(frags(spark, d).withColumn("sample_id", F.col("sample_id").cast("string")), F.col("sample_id"), genome="GRCh37")
+    return rows.withColumn("mean_length", F.round("mean_length", 4)).drop("timestamp")
+
+
+@query("SELECT CAST((p_partkey % 1000 - 60) // 5 AS INT) AS length_bin, CAST(p_size AS INT) AS gc_pct, CAST(max(p_partkey) AS BIGINT) AS n FROM part WHERE p_partkey % 1000 >= 60 GROUP BY ALL")
+def s16_gc_reference_scan(spark, d):
+    stored = table(spark, d, "part").groupBy((F.col("p_partkey") % 1000 - (F.col("p_partkey") % 1000) % 5).alias("length_bin_min"), F.col("p_size").alias("gc_percent")).agg(F.max("p_partkey").alias("expected_count"))
+    return G.reference_counts(stored)
 
 
 @query(with_sql("fragments", body=f"SELECT chrom, t AS tile, {', '.join(f"CAST(count(*) FILTER ({CHAN} = '{c}') AS INT) AS {c}" for c in C.SIX)}, CAST(count(*) AS INT) AS total FROM (SELECT *, unnest(generate_series(\"start\" // 100000, (\"end\" - 1) // 100000)) AS t FROM fragments WHERE length BETWEEN 65 AND 1000) GROUP BY ALL"))

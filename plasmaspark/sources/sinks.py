@@ -60,6 +60,17 @@ def read_baseline(spark: SparkSession, path: str, table: str) -> DataFrame:
     return found.select([c for c in found.columns if filled[c]])
 
 
+def metadata(fragments: DataFrame, sample, genome: str = "hg19", assay: str | None = None, targets: str | None = None, mapq: int = 20, shortest: int = 65, longest: int = 1000, corrected: bool = False) -> DataFrame:
+    """One row per sample: its fragments and how they were made. sample: a column."""
+    from plasmaspark.sources.assets import GENOMES
+
+    facts = {"genome": GENOMES[genome.lower()], "assay": assay or "", "panel_mode": bool(targets), "target_regions": targets or ""}
+    filters = {"filters_mapq": mapq, "filters_min_length": shortest, "filters_max_length": longest, "gc_correction_computed": corrected}
+    rows = fragments.groupBy(sample.alias("sample_id")).agg(F.count("*").alias("total_fragments"), F.avg("length").alias("mean_length"))
+    fixed = lambda d: [F.lit(v).alias(k) for k, v in d.items()]
+    return rows.select("sample_id", "total_fragments", *fixed(facts), "mean_length", *fixed(filters), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+
+
 def in_natural_order(regions: DataFrame) -> DataFrame:
     return regions.orderBy(*natural_order(F.col("chrom")), "start", "end")
 

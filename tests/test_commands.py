@@ -52,6 +52,37 @@ def test_run_all(spark, folder, tmp_path):
     assert len(read(spark, made["wps"])) == 200 and {r.gene: r.total for r in read(spark, made["fsc-genes"])} == {"G1": 2, "G2": 1}
 
 
+def test_gc_factors_metadata_and_document(spark, folder, tmp_path):
+    import json
+
+    at = lambda n: str(folder / n)
+    rows = [(i, "1", 100 + i, 100 + i + 150, 150, i % 2 == 0, "ACGTACGTAC", 30 + i % 20) for i in range(400)]
+    spark.createDataFrame(rows, "frag_id long, chrom string, start long, end long, length long, plus boolean, seq string, gc_pct int").write.parquet(str(tmp_path / "f.parquet"))
+    stored = [(150, g, 20 if g < 40 else 5) for g in range(30, 50)]
+    spark.createDataFrame(stored, "length_bin_min int, gc_percent int, expected_count long").write.parquet(str(tmp_path / "ref.parquet"))
+    frags = ["-i", str(tmp_path / "f.parquet"), "--gc-reference", str(tmp_path / "ref.parquet"), "--least-count", "4"]
+    made = main(["gc-factors", *frags, "-o", str(tmp_path)], spark)["gc-factors"]
+    found = {r.gc_pct: r for r in read(spark, made)}
+    assert len(found) == 20 and (found[30].observed, found[30].expected) == (20, 20) and found[30].factor > 1 > found[49].factor
+    entropy = lambda *more: {r.label: r["count"] for r in read(spark, main(["region-entropy", *frags, "-r", at("labels.bed"), "-o", str(tmp_path / "e"), *more], spark)["region-entropy"])}
+    computed, plain = entropy(), entropy("--no-gc")
+    assert plain["A"] == 300 and computed["A"] != plain["A"]
+    spark.createDataFrame([(150, 154, g, 1, 1, 3.0) for g in range(101)], "length_bin_min int, length_bin_max int, gc_pct int, observed long, expected long, factor double").write.parquet(str(tmp_path / "f.factors.parquet"))
+    assert entropy()["A"] == 3 * plain["A"]  # those beside the input come first
+    made = main(["motif", *frags, "--reference", at("g.fa"), "--targets", at("labels.bed"), "-o", str(tmp_path / "m")], spark)
+    assert {n for n in made if n.endswith(".ontarget")} == {"motif.ontarget", "motif.mds.ontarget", "motif.first.ontarget", "motif.breakpoint.ontarget"}
+    counts = {r.kmer: r.n for n in ("motif", "motif.ontarget") for r in read(spark, made[n]) if r.n}
+    assert sum(r.n for n in ("motif", "motif.ontarget") for r in read(spark, made[n])) == 400 and set(counts) == {"ACGT", "GTAC"}
+    cut = {r.kmer: r.n for n in ("motif.breakpoint", "motif.breakpoint.ontarget") for r in read(spark, made[n])}
+    assert len(cut) == 256 and {k for k, n in cut.items() if n} <= {a + b for a in ("AC", "CG", "GT", "TA") for b in ("AC", "GT", "CG", "TA")}
+    made = main(["run-all", "-i", at("a.bam"), "-o", str(tmp_path / "all"), "--bins", at("bins.bed"), "--labels", at("labels.bed"), "--variants", at("v.vcf"), "--markers", at("black.bed"), "--windows", "1", "--json", "--sample", "s1"], spark)
+    (row,) = read(spark, made["metadata"])
+    assert (row.sample_id, row.total_fragments, row.genome, row.panel_mode, row.gc_correction_computed) == ("s1", 3, "hg19", False, False) and row.timestamp
+    (line,) = spark.read.text(made["document"][0]).collect()
+    sections = json.loads(line.value)
+    assert {"fsc", "fsr", "ocf", "region_entropy", "mfsd", "uxm", "metadata", "motif", "motif_mds", "motif_first"} == set(sections) and sections["metadata"][0]["total_fragments"] == 3 and len(sections["fsc"]) == 2
+
+
 def test_single_commands(spark, folder, tmp_path):
     at = lambda n: str(folder / n)
     made = main(["extract", "-i", at("a.bam"), "-o", str(tmp_path), "--blacklist", at("black.bed"), "--format", "parquet"], spark)
