@@ -69,6 +69,66 @@ def reliable(points: DataFrame, baits: DataFrame, trim: int = 50) -> DataFrame:
     return points.join(flag, ["chrom", "pos"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
 
 
+def bin_mask(bins: DataFrame, baits: DataFrame, trim: int = 50) -> DataFrame:
+    """(region_idx, bin) of the bins (region_idx, bin, chrom, start, end) whose positions are all reliable; bins that no bait touches cost nothing."""
+    hits = overlap(bins, as_right(baits.select("chrom", "start", "end")).withColumn("b0", F.col("r_start")).withColumn("b1", F.col("r_end")))
+    edge = F.least(F.lit(trim), F.floor((F.col("b1") - F.col("b0")) / 4))
+    first, last = F.greatest(F.col("start"), F.col("b0") + edge), F.least(F.col("end") - 1, F.col("b1") - edge, F.col("b1") - 1)
+    inside = hits.withColumn("first", first).withColumn("last", last).where("first <= last").select("region_idx", "bin", "start", "end", F.explode(F.sequence("first", "last")).alias("at"))
+    return inside.groupBy("region_idx", "bin").agg((F.count_distinct("at") == F.max(F.col("end") - F.col("start"))).alias("all")).where("all").select("region_idx", "bin")
+
+
+def oriented(bins: DataFrame, anchors: DataFrame, n: int = 200, baits: DataFrame | None = None, width: int = 10) -> DataFrame:
+    """n bins of every anchor that has any: zeros where nothing is, turned round on minus, the score smoothed after that; reliable tells bins inside the baits (all, without)."""
+    each = anchors.join(bins.select("region_idx").distinct(), "region_idx", "left_semi").select("region_idx", "plus", "chrom", F.col("start").alias("r0"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
+    placed = each.select("region_idx", "plus", "bin", "chrom", (F.col("r0") + F.col("bin") * width).alias("start"), (F.col("r0") + (F.col("bin") + 1) * width).alias("end"))
+    filled = placed.join(bins, ["region_idx", "bin"], "left").fillna(0.0, ["cov", "span", "ends", "wps", "prot_frac"])
+    if baits is None:
+        masked = filled.withColumn("reliable", F.lit(True))
+    else:
+        masked = filled.join(bin_mask(placed, baits).withColumn("reliable", F.lit(True)), ["region_idx", "bin"], "left").fillna(False, ["reliable"])
+    turned = masked.drop("chrom", "start", "end").withColumn("bin", F.when(F.col("plus"), F.col("bin")).otherwise(n - 1 - F.col("bin")))
+    return smoothed(turned, 11, "region_idx", "bin", "wps")
+
+
+def position_table(fragments: DataFrame, anchors: DataFrame, weight: Column | None = None, baits: DataFrame | None = None) -> DataFrame:
+    """Both kinds' coverage and scores at every position of the anchors (region_idx, region_id, chrom, start, end, plus) that have fragments.
+
+    row counts an anchor's positions from 0, from its end on minus; the _norm
+    columns are per million fragments; capture_mask is 1 without baits.
+    """
+    parts = None
+    for kind, name in (("nuc", "long"), ("tf", "short")):
+        one = ranges(fragments, anchors.select("region_idx", "chrom", "start", "end", "plus"), kind, weight).withColumn("kind", F.lit(name))
+        parts = one if parts is None else parts.unionByName(one)
+    change = F.explode(F.array(F.struct(F.col("low").alias("pos"), F.col("w").alias("d")), F.struct(F.col("high").alias("pos"), (-F.col("w")).alias("d"))))
+    names = {f"{what}_{k}": (what, k) for k in ("long", "short") for what in ("cov", "span", "end")}
+    sums = [F.sum(F.when((F.col("what") == what) & (F.col("kind") == k), F.col("x.d")).otherwise(0.0)).alias(n) for n, (what, k) in names.items()]
+    steps = parts.select("region_idx", "what", "kind", change.alias("x")).groupBy("region_idx", F.col("x.pos").alias("at")).agg(*sums)
+    found = anchors.join(steps.select("region_idx").distinct(), "region_idx", "left_semi")
+    each = found.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("end") - F.col("start") - 1).cast("bigint"))).alias("at"))
+    running = Window.partitionBy("region_idx").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # an anchor's positions
+    dense = each.join(steps.withColumn("at", F.col("at").cast("bigint")), ["region_idx", "at"], "left").fillna(0.0, list(names))
+    state = dense.select("region_idx", "region_id", "chrom", "start", "end", "plus", "at", (F.col("start") + F.col("at")).alias("pos"), *[(F.round(F.sum(n).over(running), 9) + 0.0).alias(n) for n in names])
+    for k in ("long", "short"):
+        total = F.col(f"span_{k}") + F.col(f"end_{k}")
+        state = state.withColumn(f"wps_{k}", F.col(f"span_{k}") - F.col(f"end_{k}")).withColumn(f"frac_{k}", F.when(total > 1e-9, F.col(f"span_{k}") / total).otherwise(0.0))
+    ratio = F.when(F.abs("wps_short") > 1e-9, F.col("wps_long") / F.abs("wps_short")).otherwise(F.col("wps_long"))
+    if baits is not None:
+        at = reliable(state.select("chrom", "pos").distinct(), baits).select("chrom", "pos", F.col("reliable").cast("int").alias("capture_mask"))
+        state = state.join(at, ["chrom", "pos"])
+    else:
+        state = state.withColumn("capture_mask", F.lit(1))
+    million = F.broadcast(fragments.agg((F.count("*") / 1e6).alias("million")))  # one row
+    kind = F.when(F.col("region_id").startswith("TSS|"), "TSS").when(F.col("region_id").startswith("CTCF|"), "CTCF").otherwise("OTHER")
+    rows = state.withColumn("wps_ratio", ratio).join(million)
+    return rows.select(
+        "region_idx", F.when(F.col("plus"), F.col("at")).otherwise(F.col("end") - F.col("start") - 1 - F.col("at")).alias("row"),
+        "region_id", "chrom", "pos", F.when(F.col("plus"), "+").otherwise("-").alias("strand"), kind.alias("region_type"), "capture_mask", "cov_long", "cov_short", "wps_long", "wps_short", "wps_ratio",
+        *[(F.col(c) / F.col("million")).alias(f"{c}_norm") for c in ("wps_long", "wps_short", "wps_ratio")], F.col("frac_long").alias("prot_frac_nuc"), F.col("frac_short").alias("prot_frac_tf"),
+    )
+
+
 def periodicity(profile: np.ndarray, step: int = 10, band: tuple[int, int] = (140, 200)) -> dict[str, float]:
     """Repeat length and score of a profile: detrended, normalised, Hann window, strongest frequency with its period in the band."""
     n = len(profile)

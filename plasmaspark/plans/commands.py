@@ -158,14 +158,16 @@ def genes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return coverage.fsc_genes(weighted(spark, a), text.gene_regions(lines(spark, a.regions)).drop("index"), ["gene"], F.col("weight"))
 
 
-def wps(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Per anchor: 200 bins of protection and protected fraction; minus anchors run the other way; the score is smoothed after that."""
-    found = text.anchors(lines(spark, a.regions)).select(F.col("index").alias("region_idx"), "chrom", "start", "end", (F.col("strand") != "-").alias("plus"))
-    bins = protection.binned(protection.ranges(weighted(spark, a), found, a.kind, F.col("weight")))
-    every = found.select("region_idx", "plus", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(199).cast("bigint"))).alias("bin"))
-    covered = every.join(bins.select("region_idx").distinct(), "region_idx").join(bins, ["region_idx", "bin"], "left").fillna(0.0)
-    turned = covered.withColumn("bin", F.when(F.col("plus"), F.col("bin")).otherwise(199 - F.col("bin")))
-    return protection.smoothed(turned, 11, "region_idx", "bin", "wps")
+def wps(spark: SparkSession, a: argparse.Namespace) -> DataFrame | dict[str, DataFrame]:
+    """Per anchor: 200 bins of protection and protected fraction; minus anchors run the other way; the score is smoothed after that. With targets bins
+    outside them aren't reliable. --positions adds the table of both kinds at every position."""
+    found = text.anchors(lines(spark, a.regions)).select(F.col("index").alias("region_idx"), "region_id", "chrom", "start", "end", (F.col("strand") != "-").alias("plus"))
+    f = weighted(spark, a)
+    baits = text.regions(lines(spark, a.targets)) if a.targets else None
+    bins = protection.binned(protection.ranges(f, found.drop("region_id"), a.kind, F.col("weight")))
+    made = protection.oriented(bins, found, 200, baits)
+    closed = found.withColumn("end", F.col("end") + 1)
+    return {"wps": made, "wps.positions": protection.position_table(f, closed, F.col("weight"), baits)} if a.positions else made
 
 
 def ocf(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -323,7 +325,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--{name}", type=int, default=default)
     p.add_argument("--genome", default="hg19")
     p.add_argument("--sample", default="sample")
-    for name, what in (("keep-duplicates", "count them too"), ("no-gc", "no GC weights, whatever factors there are"), ("json", "run-all: one document of all tables")):
+    for name, what in (("keep-duplicates", "count them too"), ("no-gc", "no GC weights, whatever factors there are"), ("positions", "wps: a table of every position too"), ("json", "run-all: one document of all tables")):
         p.add_argument(f"--{name}", action="store_true", help=what)
     return p
 

@@ -176,8 +176,14 @@ def fn_sequence(spark, d):
 
 # ---- protection scores ----
 
-RANGES = with_sql("fragments", "regions", body="""SELECT region_idx, plus, size, w, what, greatest(0, low) AS low, least(size, high) AS high FROM (SELECT region_idx, plus, size, w, unnest([{'what': 'cov', 'low': s, 'high': e}, {'what': 'span', 'low': s + 60, 'high': e - 59}, {'what': 'end', 'low': s - 60, 'high': s + 60}, {'what': 'end', 'low': e - 59, 'high': e + 61}], recursive := true)
- FROM (SELECT r.region_idx, r.plus, r."end" - r."start" AS size, f."start" + 1 - r."start" AS s, f."end" - r."start" AS e, CASE WHEN f.length BETWEEN 160 AND 175 THEN 1.0 ELSE 0.5 END AS w FROM fragments f JOIN regions r ON f.chrom = r.chrom AND f."start" < r."end" + 60 AND f."end" > r."start" - 60 WHERE f.length BETWEEN 120 AND 180)) WHERE greatest(0, low) < least(size, high)""")
+
+
+def _ranges(p: int, weight: str, low: int, high: int) -> str:
+    return with_sql("fragments", "regions", body=f"""SELECT region_idx, plus, size, w, what, greatest(0, low) AS low, least(size, high) AS high FROM (SELECT region_idx, plus, size, w, unnest([{{'what': 'cov', 'low': s, 'high': e}}, {{'what': 'span', 'low': s + {p}, 'high': e - {p - 1}}}, {{'what': 'end', 'low': s - {p}, 'high': s + {p}}}, {{'what': 'end', 'low': e - {p - 1}, 'high': e + {p + 1}}}], recursive := true)
+ FROM (SELECT r.region_idx, r.plus, r."end" - r."start" AS size, f."start" + 1 - r."start" AS s, f."end" - r."start" AS e, {weight} AS w FROM fragments f JOIN regions r ON f.chrom = r.chrom AND f."start" < r."end" + 60 AND f."end" > r."start" - 60 WHERE f.length BETWEEN {low} AND {high})) WHERE greatest(0, low) < least(size, high)""")
+
+
+RANGES, RANGES_TF = _ranges(60, "CASE WHEN f.length BETWEEN 160 AND 175 THEN 1.0 ELSE 0.5 END", 120, 180), _ranges(8, "1.0", 35, 80)
 WPS_SQL = f"""SELECT region_idx, bin, sum(CASE WHEN what = 'cov' THEN c ELSE 0 END) AS cov, sum(CASE WHEN what = 'span' THEN c ELSE 0 END) AS span, sum(CASE WHEN what = 'end' THEN c ELSE 0 END) AS ends FROM (SELECT region_idx, what, bin, CAST(w * (least(high, (bin + 1) * 10) - greatest(low, bin * 10)) AS DOUBLE) / 10 AS c FROM (SELECT *, unnest(generate_series(low // 10, (high - 1) // 10)) AS bin FROM ({RANGES}))) GROUP BY ALL"""
 
 

@@ -11,7 +11,7 @@ from plasmaspark.operators import protection as P
 from plasmaspark.operators.intervals import as_right, overlap
 from plasmaspark.operators.regional import ocf_positions, ocf_score
 from plasmaspark.plans.coverage_queries import ARMS, HIT, TARGETS, arms, frags, genes, targets
-from plasmaspark.plans.feature_queries import EVIDENCE, EXON_SQL, MDS_SAMPLES, TILE_SAMPLES, WPS_SQL, WPS_VECTORS, _baseline_sql, evidence, exons, tile_samples, wps
+from plasmaspark.plans.feature_queries import EVIDENCE, EXON_SQL, MDS_SAMPLES, RANGES, RANGES_TF, TILE_SAMPLES, WPS_SQL, WPS_VECTORS, _baseline_sql, evidence, exons, tile_samples, wps
 from plasmaspark.operators.numbering import numbered
 from plasmaspark.plans.register import query
 from plasmaspark.sources.adapters import adapted, table, with_sql
@@ -76,6 +76,36 @@ def n5_strand_bins(spark, d):
     return bins.select("region_idx", F.when(F.col("plus"), F.col("bin")).otherwise(99 - F.col("bin")).alias("bin"), F.round("wps", 4).alias("wps"))
 
 
+_MASK = """SELECT region_idx, bin FROM (SELECT g.region_idx, g.bin, unnest(generate_series(greatest(g.s, b."start" + least(50, (b."end" - b."start") // 4)), least(g.s + 9, b."end" - least(50, (b."end" - b."start") // 4), b."end" - 1))) AS place FROM grid g JOIN genes b ON g.chrom = b.chrom AND g.s < b."end" AND g.s + 10 > b."start") GROUP BY ALL HAVING count(DISTINCT place) = 10"""
+_SMOOTH = "(" + " + ".join(f"{c} * {f'lag(wps, {5 - i}) OVER o' if i < 5 else f'lead(wps, {i - 5}) OVER o' if i > 5 else 'wps'}" for i, c in enumerate(P.SMOOTH[11][0])) + f") / {P.SMOOTH[11][1]}.0"
+
+
+@query(with_sql("regions", "genes", body=f""", bins AS ({WPS_SQL}), grid AS (SELECT region_idx, plus, chrom, bin, "start" + bin * 10 AS s FROM regions, generate_series(0, 99) g(bin) WHERE region_idx IN (SELECT region_idx FROM bins)), mask AS ({_MASK})
+ SELECT region_idx, bin, round(cov, 4) + 0.0 AS cov, round(wps, 4) + 0.0 AS wps, round(coalesce({_SMOOTH}, wps), 3) + 0.0 AS smooth, reliable FROM (SELECT g.region_idx, CASE WHEN plus THEN g.bin ELSE 99 - g.bin END AS bin, coalesce(b.cov, 0) AS cov, coalesce(b.span - b.ends, 0) AS wps, m.bin IS NOT NULL AS reliable FROM grid g LEFT JOIN bins b USING (region_idx, bin) LEFT JOIN mask m USING (region_idx, bin)) WINDOW o AS (PARTITION BY region_idx ORDER BY bin)""").replace(" , bins", ", bins"))
+def n5_oriented_bins(spark, d):
+    regions = adapted(spark, d, "regions").select("region_idx", "plus", "chrom", "start", "end")
+    out = P.oriented(P.binned(wps(spark, d)), regions, 100, genes(spark, d).select("chrom", "start", "end"))
+    shown = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    return out.select("region_idx", "bin", shown("cov", 4), shown("wps", 4), shown("smooth", 3), "reliable")
+
+
+_STATE = ", ".join(f"sum(CASE WHEN kind = '{k}' AND what = '{what}' THEN w ELSE 0e0 END) AS {what}_{k}" for k in ("long", "short") for what in ("cov", "span", "end"))
+
+
+@query(with_sql("fragments", "regions", "genes", body=f""", steps AS (SELECT region_idx, what, kind, w, unnest(generate_series(low, high - 1)) AS place FROM (SELECT region_idx, what, 'long' AS kind, CAST(w AS DOUBLE) AS w, low, high FROM ({RANGES}) UNION ALL SELECT region_idx, what, 'short', CAST(w AS DOUBLE), low, high FROM ({RANGES_TF}))),
+ s AS (SELECT region_idx, place, {_STATE} FROM steps GROUP BY ALL), grid AS (SELECT region_idx, label, chrom, "start", "end", plus, unnest(generate_series(0, "end" - "start" - 1)) AS place FROM regions WHERE region_idx IN (SELECT region_idx FROM steps)),
+ p AS (SELECT g.*, g."start" + g.place AS pos, {', '.join(f'coalesce({w}_{k}, 0) AS {w}_{k}' for k in ('long', 'short') for w in ('cov', 'span', 'end'))} FROM grid g LEFT JOIN s USING (region_idx, place)),
+ q AS (SELECT *, span_long - end_long AS wl, span_short - end_short AS ws FROM p), r AS (SELECT *, CASE WHEN abs(ws) > 1e-9 THEN wl / abs(ws) ELSE wl END AS ratio FROM q), n AS (SELECT count(*) / 1e6 AS million FROM fragments)
+ SELECT region_idx, CASE WHEN plus THEN place ELSE "end" - "start" - 1 - place END AS "row", label AS region_id, r.chrom, pos, CASE WHEN plus THEN '+' ELSE '-' END AS strand, 'OTHER' AS region_type, CAST(EXISTS (SELECT 1 FROM genes b WHERE b.chrom = r.chrom AND pos < b."end" AND pos - b."start" >= least(50, (b."end" - b."start") // 4) AND b."end" - pos >= least(50, (b."end" - b."start") // 4)) AS INT) AS capture_mask,
+ round(cov_long, 4) + 0.0 AS cov_long, round(cov_short, 4) + 0.0 AS cov_short, round(wl, 4) + 0.0 AS wps_long, round(ws, 4) + 0.0 AS wps_short, round(ratio, 4) + 0.0 AS wps_ratio, round(wl / million, 2) + 0.0 AS wps_long_norm, round(ws / million, 2) + 0.0 AS wps_short_norm, round(ratio / million, 2) + 0.0 AS wps_ratio_norm, round(CASE WHEN span_long + end_long > 1e-9 THEN span_long / (span_long + end_long) ELSE 0 END, 4) AS prot_frac_nuc, round(CASE WHEN span_short + end_short > 1e-9 THEN span_short / (span_short + end_short) ELSE 0 END, 4) AS prot_frac_tf FROM r, n""").replace(" , steps", ", steps"))
+def n6_position_table(spark, d):
+    regions = adapted(spark, d, "regions").select("region_idx", F.col("label").alias("region_id"), "plus", "chrom", "start", "end")
+    out = P.position_table(frags(spark, d), regions, baits=genes(spark, d).select("chrom", "start", "end"))
+    shown = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    fixed = ("region_idx", "row", "region_id", "chrom", "pos", "strand", "region_type", "capture_mask")
+    return out.select(*fixed, *[shown(c, 2 if c.endswith("_norm") else 4) for c in out.columns if c not in fixed])
+
+
 @query(f"SELECT region_idx, round(sum(cov) * 1e6 / (SELECT count(*) FROM lineitem), 4) AS per_million, round(sum(CASE WHEN cov > 0 THEN (span - ends) / cov ELSE 0 END), 3) AS ratio FROM ({WPS_SQL}) GROUP BY region_idx")
 def n6_per_million(spark, d):
     n = table(spark, d, "lineitem").agg(F.count("*").alias("total"))

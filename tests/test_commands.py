@@ -75,6 +75,9 @@ def test_gc_factors_metadata_and_document(spark, folder, tmp_path):
     assert sum(r.n for n in ("motif", "motif.ontarget") for r in read(spark, made[n])) == 400 and set(counts) == {"ACGT", "GTAC"}
     cut = {r.kmer: r.n for n in ("motif.breakpoint", "motif.breakpoint.ontarget") for r in read(spark, made[n])}
     assert len(cut) == 256 and {k for k, n in cut.items() if n} <= {a + b for a in ("AC", "CG", "GT", "TA") for b in ("AC", "GT", "CG", "TA")}
+    made = main(["wps", *frags, "-r", at("anchors.bed"), "--positions", "--targets", at("bins.bed"), "-o", str(tmp_path / "w")], spark)
+    bins, places = (sorted(read(spark, made[n]), key=lambda r: r.pos if "pos" in r.asDict() else r.bin) for n in ("wps", "wps.positions"))
+    assert len(bins) == 200 and {r.reliable for r in bins} == {True, False} and len(places) == 1451 and places[0].pos == 0 and places[0].row == 1450 and places[0].strand == "-"
     made = main(["run-all", "-i", at("a.bam"), "-o", str(tmp_path / "all"), "--bins", at("bins.bed"), "--labels", at("labels.bed"), "--variants", at("v.vcf"), "--markers", at("black.bed"), "--windows", "1", "--json", "--sample", "s1"], spark)
     (row,) = read(spark, made["metadata"])
     assert (row.sample_id, row.total_fragments, row.genome, row.panel_mode, row.gc_correction_computed) == ("s1", 3, "hg19", False, False) and row.timestamp
