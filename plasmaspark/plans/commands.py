@@ -130,9 +130,16 @@ def document(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return sinks.feature_document("sample", **found)
 
 
-def fsc(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Size channels of bins; against a cohort also the total relative to the bins' mean, and its log2 ratio to the cohort's."""
-    bins = coverage.fsc_bins(weighted(spark, a), text.regions(lines(spark, a.regions)), "index", F.col("weight"))
+def _split(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """The weighted fragments by the endings of what is made of them: with targets those off target have none."""
+    if not a.targets:
+        return {"": weighted(spark, a)}
+    f = targeted(spark, a)
+    return {"": f.where("NOT on_target"), ".ontarget": f.where("on_target")}
+
+
+def _fsc(spark: SparkSession, a: argparse.Namespace, f: DataFrame) -> DataFrame:
+    bins = coverage.fsc_bins(f, text.regions(lines(spark, a.regions)), "index", F.col("weight"))
     if not a.pon:
         return bins
     mean = bins.agg(F.avg(F.when(F.col("total") > 0, F.col("total"))).alias("bins_mean"))  # one row
@@ -141,11 +148,19 @@ def fsc(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return share.withColumn("log_ratio", F.log2(F.col("share") / F.col("expected") + 1e-9)).withColumn("reliability", 1 / (F.col("std") * F.col("std") + 0.01)).drop("bins_mean", "std")
 
 
-def fsr(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    bins = fsc(spark, a)
-    if a.windows > 1:
-        bins = coverage.roll_up(bins, "index", (*coverage.SIX, "total"), a.windows)
-    return coverage.size_ratios(bins)
+def fsc(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """Size channels of bins; against a cohort also the total relative to the bins' mean, and its log2 ratio to the cohort's."""
+    return {f"fsc{part}": _fsc(spark, a, f) for part, f in _split(spark, a).items()}
+
+
+def fsr(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    made = {}
+    for part, f in _split(spark, a).items():
+        bins = _fsc(spark, a, f)
+        if a.windows > 1:
+            bins = coverage.roll_up(bins, "index", (*coverage.SIX, "total"), a.windows)
+        made[f"fsr{part}"] = coverage.size_ratios(bins)
+    return made
 
 
 def fsd(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -170,9 +185,14 @@ def wps(spark: SparkSession, a: argparse.Namespace) -> DataFrame | dict[str, Dat
     return {"wps": made, "wps.positions": protection.position_table(f, closed, F.col("weight"), baits)} if a.positions else made
 
 
-def ocf(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    scores = regional.ocf_score(regional.ocf_positions(weighted(spark, a), text.labelled(lines(spark, a.regions)).drop("index"), F.col("weight")))
-    return _scored(scores, spark, a, "ocf_baseline", ["label"], "ocf")
+def ocf(spark: SparkSession, a: argparse.Namespace) -> dict[str, DataFrame]:
+    """Orientation scores of all fragments; with targets also of those on and those off target."""
+    found = text.labelled(lines(spark, a.regions)).drop("index")
+    parts = {"": weighted(spark, a)}
+    if a.targets:
+        flagged = targeted(spark, a)
+        parts.update({".ontarget": flagged.where("on_target"), ".offtarget": flagged.where("NOT on_target")})
+    return {f"ocf{part}": _scored(regional.ocf_score(regional.ocf_positions(f, found, F.col("weight"))), spark, a, "ocf_baseline", ["label"], "ocf") for part, f in parts.items()}
 
 
 def region_entropy(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -278,7 +298,7 @@ COMMANDS: dict[str, Callable[[SparkSession, argparse.Namespace], DataFrame | dic
 }
 
 #: The tables of a document.
-SECTIONS = ("fsc", "fsr", "fsd", "fsc-genes", "wps", "ocf", "region-entropy", "region-mds", "mfsd", "uxm", "fragments.factors", "metadata", *(f"motif{t}{p}" for t in ("", ".mds", ".first", ".breakpoint") for p in ("", ".ontarget")))
+SECTIONS = ("fsc", "fsc.ontarget", "fsr", "fsr.ontarget", "fsd", "fsc-genes", "wps", "ocf", "ocf.ontarget", "ocf.offtarget", "region-entropy", "region-mds", "mfsd", "uxm", "fragments.factors", "metadata", *(f"motif{t}{p}" for t in ("", ".mds", ".first", ".breakpoint") for p in ("", ".ontarget")))
 
 
 def write(made: DataFrame | dict[str, DataFrame], out: str, name: str, form: str) -> dict[str, list[str]]:

@@ -111,6 +111,10 @@ def test_single_commands(spark, folder, tmp_path):
     rows = read(spark, main(["region-entropy", "-i", frags, "-r", at("labels.bed"), "--targets", at("genes.bed"), "-o", str(tmp_path / "on")], spark)["region-entropy"])
     assert {r.part for r in rows} <= {"all", "on", "off"} and "all" in {r.part for r in rows}
     assert read(spark, main(["fsd", "-i", frags, "-r", at("arms.bed"), "--targets", at("genes.bed"), "-o", str(tmp_path / "on")], spark)["fsd"])[0].on_target
+    made = main(["fsc", "-i", frags, "-r", at("bins.bed"), "--targets", at("genes.bed"), "-o", str(tmp_path / "on")], spark)
+    assert {n: sum(r.total for r in read(spark, p)) for n, p in made.items()} == {"fsc": 0, "fsc.ontarget": 2}
+    parts = {n: read(spark, p) for n, p in main(["ocf", "-i", frags, "-r", at("labels.bed"), "--targets", at("genes.bed"), "-o", str(tmp_path / "on")], spark).items()}
+    assert set(parts) == {"ocf", "ocf.ontarget", "ocf.offtarget"} and [r.ocf for r in parts["ocf"]] == [r.ocf for r in parts["ocf.ontarget"]]
     assert main(["build-gc-reference", "-i", at("g.fa"), "-o", str(tmp_path)], spark)
 
 
