@@ -32,8 +32,9 @@ def ranges(fragments: DataFrame, anchors: DataFrame, kind: str = "nuc", weight:
 def binned(parts: DataFrame, width: int = 10) -> DataFrame:
     """(region_idx, bin, cov, span, ends, wps): means per bin of width positions, from the overlap of each range with each bin."""
     each = parts.withColumn("bin", F.explode(F.expr(f"sequence(low div {width}, (high - 1) div {width})")))
-    covered = F.col("w") * (F.least("high", (F.col("bin") + 1) * width) - F.greatest("low", F.col("bin") * width)) / width
-    sums = each.groupBy("region_idx", "bin").agg(*[F.sum(F.when(F.col("what") == w, covered).otherwise(0.0)).alias(n) for w, n in (("cov", "cov"), ("span", "span"), ("end", "ends"))])
+    # divided after the sum: with weights of halves the sums are exact in any order
+    covered = F.col("w") * (F.least("high", (F.col("bin") + 1) * width) - F.greatest("low", F.col("bin") * width))
+    sums = each.groupBy("region_idx", "bin").agg(*[(F.sum(F.when(F.col("what") == w, covered).otherwise(0.0)) / width).alias(n) for w, n in (("cov", "cov"), ("span", "span"), ("end", "ends"))])
     return sums.withColumn("wps", F.col("span") - F.col("ends")).withColumn("prot_frac", F.when(F.col("span") + F.col("ends") > 0, F.col("span") / (F.col("span") + F.col("ends"))).otherwise(0.0))
 
 

@@ -184,5 +184,5 @@ def a16_exact_diversity(spark, d):
 @query(f"SELECT region_idx, {', '.join(f'array_to_string(list(CAST(CAST(round({e}, 1) * 10 AS BIGINT) AS VARCHAR) ORDER BY bin), chr(44)) AS {n}' for n, e in (('wps', 'span - ends'), ('cov', 'cov'), ('prot_frac', 'CASE WHEN span + ends > 0 THEN span / (span + ends) ELSE 0 END')))}, CAST(count(*) AS BIGINT) AS bins FROM ({WPS_SQL}) GROUP BY region_idx")
 def k6_vectors(spark, d):
     vectors = P.binned(wps(spark, d)).groupBy("region_idx").agg(F.sort_array(F.collect_list(F.struct("bin", "wps", "cov", "prot_frac"))).alias("v"))  # 200 bins at most
-    tenths = lambda c: F.concat_ws(",", F.transform("v", lambda x: (F.round(x[c], 1) * 10).cast("decimal(18,0)").cast("string"))).alias(c)
+    tenths = lambda c: F.concat_ws(",", F.transform("v", lambda x: F.round(x[c] * 10).cast("bigint").cast("string"))).alias(c)
     return vectors.select("region_idx", tenths("wps"), tenths("cov"), tenths("prot_frac"), F.size("v").cast("bigint").alias("bins"))

@@ -127,6 +127,16 @@ def test_too_long_left_rows_fail(spark):
         overlap(fragments(spark, [(0, 5000)]), as_right(frame(spark, [("1", 0, 10)], "chrom string, start long, end long"))).collect()
 
 
+def test_bin_sums_are_exact_in_any_order(spark):
+    rng = random.Random(3)
+    rows = [(1, 1000, low, low + rng.randrange(1, 8), rng.choice([0.5, 1.0]), rng.choice(["cov", "span", "end"])) for low in (rng.randrange(0, 90) for _ in range(2000))]
+    for order in (rows, rows[::-1]):
+        parts = frame(spark, order, "region_idx long, size long, low long, high long, w double, what string")
+        for r in protection.binned(parts).collect():
+            twice = {what: sum(int(2 * w) * max(0, min(b, 10 * r.bin + 10) - max(a, 10 * r.bin)) for _, _, a, b, w, k in rows if k == what) for what in ("cov", "span", "end")}
+            assert (r["cov"], r.span, r.ends) == tuple(twice[k] / 2 / 10 for k in ("cov", "span", "end"))
+
+
 def test_protection_scores_match_difference_arrays(spark):
     rng = random.Random(7)
     rows = [(s, s + rng.randrange(120, 181)) for s in (rng.randrange(0, 2400) for _ in range(80))]
