@@ -21,7 +21,7 @@ def ranges(fragments: DataFrame, anchors: DataFrame, kind: str = "nuc", weight:
     """(keep, region_idx, plus, size, low, high, w, what): signed ranges in each anchor's own positions (0 is its start). what: cov, span, end."""
     p = KINDS[kind][0]
     weighted = fragments.withColumn("w", length_weight(F.col("length"), kind) * (weight if weight is not None else F.lit(1.0))).where("w > 0").drop("plus")
-    hits = overlap(weighted, as_right(anchors).withColumn("r0", F.col("r_start")).withColumn("size", F.col("r_end") - F.col("r_start")), slack=60)
+    hits = overlap(weighted, as_right(anchors).withColumn("r0", F.col("r_start")).withColumn("size", F.col("r_end") - F.col("r_start")).hint("merge"), slack=60)  # anchors may be many: a broadcast goes by the size of their files
     s, e = F.col("start") + 1 - F.col("r0"), F.col("end") - F.col("r0")
     part = lambda what, low, high: F.struct(F.lit(what).alias("what"), low.alias("low"), high.alias("high"))
     each = F.explode(F.array(part("cov", s, e), part("span", s + p, e - p + 1), part("end", s - p, s + p), part("end", e - p + 1, e + p + 1)))
@@ -70,25 +70,56 @@ def reliable(points: DataFrame, baits: DataFrame, trim: int = 50) -> DataFrame:
     return points.join(flag, ["chrom", "pos"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
 
 
-def bin_mask(bins: DataFrame, baits: DataFrame, trim: int = 50) -> DataFrame:
-    """(region_idx, bin) of the bins (region_idx, bin, chrom, start, end) whose positions are all reliable; bins that no bait touches cost nothing."""
-    hits = overlap(bins, as_right(baits.select("chrom", "start", "end")).withColumn("b0", F.col("r_start")).withColumn("b1", F.col("r_end")))
-    edge = F.least(F.lit(trim), F.floor((F.col("b1") - F.col("b0")) / 4))
-    first, last = F.greatest(F.col("start"), F.col("b0") + edge), F.least(F.col("end") - 1, F.col("b1") - edge, F.col("b1") - 1)
-    inside = hits.withColumn("first", first).withColumn("last", last).where("first <= last").select("region_idx", "bin", "start", "end", F.explode(F.sequence("first", "last")).alias("at"))
-    return inside.groupBy("region_idx", "bin").agg((F.count_distinct("at") == F.max(F.col("end") - F.col("start"))).alias("all")).where("all").select("region_idx", "bin")
+#: Positions of a tile; intervals are cut at its borders, so that what lies in one is found in one.
+TILE = 1024
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """rows (chrom, low, high) cut at the borders of tiles, with tile."""
+    each = rows.withColumn("tile", F.explode(F.expr(f"sequence(cast(floor(low / {TILE}) as bigint), cast(floor((high - 1) / {TILE}) as bigint))")))
+    return each.withColumn("low", F.greatest("low", F.col("tile") * TILE)).withColumn("high", F.least("high", (F.col("tile") + 1) * TILE))
+
+
+def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with run: the number, within keys, of the stretch of touching intervals [low, high) that a row belongs to."""
+    at = Window.partitionBy(*keys).orderBy("low")
+    begun = F.coalesce(F.col("low") > F.max("high").over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    return rows.withColumn("begun", begun.cast("int")).withColumn("run", F.sum("begun").over(at.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
+def reliable_spans(baits: DataFrame, trim: int = 50) -> DataFrame:
+    """(chrom, tile, low, high): the reliable positions (see reliable) as intervals that don't touch within a tile, however many baits overlap."""
+    edge = F.least(F.lit(trim), F.floor((F.col("r_end") - F.col("r_start")) / 4))
+    inside = as_right(baits.select("chrom", "start", "end")).select(F.col("r_chrom").alias("chrom"), (F.col("r_start") + edge).cast("bigint").alias("low"), F.least(F.col("r_end") - edge + 1, "r_end").cast("bigint").alias("high"))
+    return _joined(_tiled(inside.where("low < high")).groupBy("chrom", "tile", "low").agg(F.max("high").alias("high")), ["chrom", "tile"])
+
+
+def bin_masks(anchors: DataFrame, n: int, baits: DataFrame, width: int = 10, trim: int = 50) -> DataFrame:
+    """(region_idx, masks): ranges (first, last) of those of each anchor's n bins whose positions are all reliable; anchors without any are absent."""
+    seen = _tiled(anchors.select("region_idx", "chrom", F.col("start").cast("bigint").alias("r0"), F.col("start").cast("bigint").alias("low"), (F.col("start") + n * width).cast("bigint").alias("high")))
+    spans = reliable_spans(baits, trim).withColumnsRenamed({"low": "b0", "high": "b1"})
+    hits = seen.join(spans.hint("merge"), ["chrom", "tile"]).where("b0 < high AND b1 > low").select("region_idx", (F.greatest("low", "b0") - F.col("r0")).alias("low"), (F.least("high", "b1") - F.col("r0")).alias("high"))
+    # by region first: what follows needs no other shuffle
+    whole = _joined(hits.repartition("region_idx"), ["region_idx"]).select("region_idx", F.expr(f"(low + {width - 1}) div {width}").alias("first"), F.expr(f"high div {width} - 1").alias("last")).where("first <= last")
+    return whole.groupBy("region_idx").agg(F.collect_list(F.struct("first", "last")).alias("masks"))  # n / 2 at most
 
 
 def oriented(bins: DataFrame, anchors: DataFrame, n: int = 200, baits: DataFrame | None = None, width: int = 10) -> DataFrame:
-    """n bins of every anchor that has any: zeros where nothing is, turned round on minus, the score smoothed after that; reliable tells bins inside the baits (all, without)."""
-    each = anchors.join(bins.select("region_idx").distinct(), "region_idx", "left_semi").select("region_idx", "plus", "chrom", F.col("start").alias("r0"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("bin"))
-    placed = each.select("region_idx", "plus", "bin", "chrom", (F.col("r0") + F.col("bin") * width).alias("start"), (F.col("r0") + (F.col("bin") + 1) * width).alias("end"))
-    filled = placed.join(bins, ["region_idx", "bin"], "left").fillna(0.0, ["cov", "span", "ends", "wps", "prot_frac"])
-    if baits is None:
-        masked = filled.withColumn("reliable", F.lit(True))
-    else:
-        masked = filled.join(bin_mask(placed, baits).withColumn("reliable", F.lit(True)), ["region_idx", "bin"], "left").fillna(False, ["reliable"])
-    turned = masked.drop("chrom", "start", "end").withColumn("bin", F.when(F.col("plus"), F.col("bin")).otherwise(n - 1 - F.col("bin")))
+    """n bins of every anchor that has any: zeros where nothing is, turned round on minus, the score smoothed after that; reliable tells bins inside the baits (all, without).
+
+    Bins are dealt by anchor once; each fills the gap before it, the last the rest too, and reliable bins come as ranges per anchor. Nothing is broadcast.
+    """
+    values = ("cov", "span", "ends", "wps", "prot_frac")
+    mine = Window.partitionBy("region_idx").orderBy("bin")
+    dealt = bins.select("region_idx", F.col("bin").cast("bigint").alias("bin"), *values).repartition("region_idx")
+    gaps = dealt.withColumn("first", F.coalesce(F.lag("bin").over(mine) + 1, F.lit(0).cast("bigint"))).withColumn("last", F.when(F.lead("bin").over(mine).isNull(), F.greatest("bin", F.lit(n - 1).cast("bigint"))).otherwise(F.col("bin")))
+    placed = gaps.join(anchors.select("region_idx", "plus").hint("merge"), "region_idx")
+    if baits is not None:
+        placed = placed.join(bin_masks(anchors, n, baits, width).hint("merge"), "region_idx", "left")
+    filled = placed.withColumn("at", F.explode(F.sequence("first", "last"))).where(F.col("at") < n)
+    reliable = F.lit(True) if baits is None else F.coalesce(F.exists("masks", lambda m: F.col("at").between(m["first"], m["last"])), F.lit(False))
+    bin = F.when(F.col("plus"), F.col("at")).otherwise(n - 1 - F.col("at")).alias("bin")
+    turned = filled.select("region_idx", bin, "plus", *[F.when(F.col("at") == F.col("bin"), F.col(v)).otherwise(0.0).alias(v) for v in values], reliable.alias("reliable"))
     return smoothed(turned, 11, "region_idx", "bin", "wps")
 
 

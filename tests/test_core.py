@@ -137,6 +137,23 @@ def test_bin_sums_are_exact_in_any_order(spark):
             assert (r["cov"], r.span, r.ends) == tuple(twice[k] / 2 / 10 for k in ("cov", "span", "end"))
 
 
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_oriented_bins_broadcast_nothing_and_match_masks_of_crowded_baits(spark):
+    assert broadcasts(__spark_entry__.queries()["n5_oriented_bins"](spark, SF)) == 0
+    rng = random.Random(5)
+    baits = [("1", s, s + rng.randrange(1, 600)) for s in (rng.randrange(0, 6000) for _ in range(12))] * 20  # over tiles' borders, many times each
+    anchors = [(i, "1", s, s + 400, i % 2 == 0) for i, s in enumerate((0, 7, 900, 1015, 2000, 3333, 5400))]
+    seen = {(0, 3), (1, 0), (2, 40), (3, 39), (4, 20), (5, 55), (6, 70)}  # the last two beyond the n bins: zeros alone
+    bins = frame(spark, [(i, b, 1.0, 2.0, 1.0, 1.0, 0.5) for i, b in seen], "region_idx long, bin long, cov double, span double, ends double, wps double, prot_frac double")
+    got = protection.oriented(bins, frame(spark, anchors, "region_idx long, chrom string, start long, end long, plus boolean"), 50, frame(spark, baits, "chrom string, start long, end long")).collect()
+    inside = {p for _, a, b in baits for p in range(a + min(50, (b - a) // 4), min(b - min(50, (b - a) // 4) + 1, b))}
+    want = {(i, b if plus else 49 - b): (float((i, b) in seen), all(s + 10 * b + k in inside for k in range(10))) for i, _, s, _, plus in anchors for b in range(50)}
+    assert {(r.region_idx, r.bin): (r["cov"], r.reliable) for r in got} == want and len(got) == len(want) and {v[1] for v in want.values()} == {True, False}
+
+
 def test_protection_scores_match_difference_arrays(spark):
     rng = random.Random(7)
     rows = [(s, s + rng.randrange(120, 181)) for s in (rng.randrange(0, 2400) for _ in range(80))]
