@@ -123,41 +123,82 @@ def oriented(bins: DataFrame, anchors: DataFrame, n: int = 200, baits: DataFrame
     return smoothed(turned, 11, "region_idx", "bin", "wps")
 
 
-def position_table(fragments: DataFrame, anchors: DataFrame, weight: Column | None = None, baits: DataFrame | None = None) -> DataFrame:
+#: Columns of a position's sums: what and kind.
+SUMS = {f"{what}_{name}": (what, kind) for name, kind in (("long", "nuc"), ("short", "tf")) for what in ("cov", "span", "end")}
+
+
+def _runs(fragments: DataFrame, pieces: DataFrame, weight: Column | None, baits: DataFrame | None) -> DataFrame:
+    """(chrom, tile, low, high, first, touched, mask, SUMS): runs of positions with the same sums, which cover every tile of pieces (chrom, tile).
+
+    Sums hang on the anchor in one thing: a fragment that ends half a window before an anchor isn't joined to it, though its end reaches
+    the anchor's first position. Such a position has two runs, and first tells which is for anchors that start there; it is null
+    elsewhere. touched counts the ranges that lie there.
+    """
+    far = KINDS["nuc"][0]
+    weights = [F.greatest(F.lit(0.0), length_weight(F.col("length"), k) * (weight if weight is not None else F.lit(1.0))).alias(k) for k in KINDS]
+    # equal fragments together, so that a tile holds a bounded number of them at any depth
+    same = fragments.select("chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), *weights).where("nuc > 0 OR tf > 0").groupBy("chrom", "start", "end").agg(F.sum("nuc").alias("nuc"), F.sum("tf").alias("tf"))
+    tiles = pieces.select("chrom", "tile").distinct()
+    row = lambda what, start, end, nuc=F.lit(0.0), tf=F.lit(0.0): ("chrom", "tile", F.lit(what).alias("is"), start.alias("start"), end.alias("end"), nuc.alias("nuc"), tf.alias("tf"))
+    rows = _tiled(same.withColumn("low", F.col("start") + 1 - far).withColumn("high", F.col("end") + 1 + far)).select(*row("fragment", F.col("start"), F.col("end"), F.col("nuc"), F.col("tf")))
+    rows = rows.unionAll(tiles.select(*row("tile", F.col("tile") * TILE, (F.col("tile") + 1) * TILE)))
+    if baits is not None:
+        rows = rows.unionAll(reliable_spans(baits).select(*row("bait", F.col("low"), F.col("high"))))
+    # by tile while narrow; the sums then need no other shuffle
+    dealt = rows.repartition("chrom", "tile").join(tiles.hint("merge"), ["chrom", "tile"], "left_semi")
+    s, e = F.col("start") + 1, F.col("end")
+    part = lambda what, low, high, w: F.struct(F.lit(what).alias("what"), low.alias("low"), high.alias("high"), w.alias("w"))
+    ranges = [part("bait", F.col("start"), e, F.when(F.col("is") == "bait", 1.0)), part("tile", F.col("start"), e, F.when(F.col("is") == "tile", 0.0))]
+    for name, kind in (("long", "nuc"), ("short", "tf")):
+        p, w = KINDS[kind][0], F.when((F.col("is") == "fragment") & (F.col(kind) > 0), F.col(kind))
+        ranges += [part(f"cov_{name}", s, e, w), part(f"span_{name}", s + p, e - p + 1, w), part(f"end_{name}", s - p, s + p, w), part(f"end_{name}", e - p + 1, e + p + 1, w)]
+        ranges += [part("late", e + p, e + p + 1, w)] if p == far else []
+    begin, end = F.col("tile") * TILE, (F.col("tile") + 1) * TILE
+    cut = dealt.select("chrom", "tile", F.explode(F.array(*ranges)).alias("x")).where("x.w IS NOT NULL").select("chrom", "tile", "x.what", F.greatest("x.low", begin).alias("low"), F.least("x.high", end).alias("high"), "x.w").where("low < high")
+    change = lambda at, sign: F.struct(F.col(at).alias("at"), (F.col("w") * sign).alias("d"), F.lit(sign).alias("n"))
+    changes = cut.select("chrom", "tile", "what", F.explode(F.array(change("low", 1), change("high", -1))).alias("x")).where(F.col("x.at") < end)
+    what = F.col("what")
+    sums = [F.sum(F.when(what == n, F.col("x.d")).otherwise(0.0)).alias(n) for n in (*SUMS, "late", "bait")]
+    counts = [F.sum(F.when(what.isin(*SUMS), F.col("x.n")).otherwise(0)).alias("touched"), F.sum(F.when(what == "late", F.col("x.n")).otherwise(0)).alias("lates")]
+    steps = changes.groupBy("chrom", "tile", F.col("x.at").alias("low")).agg(*sums, *counts)
+    by = Window.partitionBy("chrom", "tile").orderBy("low")
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
+    state = steps.select("chrom", "tile", "low", F.coalesce(F.lead("low").over(by), end).alias("high"), *[F.sum(n).over(so_far).alias(n) for n in (*SUMS, "late", "bait", "touched", "lates")])
+    one = lambda first, late, lates: F.struct(first.cast("boolean").alias("first"), (F.col("end_long") - late).alias("end_long"), (F.col("touched") - lates).alias("touched"))
+    whole, without = (lambda first: one(F.lit(first), F.lit(0.0), F.lit(0))), one(F.lit(True), F.col("late"), F.col("lates"))
+    each = state.withColumn("x", F.explode(F.when(F.col("lates") > 0, F.array(whole(False), without)).otherwise(F.array(whole(None)))))
+    return each.select("chrom", "tile", "low", "high", "x.first", "x.touched", (F.col("bait") > 0.5).cast("int").alias("mask"), *[(F.round(F.col("x.end_long") if n == "end_long" else F.col(n), 9) + 0.0).alias(n) for n in SUMS])
+
+
+def position_table(fragments: DataFrame, anchors: DataFrame, weight: Column | None = None, baits: DataFrame | None = None, shown=lambda name, value: value) -> DataFrame:
     """Both kinds' coverage and scores at every position of the anchors (region_idx, region_id, chrom, start, end, plus) that have fragments.
 
     row counts an anchor's positions from 0, from its end on minus; the _norm
-    columns are per million fragments; capture_mask is 1 without baits.
+    columns are per million fragments; capture_mask is 1 without baits; shown
+    (name, value) gives a score's form. Scores are made once for each run of
+    positions that have the same, however many anchors lie there; anchors are
+    joined to runs by tile, and their rows aren't shuffled.
     """
-    parts = None
-    for kind, name in (("nuc", "long"), ("tf", "short")):
-        one = ranges(fragments, anchors.select("region_idx", "chrom", "start", "end", "plus"), kind, weight).withColumn("kind", F.lit(name))
-        parts = one if parts is None else parts.unionByName(one)
-    change = F.explode(F.array(F.struct(F.col("low").alias("pos"), F.col("w").alias("d")), F.struct(F.col("high").alias("pos"), (-F.col("w")).alias("d"))))
-    names = {f"{what}_{k}": (what, k) for k in ("long", "short") for what in ("cov", "span", "end")}
-    sums = [F.sum(F.when((F.col("what") == what) & (F.col("kind") == k), F.col("x.d")).otherwise(0.0)).alias(n) for n, (what, k) in names.items()]
-    steps = parts.select("region_idx", "what", "kind", change.alias("x")).groupBy("region_idx", F.col("x.pos").alias("at")).agg(*sums)
-    found = anchors.join(steps.select("region_idx").distinct(), "region_idx", "left_semi")
-    each = found.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("end") - F.col("start") - 1).cast("bigint"))).alias("at"))
-    running = Window.partitionBy("region_idx").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # an anchor's positions
-    dense = each.join(steps.withColumn("at", F.col("at").cast("bigint")), ["region_idx", "at"], "left").fillna(0.0, list(names))
-    state = dense.select("region_idx", "region_id", "chrom", "start", "end", "plus", "at", (F.col("start") + F.col("at")).alias("pos"), *[(F.round(F.sum(n).over(running), 9) + 0.0).alias(n) for n in names])
+    at = as_right(anchors.select("region_idx", "region_id", "plus", "chrom", "start", "end")).withColumnRenamed("r_chrom", "chrom").withColumns({c: F.col(c).cast("bigint") for c in ("r_start", "r_end")})
+    pieces = _tiled(at.withColumn("low", F.col("r_start")).withColumn("high", F.col("r_end"))).withColumnsRenamed({"low": "p0", "high": "p1"})
+    runs = _runs(fragments, pieces, weight, baits)
+    runs = runs.withColumnsRenamed({"chrom": "b_chrom", "tile": "b_tile"})
+    c = F.col
+    meet = (c("chrom") == c("b_chrom")) & (c("tile") == c("b_tile")) & (c("low") < c("p1")) & (c("high") > c("p0")) & (c("first").isNull() | (c("first") == (c("r_start") == c("low"))))
+    found = pieces.join(runs.where("touched > 0").hint("merge"), meet, "left_semi").select("region_idx").distinct()
+    million = F.broadcast(fragments.agg((F.count("*") / 1e6).alias("million")))  # one row
     for k in ("long", "short"):
         total = F.col(f"span_{k}") + F.col(f"end_{k}")
-        state = state.withColumn(f"wps_{k}", F.col(f"span_{k}") - F.col(f"end_{k}")).withColumn(f"frac_{k}", F.when(total > 1e-9, F.col(f"span_{k}") / total).otherwise(0.0))
+        runs = runs.withColumn(f"wps_{k}", F.col(f"span_{k}") - F.col(f"end_{k}")).withColumn(f"frac_{k}", F.when(total > 1e-9, F.col(f"span_{k}") / total).otherwise(0.0))
     ratio = F.when(F.abs("wps_short") > 1e-9, F.col("wps_long") / F.abs("wps_short")).otherwise(F.col("wps_long"))
-    if baits is not None:
-        at = reliable(state.select("chrom", "pos").distinct(), baits).select("chrom", "pos", F.col("reliable").cast("int").alias("capture_mask"))
-        state = state.join(at, ["chrom", "pos"])
-    else:
-        state = state.withColumn("capture_mask", F.lit(1))
-    million = F.broadcast(fragments.agg((F.count("*") / 1e6).alias("million")))  # one row
+    scores = {c: F.col(c) for c in ("cov_long", "cov_short", "wps_long", "wps_short", "wps_ratio")} | {f"{c}_norm": F.col(c) / F.col("million") for c in ("wps_long", "wps_short", "wps_ratio")} | {"prot_frac_nuc": F.col("frac_long"), "prot_frac_tf": F.col("frac_short")}
+    scored = runs.withColumn("wps_ratio", ratio).join(million).select("b_chrom", "b_tile", "low", "high", "first", (F.col("mask") if baits is not None else F.lit(1)).alias("capture_mask"), *[shown(n, c).alias(n) for n, c in scores.items()])
+    kept = pieces.join(found.hint("merge"), "region_idx", "left_semi")
+    rows = kept.join(scored.hint("merge"), meet).withColumn("pos", F.explode(F.sequence(F.greatest("low", "p0"), F.least("high", "p1") - 1)))
     kind = F.when(F.col("region_id").startswith("TSS|"), "TSS").when(F.col("region_id").startswith("CTCF|"), "CTCF").otherwise("OTHER")
-    rows = state.withColumn("wps_ratio", ratio).join(million)
     return rows.select(
-        "region_idx", F.when(F.col("plus"), F.col("at")).otherwise(F.col("end") - F.col("start") - 1 - F.col("at")).alias("row"),
-        "region_id", "chrom", "pos", F.when(F.col("plus"), "+").otherwise("-").alias("strand"), kind.alias("region_type"), "capture_mask", "cov_long", "cov_short", "wps_long", "wps_short", "wps_ratio",
-        *[(F.col(c) / F.col("million")).alias(f"{c}_norm") for c in ("wps_long", "wps_short", "wps_ratio")], F.col("frac_long").alias("prot_frac_nuc"), F.col("frac_short").alias("prot_frac_tf"),
+        "region_idx", F.when(F.col("plus"), F.col("pos") - F.col("r_start")).otherwise(F.col("r_end") - 1 - F.col("pos")).alias("row"),
+        "region_id", "chrom", "pos", F.when(F.col("plus"), "+").otherwise("-").alias("strand"), kind.alias("region_type"), "capture_mask", *scores,
     )
 
 

@@ -100,10 +100,8 @@ _STATE = ", ".join(f"sum(CASE WHEN kind = '{k}' AND what = '{what}' THEN w ELSE
  round(cov_long, 4) + 0.0 AS cov_long, round(cov_short, 4) + 0.0 AS cov_short, round(wl, 4) + 0.0 AS wps_long, round(ws, 4) + 0.0 AS wps_short, round(ratio, 4) + 0.0 AS wps_ratio, round(wl / million, 2) + 0.0 AS wps_long_norm, round(ws / million, 2) + 0.0 AS wps_short_norm, round(ratio / million, 2) + 0.0 AS wps_ratio_norm, round(CASE WHEN span_long + end_long > 1e-9 THEN span_long / (span_long + end_long) ELSE 0 END, 4) AS prot_frac_nuc, round(CASE WHEN span_short + end_short > 1e-9 THEN span_short / (span_short + end_short) ELSE 0 END, 4) AS prot_frac_tf FROM r, n""").replace(" , steps", ", steps"))
 def n6_position_table(spark, d):
     regions = adapted(spark, d, "regions").select("region_idx", F.col("label").alias("region_id"), "plus", "chrom", "start", "end")
-    out = P.position_table(frags(spark, d), regions, baits=genes(spark, d).select("chrom", "start", "end"))
-    shown = lambda c, n: (F.round(c, n) + 0.0).alias(c)
-    fixed = ("region_idx", "row", "region_id", "chrom", "pos", "strand", "region_type", "capture_mask")
-    return out.select(*fixed, *[shown(c, 2 if c.endswith("_norm") else 4) for c in out.columns if c not in fixed])
+    shown = lambda n, c: F.round(c, 2 if n.endswith("_norm") else 4) + 0.0
+    return P.position_table(frags(spark, d), regions, baits=genes(spark, d).select("chrom", "start", "end"), shown=shown)
 
 
 @query(f"SELECT region_idx, round(sum(cov) * 1e6 / (SELECT count(*) FROM lineitem), 4) AS per_million, round(sum(CASE WHEN cov > 0 THEN (span - ends) / cov ELSE 0 END), 3) AS ratio FROM ({WPS_SQL}) GROUP BY region_idx")

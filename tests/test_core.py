@@ -154,6 +154,33 @@ def test_oriented_bins_broadcast_nothing_and_match_masks_of_crowded_baits(spark)
     assert {(r.region_idx, r.bin): (r["cov"], r.reliable) for r in got} == want and len(got) == len(want) and {v[1] for v in want.values()} == {True, False}
 
 
+def test_position_table_shuffles_no_positions_and_matches_brute_force(spark):
+    plan = __spark_entry__.queries()["n6_position_table"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.find("Generate explode(sequence(") < plan.find("Exchange")
+    rng = random.Random(11)
+    anchors = [(i, f"r{i}", "1", s, s + n, i % 2 == 0) for i, (s, n) in enumerate([(1000, 60), (1020, 4), (1024, 1100), (2000, 300), (2100, 200), (5000, 50), (9000, 40)])]
+    rows = [(s, s + rng.choice([50, 80, 120, 160, 170, 180, 300])) for s in (rng.randrange(500, 2600) for _ in range(150))]
+    rows += [(4940 - 160, 4940), (1000 - 220, 940), (1024 - 180, 964), (2000 - 130, 1940)]  # end half a window before an anchor: not joined to it
+    baits = [("1", 990, 1400), ("1", 1300, 2300)]
+    got = protection.position_table(fragments(spark, rows), frame(spark, anchors, "region_idx long, region_id string, chrom string, start long, end long, plus boolean"), baits=frame(spark, baits, "chrom string, start long, end long")).collect()
+    want = {}
+    for i, _, _, r0, r1, plus in anchors:
+        sums, touched = {(k, w): np.zeros(r1 - r0) for k in ("long", "short") for w in ("cov", "span", "end")}, 0
+        for a, b in rows:
+            for k, p, w in (("long", 60, 1.0 if 160 <= b - a <= 175 else 0.5 if 120 <= b - a <= 180 else 0), ("short", 8, float(35 <= b - a <= 80))):
+                if w and a < r1 + 60 and b > r0 - 60:
+                    for what, low, high in (("cov", a + 1, b), ("span", a + 1 + p, b - p + 1), ("end", a + 1 - p, a + 1 + p), ("end", b - p + 1, b + p + 1)):
+                        low, high = max(low, r0), min(high, r1)
+                        if low < high:
+                            touched += 1
+                            sums[k, what][low - r0 : high - r0] += w
+        for x in range(r1 - r0) if touched else ():
+            mask = int(any(b0 + 50 <= r0 + x <= b1 - 50 for _, b0, b1 in baits))
+            want[i, x if plus else r1 - r0 - 1 - x] = (r0 + x, mask, *[sums[k, "cov"][x] for k in ("long", "short")], *[sums[k, "span"][x] - sums[k, "end"][x] for k in ("long", "short")])
+    assert {(r.region_idx, r.row): (r.pos, r.capture_mask, r.cov_long, r.cov_short, r.wps_long, r.wps_short) for r in got} == want and len(got) == len(want)
+    assert {i for i, _ in want} == set(range(5))
+
+
 def test_protection_scores_match_difference_arrays(spark):
     rng = random.Random(7)
     rows = [(s, s + rng.randrange(120, 181)) for s in (rng.randrange(0, 2400) for _ in range(80))]
