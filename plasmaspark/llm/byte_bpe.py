@@ -66,6 +66,22 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@functools.lru_cache(2)
+def _table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths by id, and all tokens' bytes."""
+    ranks = _ranks(path)
+    table = [b""] * (1 + max(ranks.values()))
+    for token, rank in ranks.items():
+        table[rank] = token
+    sizes = np.array([len(t) for t in table], np.int64)
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(table), np.uint8)
+
+
+def _decoded(path: str, ids: np.ndarray) -> bytes:
+    starts, sizes, flat = _table(path)
+    return _gather(starts[ids], sizes[ids], flat).tobytes()
+
+
 @functools.lru_cache(2)
 def _encoder(path: str):
     import public_tokenizers
@@ -168,7 +184,7 @@ def _encode_words(path: str):
     return run
 
 
-def _reassemble(ident: str):
+def _reassemble(ident: str, path: str, into: str | None):
     def finish(head: dict, words: list[bytes]) -> Iterator[pa.RecordBatch]:
         codes, rank = _unpack(head["packed"])
         sizes = flat = np.zeros(0, np.int64)
@@ -192,7 +208,8 @@ def _reassemble(ident: str):
 
     def build(idents: list, ends: list, out: list) -> pa.RecordBatch:
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), ids], [ident, "ids"])
+        texts = [pa.array([_decoded(path, one) for one in out], pa.binary())] if into else []
+        return pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), ids, *texts], [ident, "ids", *([into] if into else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, words = None, []
@@ -212,14 +229,15 @@ def _reassemble(ident: str):
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ident: str = "doc_id", buckets: int | None = None, block_size: int = BLOCK) -> DataFrame:
-    """(ident, ids): the BPE ids of each whole text under the ranks in path.
+def encode(docs: DataFrame, path: str, text: str = "text", ident: str = "doc_id", buckets: int | None = None, block_size: int = BLOCK, into: str | None = None) -> DataFrame:
+    """(ident, ids): the BPE ids of each whole text under the ranks in path; with into, a column of the bytes that its ids decode to as well.
 
     One row per input row, repeated ids included; a null text counts as empty
     and has no ids, a null id stays null. buckets (four times the shuffle
     partitions by default) is how many ways the distinct words are dealt; it
     should follow the size of the corpus. docs is read twice and must give its
-    rows in the same order both times, as files do.
+    rows in the same order both times, as files do. into saves a second set
+    of Python workers beside those that put the ids together.
     """
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -227,7 +245,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ident: str = "doc_id"
     words = rows.mapInArrow(_split(buckets, block_size, False), BLOCKS).repartition("bucket").sortWithinPartitions("bucket")
     coded = words.mapInArrow(_encode_words(path), BLOCKS)
     whole = rows.mapInArrow(_split(buckets, block_size, True), BLOCKS).unionAll(coded).repartition("block").sortWithinPartitions("block", "bucket")
-    return whole.mapInArrow(_reassemble(ident), f"`{ident}` long, ids array<int>")
+    return whole.mapInArrow(_reassemble(ident, path, into), f"`{ident}` long, ids array<int>" + (f", `{into}` binary" if into else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -237,18 +255,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(path)
-        table = [b""] * (1 + max(ranks.values()))
-        for token, rank in ranks.items():
-            table[rank] = token
-        sizes = np.array([len(t) for t in table], np.int64)
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
             lists = batch.column(ids)
             out = []
             for one in lists:
                 own = np.zeros(0, np.int64) if one.values is None else one.values.to_numpy(zero_copy_only=False)
-                out.append(_gather(starts[own], sizes[own], flat).tobytes())
+                out.append(_decoded(path, own))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, into])
 
     from pyspark.sql.types import BinaryType, StructField, StructType

@@ -38,7 +38,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), path), path)
+    coded = byte_bpe.encode(documents(spark, sf_dir), path, into="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

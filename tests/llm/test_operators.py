@@ -16,6 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import __spark_entry__
 from plasmaspark.llm import byte_bpe, chat, components, exact_dedup, langid, merkle, near_dup, packing, pii, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -309,6 +310,14 @@ def test_pre_tokens_match_the_public_pattern():
         assert byte_bpe.pre_tokens(text) == whole.findall(text)
 
 
+def test_one_set_of_workers_reassembles_and_decodes(spark, odd):
+    sent = byte_bpe.encode(odd, RANKS, block_size=5, into="decoded")
+    key = lambda r: (str(r.doc_id), r.ids, bytes(r.decoded))
+    assert sorted(map(key, sent.collect())) == sorted(map(key, byte_bpe.decode(byte_bpe.encode(odd, RANKS), RANKS).collect()))
+    plan = __spark_entry__.queries()["op4_byte_bpe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # one after the other in a stage would run beside each other
+
+
 @pytest.mark.parametrize("block", [5, byte_bpe.BLOCK])
 def test_bpe_is_the_librarys_and_round_trips(spark, odd, none, reference_encoding, block):
     coded = byte_bpe.decode(byte_bpe.encode(odd, RANKS, block_size=block), RANKS).collect()
